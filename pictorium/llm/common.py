@@ -86,3 +86,20 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
 def _digest(e: DataFrame) -> tuple:
     r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]
+
+
+BROADCAST_ROWS = 50_000
+SALTS = 64
+
+
+def lookup_join(rows: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
+    """Inner join of ``rows`` with a durable table that has one row for each key, safe for hot keys.
+
+    ``small`` is counted: up to BROADCAST_ROWS rows it is broadcast; beyond, both
+    sides are salted, so that a key with a third of all rows meets in SALTS tasks.
+    """
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), keys)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
+    spread = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [*keys, "_salt"]).drop("_salt")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, token_binary
+from . import chat, mixing, packing, quality, token_binary
 from .common import bound_arrow
 
 
@@ -20,6 +20,14 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(table(spark, sf_dir, "documents"))
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_files(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
@@ -59,9 +67,55 @@ from t group by conv_id
 """
 
 
+def _op2_sql() -> str:
+    bucket = lambda v: f"(({v} >> greatest(length(bin({v})) - 6, 0)) << greatest(length(bin({v})) - 6, 0))"
+    each = " union all ".join(f"select lang_key, source_key, '{m}' as measure, {bucket(m)} as bucket from passed" for m in quality.MEASURES)
+    fence = ", ".join(
+        f"max(case when measure = '{m}' then q3 + greatest({quality.SPREAD} * (q3 - q1), {slack}) end) as high_{m}, max(case when measure = '{m}' then {f'q1 - greatest({quality.SPREAD} * (q3 - q1), {slack})' if low else '0'} end) as low_{m}"
+        for m, (slack, low) in quality.MEASURES.items()
+    )
+    level = lambda name, keys: f"""{name} as (
+  select {keys}, max(total) as n_rows, {fence} from (
+    select {keys}, measure, max(total) as total, min(case when upto * 4 >= total then bucket end) as q1, min(case when upto * 4 >= total * 3 then bucket end) as q3 from (
+      select {keys}, measure, bucket, sum(n) over (partition by {keys}, measure order by bucket) as upto, sum(n) over (partition by {keys}, measure) as total
+      from (select {keys}, measure, bucket, sum(n) as n from sketch group by all)) group by all) group by {keys})"""
+    names = [f"{side}_{m}" for m in quality.MEASURES for side in ("high", "low")]
+    pick = lambda c: f"case when o.n_rows >= {quality.LEAST_ROWS} then o.{c} when l.n_rows >= {quality.LEAST_ROWS} then l.{c} else e.{c} end as {c}"
+    inside = " and ".join(f"{m} between low_{m} and high_{m}" for m in quality.MEASURES)
+    return rf"""
+with d as (
+  select row_number() over () as r, doc_id::bigint as doc_id, lang, source, coalesce(text, '') as text from documents
+), w as (
+  select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
+), win as (
+  select r, unnest(range(0, len(words) - 2)) as i, words from w where len(words) >= 3
+), win2 as (
+  select r, i, count(*) over (partition by r, words[i + 1], words[i + 2], words[i + 3]) as n from win
+), rep as (
+  select r, count(distinct p) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as p from win2 where n > 1) group by r
+), f as (
+  select r, doc_id, coalesce('=' || lang, '~') as lang_key, coalesce('=' || source, '~') as source_key, len(words)::bigint as n_words,
+    coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::bigint as word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols, len(lines)::bigint as n_lines, (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint as n_repeat_words
+  from w left join rep using (r)
+), m as (
+  select *, (n_words < 50 or 100 * n_repeat_words > 50 * n_words) as base_failed, 1000 * n_symbols // greatest(word_chars, 1) as symbol_rate,
+    100 * word_chars // greatest(n_words, 1) as word_length, 1000 * n_repeat_words // greatest(n_words, 1) as repeat_rate, 1000 * n_dup_lines // greatest(n_lines, 1) as line_rate
+  from f
+), passed as (select * from m where not base_failed), sketch as (
+  select lang_key, source_key, 1 as every, measure, bucket, count(*) as n from ({each}) group by all
+), {level("own", "lang_key, source_key")}, {level("lng", "lang_key")}, {level("cor", "every")}, t as (
+  select o.lang_key, o.source_key, {", ".join(map(pick, names))} from own o join lng l using (lang_key) cross join cor e
+)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and coalesce({inside}, false)) as kept
+from m left join t using (lang_key, source_key)
+"""
+
+
 def queries() -> dict:
-    return {"op6_token_binary": op6_token_binary, "op8_best_fit_packing": op8_best_fit_packing, "op10_chat_format": op10_chat_format}
+    return {"op2_quality_rules": op2_quality_rules, "op5_mixing": op5_mixing, "op6_token_binary": op6_token_binary, "op8_best_fit_packing": op8_best_fit_packing, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_chat_format": OP10_SQL}
+    return {"op2_quality_rules": _op2_sql(), "op10_chat_format": OP10_SQL}
