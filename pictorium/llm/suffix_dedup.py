@@ -25,6 +25,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable
 from .shingles import mix
@@ -211,11 +212,14 @@ CUT = f"doc_id long, th long, n_bytes long, n_removed long, n_spans long, kept b
 
 
 def remove_repeats(docs: DataFrame, window: int = 200, with_text: bool = False) -> DataFrame:
-    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row, and with ``with_text`` the remaining bytes as ``kept``.
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row.
 
-    Where a cut falls inside a character, what is left of it stays in ``kept``.
+    With ``with_text`` also the remaining bytes as ``kept`` and the row's other columns as the
+    struct ``row``. Where a cut falls inside a character, what is left of it stays in ``kept``.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")] if with_text else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(F.lit(1).alias("_"), *others).alias("row")).withColumn("th", F.xxhash64("text"))
+    schema = T._parse_datatype_string(CUT).add("row", docs.schema["row"].dataType)
     sure, needs = repeats(docs, window)
     owners = docs.where(F.octet_length("text") >= window).groupBy("th").agg(F.min("doc_id").alias("owner"))
     per_text = durable(sure.join(needs.join(owners, "th"), "th", "full").select("th", "ranges", "needs", "owner"), "per_text")
@@ -223,27 +227,33 @@ def remove_repeats(docs: DataFrame, window: int = 200, with_text: bool = False)
     def settle(batches):
         import pyarrow as pa
 
+        kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string(), "ranges": None, "text": pa.string()}
         for b in batches:
-            cols = b.to_pydict()
-            out: dict[str, list] = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "text")}
-            for text, ranges, needs in zip(cols["text"], cols["ranges"], cols["needs"], strict=True):
-                data = text.encode()
-                waits = needs is not None
+            out: dict[str, list] = {k: [] for k in kinds}
+            for text, ranges, needs in zip(*(b[c].to_pylist() for c in ("text", "ranges", "needs")), strict=True):
+                data, waits = text.encode(), needs is not None
                 spans, kept = cut(data, [(r["s"], r["e"]) for r in ranges or ()])
-                row = (len(data), sum(e - s for s, e in spans), len(spans), None if waits or not with_text else kept, None if waits else hashlib.sha256(kept).hexdigest(), text if waits else None)
-                for k, v in zip(out, row, strict=True):
+                found = (len(data), sum(e - s for s, e in spans), len(spans), kept if with_text and not waits else None, None if waits else hashlib.sha256(kept).hexdigest(), ranges if waits else None, text if waits else None)
+                for k, v in zip(out, found, strict=True):
                     out[k].append(v)
-            kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary(), "kept_sha256": pa.string(), "text": pa.string()}
-            made = {k: pa.array(v, kinds[k]) for k, v in out.items()}
-            ranges = pa.array([r if n is not None else None for r, n in zip(cols["ranges"], cols["needs"], strict=True)], b["ranges"].type)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["th"], made["n_bytes"], made["n_removed"], made["n_spans"], made["kept"], made["kept_sha256"], ranges, b["needs"], made["text"]], names=["doc_id", "th", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256", "ranges", "needs", "text"])
+            made = {k: pa.array(v, kinds[k] or b["ranges"].type) for k, v in out.items()} | {k: b[k] for k in ("doc_id", "th", "needs", "row")}
+            yield pa.RecordBatch.from_arrays([made[k] for k in schema.names], names=schema.names)
 
     # a text that is one of several copies is covered already; only its owner lends it to the search
     met = docs.join(per_text, "th", "left")
     mine = F.col("needs").isNotNull() & F.col("owner").eqNullSafe(F.col("doc_id"))
-    first = durable(met.select("doc_id", "th", "text", "ranges", F.when(mine, F.col("needs")).alias("needs")).mapInArrow(settle, CUT), "settled")
+    first = durable(met.select("doc_id", "th", "text", "ranges", F.when(mine, F.col("needs")).alias("needs"), "row").mapInArrow(settle, schema), "settled")
     pending = first.where("needs is not null")
     found = looked_into(pending.select("th", "text", "needs"), window).groupBy("th").agg(F.collect_list(F.struct("s", "e")).alias("more"))
-    rest = pending.select("doc_id", "th", "text", "ranges").join(found, "th", "left").select("doc_id", "th", "text", F.concat(F.coalesce("ranges", F.expr(f"cast(array() as {RANGES})")), F.coalesce("more", F.expr(f"cast(array() as {RANGES})"))).alias("ranges"), F.expr(f"cast(null as {NEEDS})").alias("needs"))
-    out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text + ["th"] * with_text
-    return first.where("needs is null").select(*out).unionByName(rest.mapInArrow(settle, CUT).select(*out))
+    none = F.expr(f"cast(array() as {RANGES})")
+    rest = pending.select("doc_id", "th", "text", "ranges", "row").join(found, "th", "left").select("doc_id", "th", "text", F.concat(F.coalesce("ranges", none), F.coalesce("more", none)).alias("ranges"), F.expr(f"cast(null as {NEEDS})").alias("needs"), "row")
+    out = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "row"] * with_text
+    return first.where("needs is null").select(*out).unionByName(rest.mapInArrow(settle, schema).select(*out))
+
+
+def without_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
+    """The rows of ``docs`` with what :func:`remove_repeats` leaves as ``text`` (split characters dropped) and ``n_chars`` to match."""
+    cut_ = remove_repeats(docs, window, with_text=True).withColumn("text", F.try_validate_utf8(F.col("kept").cast("string")))
+    cut_ = cut_.withColumn("text", F.coalesce("text", F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")))
+    made = {"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return cut_.select(*[made[c].alias(c) if c in made else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
