@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, jaccard_join, mixing, packing, quality, suffix_dedup, token_binary
+from . import chat, embedding_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, token_binary
 from .common import bound_arrow
 
 
@@ -24,6 +24,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -53,6 +57,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chat(c.unionByName(extra)))
 
 
+OP3_SQL = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and embedding is not null and list_count(embedding) = len(embedding)
+    and len(list_filter(embedding, lambda x: not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as u, b.vec_id as v from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.93
+), reach as (
+  select u as node, v as other from links union select r.node, l.v from reach r join links l on r.other = l.u
+), comp as (select node, least(node, min(other)) as component_id from reach group by node)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, coalesce(component_id, e.vec_id) as component_id, coalesce(component_id, e.vec_id) = e.vec_id as kept
+from embeddings e left join (select u, count(*) as n from links group by u) k on k.u = e.vec_id left join comp on comp.node = e.vec_id
+"""
+
 OP10_SQL = r"""
 with c as (
   select conv_id::bigint conv_id, turn::bigint turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -122,8 +140,8 @@ from m left join t using (lang_key, source_key)
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": op2_quality_rules, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_mixing": op5_mixing, "op6_token_binary": op6_token_binary, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_chat_format": op10_chat_format}
+    return {"op2_quality_rules": op2_quality_rules, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_mixing": op5_mixing, "op6_token_binary": op6_token_binary, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_chat_format": op10_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": _op2_sql(), "op10_chat_format": OP10_SQL}
+    return {"op2_quality_rules": _op2_sql(), "op3_embedding_dedup": OP3_SQL, "op10_chat_format": OP10_SQL}
