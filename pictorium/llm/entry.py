@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedding_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, token_binary
+from . import chat, embedding_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, token_binary, token_counts, toxicity
 from .common import bound_arrow
 
 
@@ -20,6 +20,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -40,6 +44,10 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary.token_files(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.redacted_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file(), capacity=4096, end_id=1)
 
@@ -140,7 +148,18 @@ from m left join t using (lang_key, source_key)
 
 
 def queries() -> dict:
-    return {"op2_quality_rules": op2_quality_rules, "op3_embedding_dedup": op3_embedding_dedup, "op4_ngram_jaccard_join": op4_ngram_jaccard_join, "op5_mixing": op5_mixing, "op6_token_binary": op6_token_binary, "op8_best_fit_packing": op8_best_fit_packing, "op9_suffix_array_dedup": op9_suffix_array_dedup, "op10_chat_format": op10_chat_format}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_quality_rules": op2_quality_rules,
+        "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_mixing": op5_mixing,
+        "op6_token_binary": op6_token_binary,
+        "op7_token_counts": op7_token_counts,
+        "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_suffix_array_dedup": op9_suffix_array_dedup,
+        "op10_chat_format": op10_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
