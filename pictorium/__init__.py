@@ -1,0 +1 @@
+"""Analytics over photo and video catalogs as lazy Spark DataFrames."""
