@@ -200,6 +200,6 @@ def merge_groups(members: DataFrame) -> DataFrame:
     """Groups that overlap become one: ``image_id, component``."""
     first = members.groupBy("group_id").agg(F.min("image_id").alias("image_1"))
     e = members.join(first, "group_id").select("image_1", F.col("image_id").alias("image_2"))
-    return components(e)
+    return components(e).withColumnRenamed("node", "image_id")
 
 
