@@ -154,3 +154,23 @@ def size_bucket(size: Column) -> Column:
         cond = size < hi * 1024 * 1024
         out = F.when(cond, name) if out is None else out.when(cond, name)
     return out
+
+
+def histogram(planes: DataFrame, pixels: str, low: float, high: float, bins: int = 256) -> DataFrame:
+    """``image_id, bin, n`` of an array of pixel values."""
+    p = planes.select("image_id", F.explode(pixels).alias("x"))
+    b = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor((F.col("x") - low) / (high - low) * bins))).cast("int")
+    return p.groupBy("image_id", b.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def luminance(r: Column, g: Column, b: Column) -> Column:
+    return 0.299 * r + 0.587 * g + 0.114 * b
+
+
+def run_history(runs: DataFrame, at: str, value: str, kept: int = 10, recent: int = 5) -> DataFrame:
+    """Mean of the last ``kept`` runs and the trend of the newest against the mean of the last ``recent``."""
+    from pyspark.sql import Window as W
+
+    r = runs.withColumn("r", F.row_number().over(W.orderBy(F.desc(at)))).where(F.col("r") <= kept)
+    last = F.max(F.when(F.col("r") == 1, F.col(value)))
+    return r.agg(F.count("*").alias("runs"), F.round(F.avg(value), 6).alias("mean"), F.round(last - F.avg(F.when(F.col("r") <= recent, F.col(value))), 6).alias("trend"))

@@ -53,3 +53,45 @@ def smoothed_timing(observations: DataFrame, keys: list[str], at: str, value: st
     g = observations.groupBy(*keys).agg(ordered.alias("o"))
     ema = F.aggregate(F.slice("o", 2, 1_000_000_000), F.element_at("o", 1)["v"], lambda acc, x: acc * (1 - alpha) + x["v"] * alpha)
     return g.select(*keys, ema.alias("ema"))
+
+
+def cancelled(batches: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Batches that must stop: cancelled themselves or of a job that is revoked or cancelled."""
+    j = batches.join(jobs.select(F.col("job_id").alias("parent_job_id"), F.col("status").alias("job_status")), "parent_job_id", "left")
+    return j.where((F.col("status") == "CANCELLED") | F.coalesce(F.col("job_status").isin("REVOKED", "CANCELLED"), F.lit(False))).select("parent_job_id", "batch_number")
+
+
+def claimed(batches: DataFrame, worker: str) -> DataFrame:
+    """The first pending batch of each job as running under ``worker``; settled and running ones stay."""
+    from pyspark.sql import Window as W
+
+    first = F.row_number().over(W.partitionBy("parent_job_id", "status").orderBy("batch_number")) == 1
+    b = batches.withColumn("take", (F.col("status") == "PENDING") & first)
+    return b.select("parent_job_id", "batch_number", F.when(F.col("take"), "RUNNING").otherwise(F.col("status")).alias("status"), F.when(F.col("take"), worker).alias("worker_id"))
+
+
+def recovery(batches: DataFrame, as_of: Column, minutes: int) -> DataFrame:
+    """What a job needs: ``finalize`` if all settled, ``dispatch`` if batches are pending or stale, else ``wait``."""
+    stale = (F.col("status") == "RUNNING") & (F.col("started_at") < F.timestamp_add("MINUTE", F.lit(-minutes), as_of))
+    open_ = F.col("status").isin("PENDING", "RUNNING")
+    g = batches.groupBy("parent_job_id").agg(F.count_if(open_).alias("open"), F.count_if(stale | (F.col("status") == "PENDING")).alias("ready"))
+    return g.select("parent_job_id", F.when(F.col("open") == 0, "finalize").when(F.col("ready") > 0, "dispatch").otherwise("wait").alias("action"))
+
+
+def requeue(batches: DataFrame, threshold: int) -> DataFrame:
+    """Jobs with at least ``threshold`` failed batches."""
+    return batches.where("status = 'FAILED'").groupBy("parent_job_id").agg(F.count("*").alias("failures")).where(F.col("failures") >= threshold)
+
+
+#: Registered transforms by job type.
+PROCESSORS: dict = {}
+
+
+def processor(job_type: str):
+    """Register a function of a DataFrame as the work of a job type."""
+
+    def put(f):
+        PROCESSORS[job_type] = f
+        return f
+
+    return put

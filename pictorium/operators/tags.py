@@ -12,7 +12,7 @@ def listing(tags: DataFrame, image_tags: DataFrame, min_count: int = 0, category
     t = tags.where(F.col("category") == category) if category else tags
     t = t.where(F.col("name").ilike(f"%{name}%")) if name else t
     g = t.join(image_tags, "tag_id", "left").groupBy("tag_id", "name", "category")
-    return g.agg(F.count("image_id").alias("image_count"), F.round(F.avg("confidence"), 4).alias("avg_confidence")).where(F.col("image_count") >= min_count)
+    return g.agg(F.count("image_id").alias("image_count"), F.round(F.avg("confidence"), 8).alias("avg_confidence")).where(F.col("image_count") >= min_count)
 
 
 def source_counts(image_tags: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..sources import storage as S
 from .registry import add
 
 # tags
-add("a03_tag_listing", lambda v: T.listing(v.tags, v.image_tags, 2), "select tag_id, name, category, count(image_id) as image_count, round(avg(confidence), 4) as avg_confidence from tags left join image_tags using (tag_id) group by all having count(image_id) >= 2")
+add("a03_tag_listing", lambda v: T.listing(v.tags, v.image_tags, 2), "select tag_id, name, category, count(image_id) as image_count, round(avg(confidence), 8) as avg_confidence from tags left join image_tags using (tag_id) group by all having count(image_id) >= 2")
 add("f32_tags_by_name", lambda v: T.listing(v.tags, v.image_tags, 0, "Brand#12", "1").select("tag_id", "image_count"), "select tag_id, count(image_id) as image_count from tags left join image_tags using (tag_id) where category = 'Brand#12' and name ilike '%1%' group by all")
 add("j02_tag_counts", lambda v: T.listing(v.tags, v.image_tags).select("tag_id", "image_count"), "select tag_id, (select count(*) from image_tags i where i.tag_id = t.tag_id) as image_count from tags t")
 add("j06_tag_sources", lambda v: T.source_counts(v.image_tags), "select tag_id, string_agg(source || '=' || n, ',' order by source || '=' || n) as sources from (select tag_id, source, count(*) as n from image_tags group by all) group by 1")

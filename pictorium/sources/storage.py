@@ -66,3 +66,45 @@ def orientation(rotation, flip_h):
         c = (rotation == r) & (flip_h == F.lit(f))
         out = F.when(c, value) if out is None else out.when(c, value)
     return out.otherwise(1)
+
+
+def merge_incomplete(existing: DataFrame, found: DataFrame, parts: list[str], flags: list[str]) -> DataFrame:
+    """Existing rows with only their missing parts taken from what was found, and flags set by either."""
+    e, f = existing.alias("e"), found.alias("f")
+    j = e.join(f, "checksum", "left")
+    merged = [F.coalesce(f"e.{p}", f"f.{p}").alias(p) for p in parts]
+    either = [(F.coalesce(F.col(f"e.{x}"), F.lit(False)) | F.coalesce(F.col(f"f.{x}"), F.lit(False))).alias(x) for x in flags]
+    return j.select("checksum", *merged, *either)
+
+
+def updated(rows: DataFrame, changes: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """Rows with the columns of ``changes`` where it has the key."""
+    r, c = rows.alias("r"), changes.withColumn("_hit", F.lit(True)).alias("c")
+    j = r.join(c, F.col(f"r.{key}") == F.col(f"c.{key}"), "left")
+    return j.select(*[F.when(F.col("c._hit"), F.col(f"c.{x}")).otherwise(F.col(f"r.{x}")).alias(x) if x in columns else F.col(f"r.{x}").alias(x) for x in rows.columns])
+
+
+def run_sql(spark: SparkSession, sql: str, *params) -> DataFrame:
+    """SQL with positional ``?`` markers."""
+    return spark.sql(sql, args=list(params))
+
+
+def save_index(hashes: DataFrame, path: str) -> None:
+    hashes.select("image_id", "ahash", "dhash").write.mode("overwrite").parquet(path)
+
+
+def load_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def exported(df: DataFrame, path: str, form: str) -> None:
+    """JSON lines or CSV with a header."""
+    w = df.write.mode("overwrite")
+    w.json(path) if form == "json" else w.option("header", True).csv(path)
+
+
+def create_schema(spark: SparkSession, database: str, tables: dict[str, str]) -> None:
+    """Parquet tables by name and DDL, where they are absent."""
+    spark.sql(f"create database if not exists {database}")
+    for name, ddl in tables.items():
+        spark.sql(f"create table if not exists {database}.{name} ({ddl}) using parquet")
