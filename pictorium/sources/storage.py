@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -11,12 +12,20 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the folder of ``spark.checkpoint.dir`` (one of its own only where that is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pictorium-"))
-    return df.checkpoint()
+    """``df`` written as a table below ``spark.checkpoint.dir`` and read back, which cuts its lineage.
+
+    A folder of its own is made only where the session names none. Unlike ``checkpoint()`` this
+    computes the plan once.
+    """
+    spark = df.sparkSession
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="pictorium-"))
+    path = f"{base.rstrip('/')}/pictorium/round-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discover(paths: DataFrame) -> DataFrame:
