@@ -5,9 +5,11 @@
    keeps common passages out of prefixes.
 2. Two sets whose Jaccard similarity reaches ``num / den`` share a shingle among the first
    ``n - ceil(n * num / den) + 1`` of each. Equal sets are one class; classes with the same
-   prefix and size are one group, and only groups meet on prefix shingles.
-3. Each prefix shingle ties its groups to the smallest one, never to each other, so a shingle
-   gives fewer rows than groups; what hangs together is a candidate set.
+   prefix and size are one group (its classes' bin counts, below, agreeing), and only groups meet on prefix shingles.
+3. Groups that share a prefix shingle meet. A pair is filtered by size and by a lower bound of
+   its difference, the distance of the sets' counts over BINS hash bins; what is left ties
+   groups together, with fewer ties than groups for each shingle. What hangs together is a
+   candidate set.
 4. Within a candidate set groups expand to classes and every pair of different, not yet
    connected classes whose sizes allow it is verified on whole sets. Large candidate sets are
    cut into blocks and every pair of blocks is a task of bounded memory.
@@ -32,6 +34,8 @@ SLOTS = 1 << 22
 CHUNK = 1 << 12
 BLOCK_CLASSES = 1500
 BLOCK_SHINGLES = 1_500_000
+BINS = 64
+MEETING = 2000
 
 
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
@@ -66,7 +70,7 @@ def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n, s1, s2, p, prefix``: set size, two hashes of the set, one of the prefix, and the prefix."""
+    """``doc_id, n, s1, s2, p, prefix, bins``: set size, two hashes of the set, one of the prefix, the prefix and counts by bin."""
     order = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, k))
 
     def run(batches):
@@ -83,11 +87,13 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             chosen = h[ranked[rank < np.repeat(keep, n)]]
             ends = np.concatenate(([0], np.cumsum(keep)))
             p = _sums(mix(chosen), ends)
+            bins = np.bincount(doc * BINS + (h >> np.uint64(58)).astype(np.int64), minlength=len(n) * BINS).reshape(-1, BINS)
+            bins = np.minimum(bins, 255).astype(np.uint8)
             long = lambda x: pa.array(x.view(np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), long(chosen))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), long(s1), long(s2), long(p), lists], names=["doc_id", "n", "s1", "s2", "p", "prefix"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), long(s1), long(s2), long(p), lists, pa.array([x.tobytes() for x in bins], pa.binary())], names=["doc_id", "n", "s1", "s2", "p", "prefix", "bins"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p long, prefix array<long>, bins binary")
 
 
 def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -133,6 +139,81 @@ def linked_pairs(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], nu
     return links
 
 
+def ties_of(gids: np.ndarray, blocks: np.ndarray, n: np.ndarray, bins: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Ties that connect the groups of one prefix shingle which the filters cannot tell apart."""
+    order = np.argsort(n, kind="stable")
+    gids, blocks, n, bins = gids[order], blocks[order], n[order], bins[order].astype(np.int16)
+    across = len(set(blocks.tolist())) > 1
+    part, ties = np.arange(len(n)), []
+    for i in range(len(n) - 1):
+        end = int(np.searchsorted(n, n[i] * den // num, "right"))
+        open_ = part[i + 1 : end] != part[i]
+        if across:
+            open_ &= blocks[i + 1 : end] != blocks[i]
+        others = i + 1 + np.flatnonzero(open_)
+        if not len(others):
+            continue
+        both = n[i] + n[others]
+        most = both - 2 * -(-num * both // (num + den))
+        for j in others[np.abs(bins[others] - bins[i]).sum(axis=1) <= most]:
+            if part[j] != part[i]:
+                ties.append((int(gids[i]), int(gids[j])))
+                part[part == part[j]] = part[i]
+    return ties
+
+
+def tied(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Ties ``u, v`` between groups (``gid, n, prefix, bins``) that share a prefix shingle and pass the filters.
+
+    A shingle with more than MEETING groups is cut into blocks, and every pair of blocks is a task's.
+    """
+    postings = groups.select("gid", F.explode("prefix").alias("shingle"))
+    shared = postings.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
+    met = postings.join(shared, "shingle").join(groups.select("gid", "n", "bins"), "gid")
+    blocks = F.ceil(F.col("m") / MEETING).cast("int")
+    met = met.withColumn("block", F.pmod(F.xxhash64("gid"), blocks).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
+    dealt = met.withColumn("b", F.explode(pair)).select("shingle", "b.i", "b.j", "block", "gid", "n", "bins")
+    dealt = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "gid")
+
+    def run(batches):
+        import pyarrow as pa
+
+        seen: set[tuple] = set()
+        found: set[tuple[int, int]] = set()
+
+        def flush(gids, blocks, n, bins):
+            key = tuple(gids)
+            if len(gids) < 2 or key in seen:
+                return
+            if len(gids) < 50:  # near copies share many shingles, and the same groups meet again and again
+                if len(seen) > 50_000:
+                    seen.clear()
+                seen.add(key)
+            found.update(ties_of(np.array(gids), np.array(blocks), np.array(n), np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS), num, den))
+
+        def out():
+            u, v = zip(*found, strict=True) if found else ((), ())
+            found.clear()
+            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+        last, group = None, ([], [], [], [])
+        for b in batches:
+            cols = [b[c].to_pylist() for c in ("shingle", "i", "j", "gid", "block", "n", "bins")]
+            for s, i, j, *row in zip(*cols, strict=True):
+                if (s, i, j) != last:
+                    flush(*group)
+                    last, group = (s, i, j), ([], [], [], [])
+                for to, x in zip(group, row, strict=True):
+                    to.append(x)
+            if len(found) > 50_000:
+                yield out()
+        flush(*group)
+        yield out()
+
+    return dealt.mapInArrow(run, "u long, v long")
+
+
 def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links ``u, v`` among classes; ``candidates``: ``doc_id, s1, s2, n, comp`` of one document of each class."""
     size = candidates.groupBy("comp").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
@@ -186,13 +267,11 @@ def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = durable(prefixes(docs, k, num, den), "prefixes")
     full = rows.where("n > 0")
-    classes = durable(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"), F.min("p").alias("p"), F.min("prefix").alias("prefix")).where("cls is not null"), "classes")
-    groups = classes.groupBy("n", "p").agg(F.min("cls").alias("gid"), F.min("prefix").alias("prefix"))
-    postings = groups.select("gid", F.explode("prefix").alias("shingle"))
-    anchors = postings.groupBy("shingle").agg(F.min("gid").alias("anchor"), F.count("*").alias("m")).where("m > 1").drop("m")
-    ties = postings.join(anchors, "shingle").where("gid <> anchor").select(F.col("gid").alias("u"), F.col("anchor").alias("v"))
-    sets = connected_components(ties)
-    grouped = classes.select("cls", "n", "s1", "s2", "p").join(groups.select("n", "p", "gid"), ["n", "p"])
+    classes = durable(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"), F.min("p").alias("p"), F.min("prefix").alias("prefix"), F.min("bins").alias("bins")).where("cls is not null"), "classes")
+    same = classes.groupBy("n", "p", "bins").agg(F.min("cls").alias("gid"), F.min("prefix").alias("prefix"))
+    groups = durable(same, "groups")
+    sets = connected_components(tied(groups, num, den))
+    grouped = classes.select("cls", "n", "s1", "s2", "p", "bins").join(groups.select("n", "p", "bins", "gid"), ["n", "p", "bins"])
     candidates = grouped.join(sets, grouped["gid"] == sets["node"], "left").select(F.col("cls").alias("doc_id"), "s1", "s2", "n", F.coalesce("component", "gid").alias("comp"))
     links = verify(docs, durable(candidates, "candidates"), k, num, den)
     found = connected_components(links)
