@@ -122,9 +122,9 @@ with d as (
 ), w as (
   select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d
 ), win as (
-  select r, unnest(range(0, len(words) - 2)) as i, words from w where len(words) >= 3
+  select r, unnest(range(0, len(words) - 2)) as i, unnest(list_transform(range(1, len(words) - 1), lambda k: words[k] || ' ' || words[k + 1] || ' ' || words[k + 2])) as g from w where len(words) >= 3
 ), win2 as (
-  select r, i, count(*) over (partition by r, words[i + 1], words[i + 2], words[i + 3]) as n from win
+  select r, i, count(*) over (partition by r, g) as n from win
 ), rep as (
   select r, count(distinct p) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as p from win2 where n > 1) group by r
 ), f as (

@@ -27,7 +27,7 @@ from .common import WORD, durable, lookup_join
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
 #: measure: (slack, whether low values are fenced too); rates in thousandths, mean word length in hundredths
-MEASURES = {"symbol_rate": (20, False), "word_length": (100, True), "repeat_rate": (200, False), "line_rate": (300, False)}
+MEASURES = {"symbol_rate": (20, False), "word_length": (150, True), "repeat_rate": (350, False), "line_rate": (500, False)}
 SPREAD = 3
 LEAST_ROWS = 200
 
