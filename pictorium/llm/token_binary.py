@@ -232,7 +232,8 @@ def _mkdirs(spark: SparkSession, folder: str) -> None:
 def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` of every document, decoded from the shards."""
     starts = manifest.withColumn("base", F.sum("n_ids").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)))
-    tasks = starts.select("path", F.coalesce("base", F.lit(0)).alias("base")).repartition("path")
+    # a number of partitions is named, since rows this small would else be read by one task
+    tasks = starts.select("path", F.coalesce("base", F.lit(0)).alias("base")).repartition(max(1, manifest.count()), "path")
 
     def run(batches):
         import pyarrow as pa
