@@ -11,7 +11,8 @@
    and the curve below come from the half of the training texts that the log-odds have not seen.
    A segment's expected number by chance makes it significant or not.
 4. A text's evidence is what its significant segments add up to above chance; a logistic curve,
-   fitted on training texts, turns it into a probability.
+   fitted on training texts, turns it into a probability. Each text weighs what its class has
+   labels for each one taken, so that the curve is that of all labels whatever the sample's mix.
 
 The model is fitted on at most ``max_docs`` labelled documents (taken by hash) and holds at most
 ``max_lexicon`` tokens; everything else sees all documents and whole texts.
@@ -119,12 +120,12 @@ def log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int, prior: float) -
 
 
 def fit(train: DataFrame, max_lexicon: int = MAX_LEXICON) -> Model:
-    """``train``: ``text, toxic, half`` of a bounded number of rows."""
+    """``train``: ``text, toxic, half, weight`` of a bounded number of rows."""
     model = Model()
-    docs = train.select("text", "toxic", "half").collect()  # max_docs rows at most
+    docs = train.select("text", "toxic", "half", "weight").collect()  # max_docs rows at most
     kinds = {(r["half"], r["toxic"]) for r in docs}
     if len(kinds) < 4:
-        toxic = sum(r["toxic"] for r in docs)
+        toxic = len(docs) * sum(r["toxic"] * r["weight"] for r in docs) / max(1.0, sum(r["weight"] for r in docs))
         model.a, model.b = 0.0, math.log((toxic + 0.5) / (len(docs) - toxic + 4.5))
         return model
     n_toxic = sum(r["toxic"] for r in docs if not r["half"])
@@ -138,13 +139,13 @@ def fit(train: DataFrame, max_lexicon: int = MAX_LEXICON) -> Model:
         s = log_odds(r["toxic"], r["clean"], n_toxic, n_clean, group + DRIFT) - DRIFT
         if s != group:  # the others are answered by their group
             model.words[r["token"]] = s
-    calibrate(model, [(model.scores(r["text"]), r["toxic"]) for r in docs if r["half"]])
+    calibrate(model, [(model.scores(r["text"]), r["toxic"], r["weight"]) for r in docs if r["half"]])
     return model
 
 
-def calibrate(model: Model, scored: list[tuple[np.ndarray, int]]) -> None:
-    """Lambda and K from clean texts, then the logistic curve from all."""
-    clean = [s for s, y in scored if not y and len(s)]
+def calibrate(model: Model, scored: list[tuple[np.ndarray, int, float]]) -> None:
+    """Lambda and K from clean texts, then the logistic curve from all, by their weights."""
+    clean = [s for s, y, _ in scored if not y and len(s)]
     values, weights = np.unique(np.concatenate(clean) if clean else np.array([-DRIFT]), return_counts=True)
     lo, hi = 1e-3, 20.0
     grows = lambda x: float((weights * np.exp(np.minimum(x * values, 600))).sum() / weights.sum()) > 1
@@ -155,14 +156,16 @@ def calibrate(model: Model, scored: list[tuple[np.ndarray, int]]) -> None:
     best = [(max((x for *_, x in segments(s)), default=0.0), len(s)) for s in clean]
     # maximum likelihood of K, given lambda, for P(best <= s) = exp(-K n exp(-lambda s))
     model.k = max(1e-6, len(best) / max(1e-9, sum(n * math.exp(-model.lam * s) for s, n in best)))
-    x = np.array([model.evidence(model.passages(s)) for s, _ in scored])
-    y = np.array([t for _, t in scored], float)
+    x = np.array([model.evidence(model.passages(s)) for s, *_ in scored])
+    y = np.array([t for _, t, _ in scored], float)
+    counts = np.array([c for *_, c in scored], float)
+    counts *= len(counts) / counts.sum()
     w = np.zeros(2)
     design = np.stack((x, np.ones(len(x))), axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        h = design.T @ (design * (p * (1 - p))[:, None]) + np.diag([1e-2, 1e-3])
-        w = w + np.linalg.solve(h, design.T @ (y - p) - np.array([1e-2, 1e-3]) * w)
+        h = design.T @ (design * (counts * p * (1 - p))[:, None]) + np.diag([1e-2, 1e-3])
+        w = w + np.linalg.solve(h, design.T @ (counts * (y - p)) - np.array([1e-2, 1e-3]) * w)
     model.a, model.b = float(w[0]), float(w[1])
 
 
@@ -195,11 +198,16 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> DataFrame:
-    """At most ``max_docs`` labelled rows that are not held out, half of them of either class where there are enough, by hash."""
+    """At most ``max_docs`` labelled rows that are not held out, half of them of either class where there are enough, by hash.
+
+    ``weight``: the labels of the row's class for each one taken.
+    """
     y = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    half = [y.where(f"toxic = {t}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs // 2) for t in (0, 1)]
+    most = max_docs // 2
+    n = {r["toxic"]: r["n"] for r in y.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows at most
+    half = [y.where(f"toxic = {t}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).withColumn("weight", F.lit(max(1.0, n.get(t, 0) / max(most, 1)))) for t in (0, 1)]
     chosen = half[0].unionByName(half[1])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"))  # max_docs rows at most
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic", "weight", F.pmod(F.xxhash64(F.lit("half"), "doc_id"), F.lit(2)).cast("int").alias("half"))  # max_docs rows at most
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, at: float = 0.3) -> DataFrame:
