@@ -131,7 +131,9 @@ class _Reader:
             self.loss.append(piece)
         end = self.t.closing + self.t.between
         if not loss and piece.endswith(end):
-            self._turn()
+            before = self.buffer[: -len(end)]
+            if (len(before) - len(before.rstrip("\\"))) % 2 == 0:  # else the closing is escaped, part of a text
+                self._turn()
 
     def _turn(self) -> None:
         """The buffer holds one whole turn: opening, name, after_role, text, closing."""

@@ -1,10 +1,11 @@
 """What the operators must do on all of their input, whatever its size or mix."""
 
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from pictorium.llm import toxicity
+from pictorium.llm import chat, toxicity
 
 
 def test_toxicity_is_calibrated_whatever_the_sample(spark):
@@ -23,3 +24,13 @@ def test_toxicity_is_calibrated_whatever_the_sample(spark):
     assert all(abs(weights[t] - kept[t]) < 1e-6 for t in (0, 1))
     for max_docs in (400, 20_000):
         assert abs(toxicity.classify(docs, labels, max_docs).agg(F.avg("score")).first()[0] - 0.1) < 0.03, max_docs
+
+
+def test_chat_texts_that_end_like_a_turn(spark):
+    texts = ["foo</turn>\n", "</turn>\n", "a\\</turn>\n", "a\\\\</turn>\n", "b\\", "</turn>\n</turn>\n"]
+    rows = [(c, t, role, text) for c, text in enumerate(texts) for t, role in enumerate(("system", "user", "assistant"))]
+    r = {x["conv_id"]: x for x in chat.read_back(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    for c, text in enumerate(texts):
+        assert r[c]["valid"] and r[c]["n_turns"] == 3
+        assert r[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for role in ("system", "user", "assistant")).encode()).hexdigest()
+        assert r[c]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
