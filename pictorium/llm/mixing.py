@@ -8,8 +8,9 @@ Every expression here is a DataFrame or SQL function.
    form in running sums.
 2. Blocks: a keyed hash deals each source's documents into blocks. A source takes whole
    epochs of its blocks and, of one more epoch in permuted order, the blocks that its target
-   still holds; the rest comes from single documents of the next OPEN_BLOCKS blocks, in hash
-   order, in two passes over those that fit.
+   still holds; the rest comes from single documents of all other blocks, in rounds: of what
+   fits by itself, blocks in order as far as the target goes, then documents of the next block
+   in hash order. Rounds end when no document fits.
 3. The tree: the block draws of all sources are split between the two halves of the output
    shards with a multivariate-hypergeometric draw (each draw goes left with probability
    places left over draws left), then each half again, down to single shards. Shards get
@@ -34,7 +35,7 @@ from .common import WORD, durable, lookup_join
 
 DOCS_A_BLOCK = 50_000
 LEAST_BLOCKS = 512
-OPEN_BLOCKS = 16
+PASSES = 3
 
 
 def word_count(text: str | Column) -> Column:
@@ -95,10 +96,40 @@ def shard_quotas(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     return node.select(F.col("lo").cast("int").alias("shard"), F.explode(F.arrays_zip("places", "quotas")).alias("z")).select(F.col("z.places").alias("place"), "shard", F.col("z.quotas").alias("quota"))
 
 
-def plan(sized: DataFrame, shards: int, seed: int, most: float) -> tuple[DataFrame, int]:
-    """``skey, block, source_size, target, draws``: for each block its draws, an array of ``epoch, shard, words``.
+def fill(rows: DataFrame) -> DataFrame:
+    """``skey, block, row`` of the documents that fill what is left of each source's target, until no other fits.
 
-    ``words`` is null where the whole block is drawn. Also the number of blocks a source has at most.
+    ``rows``: ``row, doc_id, skey, size, h, block, rank, left``. In each round a source takes one
+    document at least, and only documents of one block of a source meet in a task.
+    """
+    order = W.partitionBy("skey").orderBy("h", "doc_id", "size", "row")
+    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    cols = ["row", "doc_id", "skey", "size", "h", "block", "rank", "left"]
+    fitting = rows.where("left > 0 and size <= left").select(*cols)
+    found = rows.limit(0).select("skey", "block", "row")
+    while not fitting.isEmpty():
+        by = fitting.groupBy("skey", "block").agg(F.first("rank").alias("rank"), F.first("left").alias("left"), F.sum("size").alias("words"))
+        before = F.coalesce(F.sum("words").over(W.partitionBy("skey").orderBy("rank").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        by = by.withColumn("room", F.col("left") - before).select("skey", "block", "room", (F.col("words") <= F.col("room")).alias("whole"))
+        met = lookup_join(fitting, durable(by, "rooms"), ["skey", "block"], "row")
+        edge = F.expr("not whole and room >= 0")
+        some = met.where(edge).withColumn("taken", F.lit(False))
+        for _ in range(PASSES):
+            fits = ~F.col("taken") & (F.col("size") <= F.col("room"))
+            some = some.withColumn("run", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order)).withColumn("now", fits & (F.col("run") <= F.col("room")))
+            some = some.withColumn("room", F.col("room") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(every)).withColumn("taken", F.col("taken") | F.col("now"))
+        marked = durable(met.where(~edge).select(*cols, F.col("whole").alias("taken")).unionByName(some.select(*cols, "taken")), "filled")
+        found = found.unionByName(marked.where("taken").select("skey", "block", "row"))
+        used = durable(marked.where("taken").groupBy("skey").agg(F.sum("size").alias("used")), "used")
+        fitting = lookup_join(marked.where("not taken"), used, ["skey"], "row").withColumn("left", F.col("left") - F.col("used")).where("left > 0 and size <= left").select(*cols)
+    return found
+
+
+def plan(sized: DataFrame, shards: int, seed: int, most: float) -> tuple[DataFrame, DataFrame, int]:
+    """``skey, block, source_size, target, draws``: for each block its draws, an array of ``epoch, shard, part``.
+
+    ``part`` is true where not the whole block is drawn, but rows of the second table,
+    ``skey, block, row``. Also the number of blocks a source has at most.
     """
     n_blocks = max(LEAST_BLOCKS, -(-sized.count() // DOCS_A_BLOCK))
     sources = durable(targets(sized, most), "sources")
@@ -113,18 +144,20 @@ def plan(sized: DataFrame, shards: int, seed: int, most: float) -> tuple[DataFra
     last = F.col("epoch") == F.col("full")
     whole = ~last | (F.col("before") + F.col("words") <= F.col("need"))
     d = d.withColumn("whole", whole).withColumn("kept", F.sum(F.when(F.col("whole"), F.col("words")).otherwise(0)).over(permuted.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    nth_open = F.sum(F.when(F.col("whole"), 0).otherwise(1)).over(permuted.rowsBetween(W.unboundedPreceding, 0))
-    opened = ~F.col("whole") & (nth_open <= OPEN_BLOCKS) & (F.col("need") > F.col("kept"))
-    d = d.withColumn("words_of", F.when(opened, F.col("need") - F.col("kept"))).withColumn("drawn", F.col("whole") | F.col("words_of").isNotNull())
+    rest = durable(d.where("not whole and need > kept").select("skey", "block", "rank", (F.col("need") - F.col("kept")).alias("left")), "rest")
+    rows = lookup_join(sized.select("row", "doc_id", "skey", "size", "h", _block(n_blocks)), rest, ["skey", "block"], "row")
+    taken = fill(rows)
+    parts = taken.select("skey", "block", F.lit(False).alias("whole"), F.lit(True).alias("part")).distinct()
+    d = d.join(parts, ["skey", "block", "whole"], "left").withColumn("part", F.coalesce("part", F.lit(False))).withColumn("drawn", F.col("whole") | F.col("part"))
     d = durable(d.withColumn("draw", F.col("epoch") * F.col("n_blocks") + F.col("rank")), "draws")
     quotas = shard_quotas(d.where("drawn").groupBy("place").agg(F.count("*").alias("n")), shards, seed)
     starts = quotas.withColumn("from", F.sum("quota").over(W.partitionBy("place").orderBy("shard")) - F.col("quota")).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("from", "shard", "quota"))).alias("runs"))
     order = F.row_number().over(W.partitionBy("place").orderBy("draw")) - 1
     drawn = lookup_join(d.where("drawn").withColumn("draw", order), durable(starts, "runs"), ["place"], "block")
     shard = F.filter("runs", lambda r: (r["from"] <= F.col("draw")) & (F.col("draw") < r["from"] + r["quota"]))[0]["shard"]
-    per_block = drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", shard.alias("shard"), F.col("words_of").alias("words")))).alias("draws"))
+    per_block = drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", shard.alias("shard"), "part"))).alias("draws"))
     every = d.where("epoch = 0").select("skey", "block", "source_size", "target")
-    return every.join(per_block, ["skey", "block"], "left").withColumn("draws", F.coalesce("draws", F.expr("cast(array() as array<struct<epoch:bigint,shard:int,words:double>>)"))), n_blocks
+    return every.join(per_block, ["skey", "block"], "left").withColumn("draws", F.coalesce("draws", F.expr("cast(array() as array<struct<epoch:bigint,shard:int,part:boolean>>)"))), taken, n_blocks
 
 
 def _block(n_blocks: int) -> Column:
@@ -134,19 +167,13 @@ def _block(n_blocks: int) -> Column:
 def decide(docs: DataFrame, shards: int = 32, seed: int = 17, most: float = 3.0) -> DataFrame:
     """Every row of ``docs`` with what the mix takes of it: ``row, doc_id, source, size, source_size, target, draws``."""
     sized = sized_rows(docs, seed)
-    per_block, n_blocks = plan(sized, shards, seed, most)
-    s = sized.withColumn("block", _block(n_blocks))
-    base = s.join(per_block, ["skey", "block"]).withColumn("left", F.get(F.filter("draws", lambda d: d["words"].isNotNull()), F.lit(0))["words"])
-    order = W.partitionBy("skey").orderBy("h", "doc_id", "size", "row")
-    every = order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    opened = base.where("left is not null").withColumn("taken", F.lit(False))
-    for _ in range(2):
-        fits = ~F.col("taken") & (F.col("size") <= F.col("left"))
-        opened = opened.withColumn("run", F.sum(F.when(fits, F.col("size")).otherwise(0)).over(order)).withColumn("now", fits & (F.col("run") <= F.col("left")))
-        opened = opened.withColumn("left", F.col("left") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(every)).withColumn("taken", F.col("taken") | F.col("now")).drop("run", "now")
-    taken = F.when(F.col("taken"), F.col("draws")).otherwise(F.filter("draws", lambda d: d["words"].isNull()))
+    per_block, taken, n_blocks = plan(sized, shards, seed, most)
+    base = sized.withColumn("block", _block(n_blocks)).join(per_block, ["skey", "block"])
+    part = F.exists("draws", lambda d: d["part"])
+    opened = base.where(part).join(taken.select("row", F.lit(True).alias("taken")), "row", "left")
+    draws = F.when(F.col("taken"), F.col("draws")).otherwise(F.filter("draws", lambda d: ~d["part"]))
     out = ["row", "doc_id", "source", "size", "source_size", "target", "h"]
-    return base.where("left is null").select(*out, "draws").unionByName(opened.select(*out, taken.alias("draws")))
+    return base.where(~part).select(*out, "draws").unionByName(opened.select(*out, draws.alias("draws")))
 
 
 def mix(docs: DataFrame, shards: int = 32, seed: int = 17, most: float = 3.0) -> DataFrame:

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from pictorium.llm import chat, toxicity
+from pictorium.llm import chat, mixing, toxicity
 
 
 def test_toxicity_is_calibrated_whatever_the_sample(spark):
@@ -34,3 +34,11 @@ def test_chat_texts_that_end_like_a_turn(spark):
         assert r[c]["valid"] and r[c]["n_turns"] == 3
         assert r[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for role in ("system", "user", "assistant")).encode()).hexdigest()
         assert r[c]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_mixing_fills_targets_past_a_long_document(spark):
+    rows = [(i, "w " * 40, "a") for i in range(500)] + [(500, "w " * 15_000, "a")] + [(1000 + i, "w " * 175, "b") for i in range(100)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (3, 6):
+        got = {r["source"]: r for r in mixing.taken_words(d, seed=seed).join(d, "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("goal")).collect()}
+        assert 0 <= got["a"]["goal"] - got["a"]["t"] < 40 and got["b"]["goal"] == got["b"]["t"]
