@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word: a longest run of anything but space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 ARROW_ROWS = 2000
 
 
@@ -28,8 +28,10 @@ def bound_arrow(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one is made only where the session names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="pictorium-"))
     return base.rstrip("/")
 
@@ -45,7 +47,15 @@ def durable(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a reader of it."""
     path = path or new_path(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.durable_path = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete the table that :func:`durable` returned as ``df``; nothing may read it any more."""
+    if getattr(df, "durable_path", None):
+        remove(df.sparkSession, df.durable_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

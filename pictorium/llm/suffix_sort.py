@@ -78,13 +78,14 @@ def suffix_array(text: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
 
 
 def common_prefixes(order: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """Bytes that neighbours of ``order`` share from their start, in eights, ``depth`` (a multiple of 8) at most."""
+    """Bytes that neighbours of ``order`` share from their start, in eights and, at the end, ``depth`` at most."""
     a, b = order[:-1], order[1:]
     out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
     for d in range(0, depth, 8):
-        live = live[words[a[live] + d] == words[b[live] + d]]
-        out[live] = d + 8
+        unused = np.uint64(8 * max(0, d + 8 - depth))  # bits of the last word beyond depth
+        live = live[words[a[live] + d] >> unused == words[b[live] + d] >> unused]
+        out[live] = min(d + 8, depth)
     return out
 
 

@@ -221,29 +221,46 @@ def test_suffix_array():
         keys = [t.tobytes()[i : i + 16] for i in order]
         assert sorted(order) == list(range(len(t))) and keys == sorted(keys)
     assert [f.tolist() for f in repeated_windows([b"abcabcabX", b"cabY"], [2, 1], 8)] == [[False, False], [False]]
-
-
-@pytest.mark.parametrize("hot", [20_000, 1])
-def test_repeats(docs, odd, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_CONTENTS", hot)
-    for df in (docs.where("length(text) < 4000"), odd):
+    assert [f.tolist() for f in repeated_windows([b"abcdefghijX", b"abcdefghijY"], [2, 2], 10)] == [[True, False], [True, False]]
+
+
+def without_repeated(texts, window):
+    """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` by brute force."""
+    seen = {}
+    for _, t in texts:
+        for i in range(len(t) - window + 1):
+            seen[t[i : i + window]] = seen.get(t[i : i + window], 0) + 1
+    out = []
+    for d, t in texts:
+        gone = np.zeros(len(t), bool)
+        for i in range(len(t) - window + 1):
+            if seen[t[i : i + window]] > 1:
+                gone[i : i + window] = True
+        runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) > 0).sum())
+        out.append((d, len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("window", "hot"), [(200, 1 << 20), (200, 300), (50, 60), (101, 1 << 20), (3, 1 << 20)])
+def test_repeats(docs, odd, window, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", hot)
+    for df in (docs.where("length(text) < 2000"), odd):
         texts = [(r["doc_id"], (r["text"] or "").encode()) for r in df.collect()]
-        seen = {}
-        for _, t in texts:
-            for i in range(len(t) - 199):
-                seen[t[i : i + 200]] = seen.get(t[i : i + 200], 0) + 1
-        want = []
-        for d, t in texts:
-            gone = np.zeros(len(t), bool)
-            for i in range(len(t) - 199):
-                if seen[t[i : i + 200]] > 1:
-                    gone[i : i + 200] = True
-            runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) > 0).sum())
-            want.append((d, len(t), int(gone.sum()), runs, hashlib.sha256(np.frombuffer(t, np.uint8)[~gone].tobytes()).hexdigest()))
-        key = lambda r: (r[0] is None, r[0] or 0, *r[1:])
-        assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect()), key=key) == sorted(want, key=key)
+        assert sorted(map(tuple, suffix_dedup.remove_repeats(df, window).collect()), key=str) == without_repeated(texts, window)
     assert suffix_dedup.remove_repeats(odd.limit(0)).count() == 0
-    assert suffix_dedup.without_repeats(odd).columns == odd.columns
+    assert suffix_dedup.without_repeats(odd.withColumn("_", F.lit(1)).withColumn("t1", F.lit("x"))).columns == [*odd.columns, "_", "t1"]
+
+
+def test_a_passage_in_many_contexts_is_split(spark, monkeypatch):
+    """A common string with different bytes around it: names grow until each has few contents."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    common = word(150)
+    texts = [(i, (word(rng.randrange(300)) + common + rng.choice(["", common]) + word(rng.randrange(300)) + rng.choice(["x", "y"]) * 250)) for i in range(120)]
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", 1000)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == without_repeated([(d, t.encode()) for d, t in texts], 200)
 
 
 def test_chat(spark):
