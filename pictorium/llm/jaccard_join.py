@@ -1,76 +1,103 @@
 """N-gram Jaccard self join by grouped prefixes.
 
-1. A count sketch of all documents' shingles (a fixed number of counters, summed over
-   tasks) gives the global order: rare first, then by hash. Any order is exact; this one
-   keeps common passages out of prefixes.
+1. Counters over all documents, more of them where there are more documents, hold how many
+   documents a shingle has in common with others of its task. They give the global order:
+   rare first, then by hash. Any order is exact; this one keeps common passages out of prefixes.
 2. Two sets whose Jaccard similarity reaches ``num / den`` share a shingle among the first
    ``n - ceil(n * num / den) + 1`` of each. Equal sets are one class; classes with the same
-   prefix and size are one group (its classes' bin counts, below, agreeing), and only groups meet on prefix shingles.
-3. Groups that share a prefix shingle meet. A pair is filtered by size and by a lower bound of
-   its difference, the distance of the sets' counts over BINS hash bins; what is left ties
-   groups together, with fewer ties than groups for each shingle. What hangs together is a
-   candidate set.
-4. Within a candidate set groups expand to classes and every pair of different, not yet
-   connected classes whose sizes allow it is verified on whole sets. Large candidate sets are
-   cut into blocks and every pair of blocks is a task of bounded memory.
-5. Verified links give the components.
+   prefix and size are one group, and only groups meet on prefix shingles.
+3. A pair of groups that meet is filtered by size and by a lower bound of the difference of
+   their members: the gap between the ranges of their members' counts over BINS hash bins.
+   What is left ties groups together, with fewer ties than groups for each shingle. What
+   hangs together is a candidate set.
+4. Groups expand to their classes. A task holds a candidate set and verifies, on whole sets,
+   every pair of classes that shares a prefix shingle there, that its sizes allow and that is
+   not connected yet. So links are a spanning forest of what is similar.
+5. Shingles with more than MEETING groups and candidate sets beyond BLOCK_CLASSES classes or
+   BLOCK_SHINGLES shingles are dealt in blocks, each row once, and what that connects gets a
+   label. Then rows of different labels meet, block by block; those of the largest label
+   never meet each other. So a large group of near copies costs little more than its size.
+6. Verified links give the components.
+
+A text is known by two 64-bit hashes, a set by its size and two.
 
 Defined results: null and blank texts have an empty set and link with nothing; a text with
 fewer than ``k`` words is one shingle; equal texts are one class; rows that repeat a
-``doc_id`` keep a row each; a row whose ``doc_id`` is null takes the component of its class;
-an empty table gives no rows. Columns other than ``doc_id`` and ``text`` are ignored.
+``doc_id``, with one text or with several, keep a row each; a row whose ``doc_id`` is null takes
+the component of its class, null where no row of that has an id; an empty table gives no
+rows. Columns other than ``doc_id`` and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable
+from .common import WORD, connected_components, durable
 from .shingles import mix, shingle_sets
 
-SLOTS = 1 << 22
-CHUNK = 1 << 12
+SLOTS_A_DOCUMENT = 64
+MOST_SLOTS = 1 << 24
+CHUNK = 1 << 14
 BLOCK_CLASSES = 1500
-BLOCK_SHINGLES = 1_500_000
+BLOCK_SHINGLES = 1_000_000
 BINS = 64
 MEETING = 2000
+SEEDS = (0x5851F42D4C957F2D, 0x14057B7EF767814F)
 
 
 def count_sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """SLOTS counters of shingles by hash, over all documents; each task's counters stop at 255."""
+    """Counters of shingles by hash, over all documents: a byte each, in steps of a quarter of a doubling.
+
+    A task leaves out what it sees once. There are SLOTS_A_DOCUMENT counters a document, MOST_SLOTS at most.
+    """
+    slots = max(CHUNK, min(MOST_SLOTS, 1 << (docs.count() * SLOTS_A_DOCUMENT).bit_length()))
 
     def run(batches):
         import pyarrow as pa
 
-        counts = np.zeros(SLOTS, np.uint32)
+        counts = np.zeros(slots, np.uint32)
         for b in batches:
             h, _ = shingle_sets(b["text"], k)
-            counts += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
-        small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, CHUNK)
-        at = np.flatnonzero(small.any(axis=1))
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(at, pa.int32()), "counts": pa.array([small[i].tobytes() for i in at], pa.binary())})
+            at, n = np.unique((h & np.uint64(slots - 1)).astype(np.uint32), return_counts=True)
+            counts[at] += n.astype(np.uint32)
+        at = np.flatnonzero(counts > 1)
+        edges = np.searchsorted(at, np.arange(0, slots + 1, CHUNK))
+        for c in np.flatnonzero(np.diff(edges)).tolist():
+            own = at[edges[c] : edges[c + 1]]
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "places": [(own % CHUNK).astype(np.uint16).tobytes()], "counts": [counts[own].tobytes()]})
 
     def total(key, table):
         import pyarrow as pa
 
-        out = np.zeros(CHUNK, np.uint32)
-        for x in table["counts"]:
-            out += np.frombuffer(x.as_buffer(), np.uint8)
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([out.tobytes()], pa.binary())})
+        out = np.zeros(CHUNK, np.uint64)
+        for places, counts in zip(table["places"], table["counts"], strict=True):
+            out[np.frombuffer(places.as_buffer(), np.uint16)] += np.frombuffer(counts.as_buffer(), np.uint32)
+        code = np.minimum(255, np.round(4 * np.log2(1.0 + out))).astype(np.uint8)
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([code.tobytes()], pa.binary())})
 
-    partial = docs.select("text").mapInArrow(run, "chunk int, counts binary")
-    # SLOTS * 4 bytes reach the driver, whatever the input is
+    partial = docs.select("text").mapInArrow(run, "chunk int, places binary, counts binary")
+    # a byte for each counter reaches the driver
     rows = partial.groupBy("chunk").applyInArrow(total, "chunk int, counts binary").collect()
-    out = np.zeros((SLOTS // CHUNK, CHUNK), np.uint32)
+    out = np.zeros((slots // CHUNK, CHUNK), np.uint8)
     for r in rows:
-        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint32)
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.uint8)
     return out.reshape(-1)
 
 
+def identified(docs: DataFrame) -> DataFrame:
+    """``doc_id, t1, t2, text`` of every row."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
+
+
+def _set_hashes(h: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    return [_sums(mix(h ^ np.uint64(seed)), at).view(np.int64) for seed in SEEDS]
+
+
 def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n, s1, s2, p, prefix, bins``: set size, two hashes of the set, one of the prefix, the prefix and counts by bin."""
+    """``doc_id, t1, t2, n, s1, s2, p, prefix, bins``: set size, two hashes of the set, one of the prefix, the prefix and counts by bin."""
     order = docs.sparkSession.sparkContext.broadcast(count_sketch(docs, k))
 
     def run(batches):
@@ -80,20 +107,24 @@ def prefixes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             h, at = shingle_sets(b["text"], k)
             n = np.diff(at)
             doc = np.repeat(np.arange(len(n)), n)
-            s1, s2 = (_sums(mix(h ^ np.uint64(seed)), at) for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
-            ranked = np.lexsort((h, order.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)], doc))
-            keep = n - (n * num + den - 1) // den + (n > 0)
+            slots = np.uint64(len(order.value) - 1)
+            ranked = np.lexsort((h, order.value[(h & slots).astype(np.int64)], doc))
+            keep = kept(n, num, den)
             rank = np.arange(len(h)) - np.repeat(at[:-1], n)
             chosen = h[ranked[rank < np.repeat(keep, n)]]
             ends = np.concatenate(([0], np.cumsum(keep)))
-            p = _sums(mix(chosen), ends)
             bins = np.bincount(doc * BINS + (h >> np.uint64(58)).astype(np.int64), minlength=len(n) * BINS).reshape(-1, BINS)
             bins = np.minimum(bins, 255).astype(np.uint8)
             long = lambda x: pa.array(x.view(np.int64), pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), long(chosen))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), long(s1), long(s2), long(p), lists, pa.array([x.tobytes() for x in bins], pa.binary())], names=["doc_id", "n", "s1", "s2", "p", "prefix", "bins"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["t1"], b["t2"], pa.array(n, pa.int64()), *map(pa.array, _set_hashes(h, at)), long(_sums(mix(chosen), ends)), lists, pa.array([x.tobytes() for x in bins], pa.binary())], names=["doc_id", "t1", "t2", "n", "s1", "s2", "p", "prefix", "bins"])
+
+    return docs.mapInArrow(run, "doc_id long, t1 long, t2 long, n long, s1 long, s2 long, p long, prefix array<long>, bins binary")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, p long, prefix array<long>, bins binary")
+
+def kept(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Lengths of prefixes of sets of size ``n``."""
+    return n - (n * num + den - 1) // den + (n > 0)
 
 
 def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -101,36 +132,43 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def linked_pairs(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is similar among ``sets``; if there are two blocks, only pairs across them are compared.
+def linked_pairs(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect what is similar among ``sets``, where equal ``labels`` are connected already.
 
-    A pair already connected is not compared; every other pair that its sizes allow is.
+    Compared is every pair that meets on a shingle of its prefixes (in an order of the given
+    sets' own, rare first), whose sizes allow it and that is not connected.
     """
     by_size = np.argsort([len(s) for s in sets], kind="stable")
-    sets = [sets[i] for i in by_size]
-    ids, blocks = ids[by_size], blocks[by_size]
+    sets, ids = [sets[i] for i in by_size], ids[by_size]
+    part = np.unique(labels[by_size], return_inverse=True)[1]
     sizes = np.array([len(s) for s in sets])
-    across = len(set(blocks.tolist())) > 1
-    terms, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
+    terms, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    ranked = np.lexsort((flat, counts[flat], doc))
+    keep = kept(sizes, num, den)
+    chosen = ranked[np.arange(len(flat)) - np.repeat(starts, sizes) < np.repeat(keep, sizes)]
+    chosen = chosen[counts[flat[chosen]] > 1]
+    term, owner = flat[chosen], doc[chosen]
+    by_term = np.lexsort((owner, term))
+    posted, posted_term = owner[by_term], term[by_term]
+    first = np.searchsorted(owner, np.arange(len(sets) + 1))
+    lo, hi = np.searchsorted(posted_term, term, "left"), np.searchsorted(posted_term, term, "right")
     mark = np.zeros(len(terms), np.uint8)
-    part = np.arange(len(sets))
     links = []
     for i in range(len(sets) - 1):
         end = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))
-        open_ = part[i + 1 : end] != part[i]
-        if across:
-            open_ &= blocks[i + 1 : end] != blocks[i]
-        others = i + 1 + np.flatnonzero(open_)
+        met = [posted[lo[x] : hi[x]] for x in range(first[i], first[i + 1])]
+        if not met:
+            continue
+        others = np.concatenate(met)
+        others = others[(others > i) & (others < end)]
+        others = np.unique(others[part[others] != part[i]])
         if not len(others):
             continue
         own = flat[starts[i] : starts[i] + sizes[i]]
         mark[own] = 1
-        if len(others) * 3 > end - i:
-            lo, hi = starts[i + 1], starts[end - 1] + sizes[end - 1]
-            both = np.add.reduceat(mark[flat[lo:hi]], starts[i + 1 : end] - lo, dtype=np.int64)[others - i - 1]
-        else:
-            both = np.array([mark[flat[starts[j] : starts[j] + sizes[j]]].sum(dtype=np.int64) for j in others])
+        both = np.array([np.count_nonzero(mark[flat[starts[j] : starts[j] + sizes[j]]]) for j in others])
         mark[own] = 0
         for j in others[den * both >= num * (sizes[i] + sizes[others] - both)]:
             if part[j] != part[i]:
@@ -139,153 +177,225 @@ def linked_pairs(ids: np.ndarray, blocks: np.ndarray, sets: list[np.ndarray], nu
     return links
 
 
-def ties_of(gids: np.ndarray, blocks: np.ndarray, n: np.ndarray, bins: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Ties that connect the groups of one prefix shingle which the filters cannot tell apart."""
+def ties_of(gids: np.ndarray, labels: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
+    """Ties that connect the groups of one prefix shingle which the filters cannot tell apart; equal ``labels`` are tied already."""
     order = np.argsort(n, kind="stable")
-    gids, blocks, n, bins = gids[order], blocks[order], n[order], bins[order].astype(np.int16)
-    across = len(set(blocks.tolist())) > 1
-    part, ties = np.arange(len(n)), []
+    gids, n, low, high = gids[order], n[order], low[order].astype(np.int16), high[order].astype(np.int16)
+    part, ties = np.unique(labels[order], return_inverse=True)[1], []
     for i in range(len(n) - 1):
         end = int(np.searchsorted(n, n[i] * den // num, "right"))
-        open_ = part[i + 1 : end] != part[i]
-        if across:
-            open_ &= blocks[i + 1 : end] != blocks[i]
-        others = i + 1 + np.flatnonzero(open_)
+        others = i + 1 + np.flatnonzero(part[i + 1 : end] != part[i])
         if not len(others):
             continue
         both = n[i] + n[others]
         most = both - 2 * -(-num * both // (num + den))
-        for j in others[np.abs(bins[others] - bins[i]).sum(axis=1) <= most]:
+        gap = np.maximum(0, np.maximum(low[others] - high[i], low[i] - high[others])).sum(axis=1)
+        for j in others[gap <= most]:
             if part[j] != part[i]:
                 ties.append((int(gids[i]), int(gids[j])))
                 part[part == part[j]] = part[i]
     return ties
 
 
-def tied(groups: DataFrame, num: int, den: int) -> DataFrame:
-    """Ties ``u, v`` between groups (``gid, n, prefix, bins``) that share a prefix shingle and pass the filters.
+def once(rows: DataFrame, blocks: Column, id_: str, salt: int = 0) -> DataFrame:
+    """Each row in one of its key's ``blocks``: columns ``i, j`` (0) and ``label``, the row's own id."""
+    return rows.withColumns({"i": F.pmod(F.xxhash64(F.lit(salt), id_), blocks).cast("int"), "j": F.lit(0), "label": F.col(id_)})
 
-    A shingle with more than MEETING groups is cut into blocks, and every pair of blocks is a task's.
+
+def across(rows: DataFrame, key: str, id_: str, labels: DataFrame, most: Column, cols: list[str]) -> DataFrame:
+    """Rows dealt to tasks ``key, i, j`` so that any two of a key with different labels meet; ``most``: of a key's rows, those of a block.
+
+    The rows of a key's largest label never meet each other, and keys with one label are left out.
     """
+    rows = rows.join(labels, rows[id_] == labels["node"], "left").withColumn("label", F.coalesce("component", id_))
+    n = rows.groupBy(key, "label").agg(F.count("*").alias("m"), most.alias("most"))
+    per = n.groupBy(key).agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.max("m").alias("in_main"), F.sum("m").alias("all"), F.min("most").alias("most"))
+    per = per.where("all > in_main").select(key, "main", F.ceil((F.col("all") - F.col("in_main")) / F.col("most")).cast("int").alias("rb"), F.ceil(F.col("in_main") / F.col("most")).cast("int").alias("mb"))
+    rows = rows.join(per, key)
+    own = F.when(F.col("label") == F.col("main"), F.col("rb") + F.pmod(F.xxhash64(id_), F.col("mb"))).otherwise(F.pmod(F.xxhash64(id_), F.col("rb"))).cast("int")
+    rows = rows.withColumn("own", own)
+    others = F.sequence(F.lit(0), F.when(F.col("label") == F.col("main"), F.col("rb")).otherwise(F.col("rb") + F.col("mb")) - 1)
+    pair = F.transform(others, lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
+    return rows.withColumn("b", F.explode(pair)).select(key, "b.i", "b.j", "label", *cols)
+
+
+def boxes(classes: DataFrame) -> DataFrame:
+    """``n, p, gid, prefix, low, high`` of every group of ``classes``: the least and the largest count of its members in each bin."""
+    plain = classes.groupBy("n", "p").agg(F.min("cid").alias("gid"), F.min(F.struct("cid", "prefix"))["prefix"].alias("prefix"), F.min("bins").alias("low"), F.max("bins").alias("high"))
+    plain = durable(plain, "groups")
+    mixed = plain.where("low <> high").select("n", "p")
+    if mixed.isEmpty():
+        return plain
+
+    def fold(batches):
+        import pyarrow as pa
+
+        box: dict[tuple, list] = {}
+
+        def out():
+            n, p = zip(*box, strict=True) if box else ((), ())
+            batch = pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(p, pa.int64()), *(pa.array([x[i].tobytes() for x in box.values()], pa.binary()) for i in (0, 1))], names=["n", "p", "low", "high"])
+            box.clear()
+            return batch
+
+        for b in batches:
+            for n, p, low, high in zip(*(b[c].to_pylist() for c in ("n", "p", "low", "high")), strict=True):
+                low, high = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8)
+                old = box.get((n, p))
+                box[n, p] = [low, high] if old is None else [np.minimum(low, old[0]), np.maximum(high, old[1])]
+            if len(box) > 20_000:
+                last = (n, p)
+                keep = box.pop(last)
+                yield out()
+                box[last] = keep
+        yield out()
+
+    ddl = "n long, p long, low binary, high binary"
+    members = classes.select("n", "p", F.col("bins").alias("low"), F.col("bins").alias("high")).join(mixed, ["n", "p"])
+    # folded in each task first, so that a group which holds a third of the classes is a few rows
+    both = members.mapInArrow(fold, ddl).repartition("n", "p").sortWithinPartitions("n", "p").mapInArrow(fold, ddl)
+    both = both.select("n", "p", F.struct("low", "high").alias("box"))
+    wide = plain.join(both, ["n", "p"], "left")
+    return durable(wide.select("n", "p", "gid", "prefix", F.coalesce("box.low", "low").alias("low"), F.coalesce("box.high", "high").alias("high")), "boxes")
+
+
+def _keyed(batches, cols: list[str], keys: int):
+    """The rows of sorted batches, a list of columns for each run of equal first ``keys`` columns."""
+    key, group = None, None
+    for b in batches:
+        for row in zip(*(b[c].to_pylist() for c in cols), strict=True):
+            if row[:keys] != key:
+                if group:
+                    yield key, group
+                key, group = row[:keys], [[] for _ in cols[keys:]]
+            for to, x in zip(group, row[keys:], strict=True):
+                to.append(x)
+    if group:
+        yield key, group
+
+
+def _pairs_batch(pairs):
+    import pyarrow as pa
+
+    u, v = zip(*pairs, strict=True) if pairs else ((), ())
+    return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def tied(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """Ties ``u, v`` between groups (``gid, n, prefix, low, high``) that share a prefix shingle and pass the filters."""
     postings = groups.select("gid", F.explode("prefix").alias("shingle"))
     shared = postings.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
-    met = postings.join(shared, "shingle").join(groups.select("gid", "n", "bins"), "gid")
-    blocks = F.ceil(F.col("m") / MEETING).cast("int")
-    met = met.withColumn("block", F.pmod(F.xxhash64("gid"), blocks).cast("int"))
-    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = met.withColumn("b", F.explode(pair)).select("shingle", "b.i", "b.j", "block", "gid", "n", "bins")
-    dealt = dealt.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j", "gid")
+    met = postings.join(shared, "shingle").join(groups.select("gid", "n", "low", "high"), "gid")
+    cols = ["gid", "n", "low", "high"]
 
     def run(batches):
-        import pyarrow as pa
-
         seen: set[tuple] = set()
         found: set[tuple[int, int]] = set()
-
-        def flush(gids, blocks, n, bins):
-            key = tuple(gids)
-            if len(gids) < 2 or key in seen:
-                return
+        for _, (label, gids, n, low, high) in _keyed(batches, ["shingle", "i", "j", "label", *cols], 3):
+            if len(gids) < 2 or (key := tuple(gids)) in seen:
+                continue
             if len(gids) < 50:  # near copies share many shingles, and the same groups meet again and again
                 if len(seen) > 50_000:
                     seen.clear()
                 seen.add(key)
-            found.update(ties_of(np.array(gids), np.array(blocks), np.array(n), np.frombuffer(b"".join(bins), np.uint8).reshape(-1, BINS), num, den))
-
-        def out():
-            u, v = zip(*found, strict=True) if found else ((), ())
-            found.clear()
-            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-        last, group = None, ([], [], [], [])
-        for b in batches:
-            cols = [b[c].to_pylist() for c in ("shingle", "i", "j", "gid", "block", "n", "bins")]
-            for s, i, j, *row in zip(*cols, strict=True):
-                if (s, i, j) != last:
-                    flush(*group)
-                    last, group = (s, i, j), ([], [], [], [])
-                for to, x in zip(group, row, strict=True):
-                    to.append(x)
+            found.update(ties_of(np.array(gids), np.array(label), np.array(n), *(np.frombuffer(b"".join(x), np.uint8).reshape(-1, BINS) for x in (low, high)), num, den))
             if len(found) > 50_000:
-                yield out()
-        flush(*group)
-        yield out()
+                yield _pairs_batch(found)
+                found.clear()
+        yield _pairs_batch(found)
+
+    def ties(dealt):
+        keys = ["shingle", "i", "j"]
+        return dealt.select(*keys, "label", *cols).repartition(*keys).sortWithinPartitions(*keys, "gid").mapInArrow(run, "u long, v long")
 
-    return dealt.mapInArrow(run, "u long, v long")
+    found = durable(ties(once(met, F.ceil(F.col("m") / MEETING), "gid")), "ties")
+    large = shared.where(F.col("m") > MEETING)
+    if large.isEmpty():
+        return found
+    rows = durable(met.where(F.col("m") > MEETING).select("shingle", *cols), "met")
+    return found.unionByName(ties(across(rows, "shingle", "gid", durable(connected_components(found), "tied"), F.lit(MEETING), cols)))
 
 
 def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Links ``u, v`` among classes; ``candidates``: ``doc_id, s1, s2, n, comp`` of one document of each class."""
-    size = candidates.groupBy("comp").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles"))
+    """``node, component`` of linked classes; ``candidates``: ``cid, doc_id, t1, t2, n, comp`` with one text of each class."""
+    size = candidates.groupBy("comp").agg(F.count("*").alias("classes"), F.sum("n").alias("shingles")).where("classes > 1")
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    cand = candidates.join(size.where("classes > 1").select("comp", blocks.alias("blocks")), "comp").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    cand = durable(candidates.join(size.select("comp", blocks.alias("blocks"), F.ceil(F.col("classes") / blocks).alias("most")), "comp"), "candidates")
 
-    def sets(batches):
-        import pyarrow as pa
+    def with_sets(rows: DataFrame) -> DataFrame:
+        def sets(batches):
+            import pyarrow as pa
 
-        for b in batches:
-            h, at = shingle_sets(b["text"], k)
-            s1 = _sums(mix(h ^ np.uint64(0x5851F42D4C957F2D)), at).view(np.int64)
-            own = np.flatnonzero(s1 == b["s1"].to_numpy(zero_copy_only=False)) if len(s1) else []
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(own, pa.int64())), b["comp"].take(pa.array(own, pa.int64())), b["blocks"].take(pa.array(own, pa.int64())), b["block"].take(pa.array(own, pa.int64())), pa.array([h[at[i] : at[i + 1]].tobytes() for i in own], pa.binary())], names=["doc_id", "comp", "blocks", "block", "hashes"])
+            for b in batches:
+                h, at = shingle_sets(b["text"], k)
+                hashes = pa.array([h[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b["cid"], b["comp"], b["blocks"], b["most"], hashes], names=["cid", "comp", "blocks", "most", "hashes"])
 
-    texts = docs.select("doc_id", "text").join(cand.select("doc_id", "s1", "comp", "blocks", "block"), "doc_id")
-    rows = texts.mapInArrow(sets, "doc_id long, comp long, blocks int, block int, hashes binary")
-    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("i"), F.greatest(o, F.col("block")).alias("j")))
-    dealt = rows.withColumn("b", F.explode(pair)).select("comp", "b.i", "b.j", "block", "doc_id", "hashes")
-    dealt = dealt.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
+        r = rows.withColumnsRenamed({c: f"rep_{c}" for c in ("doc_id", "t1", "t2")})
+        same = (docs["t1"] == r["rep_t1"]) & (docs["t2"] == r["rep_t2"]) & docs["doc_id"].eqNullSafe(r["rep_doc_id"])
+        return docs.join(r, same).select("text", "cid", "comp", "blocks", "most").mapInArrow(sets, "cid long, comp long, blocks int, most long, hashes binary")
 
     def run(batches):
-        import pyarrow as pa
-
-        def flush(ids, blocks, sets):
-            seen: dict[int, int] = {}
-            for x, d in enumerate(ids):
-                seen.setdefault(d, x)
-            at = list(seen.values())
-            links = linked_pairs(np.array([ids[x] for x in at]), np.array([blocks[x] for x in at]), [np.frombuffer(sets[x], np.uint64) for x in at], num, den) if len(at) > 1 else []
-            u, v = zip(*links, strict=True) if links else ((), ())
-            return pa.RecordBatch.from_pydict({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
-
-        key, group = None, ([], [], [])
-        for b in batches:
-            for c, i, j, block, doc, hashes in zip(*(b[x].to_pylist() for x in ("comp", "i", "j", "block", "doc_id", "hashes")), strict=True):
-                if (c, i, j) != key:
-                    if group[0]:
-                        yield flush(*group)
-                    key, group = (c, i, j), ([], [], [])
-                for to, x in zip(group, (doc, block, hashes), strict=True):
-                    to.append(x)
-        if group[0]:
-            yield flush(*group)
-
-    return dealt.mapInArrow(run, "u long, v long")
+        for _, (label, cids, hashes) in _keyed(batches, ["comp", "i", "j", "label", "cid", "hashes"], 3):
+            at = list(dict(zip(cids, range(len(cids)), strict=True)).values())  # rows may repeat
+            if len(at) > 1:
+                yield _pairs_batch(linked_pairs(np.array([cids[x] for x in at]), np.array([label[x] for x in at]), [np.frombuffer(hashes[x], np.uint64) for x in at], num, den))
+
+    def links(dealt: DataFrame) -> DataFrame:
+        keys = ["comp", "i", "j"]
+        return dealt.select(*keys, "label", "cid", "hashes").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+
+    found = durable(links(once(with_sets(cand), F.col("blocks"), "cid")), "links")
+    large = cand.where("blocks > 1")
+    if large.isEmpty():
+        return connected_components(found)
+    sets = durable(with_sets(large), "sets")
+    found = found.unionByName(durable(links(once(sets, F.col("blocks"), "cid", salt=1)), "links"))  # dealt anew, to connect most of what other blocks hold
+    labels = durable(connected_components(found), "labels")
+    return connected_components(found.unionByName(links(across(sets, "comp", "cid", labels, F.min("most"), ["cid", "hashes"]))))
+
+
+def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """Every row as ``doc_id, t1, t2, n, s1, s2``; every set as ``n, s1, s2, comp, component``: its component and that one's smallest ``doc_id``."""
+    docs = identified(docs)
+    rows = durable(prefixes(docs, k, num, den), "prefixes")
+    rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
+    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(rep).alias("rep"), F.min("p").alias("p"), F.min("prefix").alias("prefix"), F.min("bins").alias("bins"))
+    classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    groups = boxes(classes)
+    sets = connected_components(tied(groups, num, den))
+    grouped = classes.select("cid", "n", "p", "rep").join(groups.select("n", "p", "gid"), ["n", "p"])
+    candidates = grouped.join(sets, grouped["gid"] == sets["node"], "left").select("cid", "rep.doc_id", "rep.t1", "rep.t2", "n", F.coalesce("component", "gid").alias("comp"))
+    found = verify(docs, candidates, k, num, den)
+    named = classes.select("n", "s1", "s2", "cid", "rep").join(found, classes["cid"] == found["node"], "left").select("n", "s1", "s2", "rep", F.coalesce("component", "cid").alias("comp"))
+    named = durable(named, "named")
+    least = named.groupBy("comp").agg(F.min("rep.doc_id").alias("component"))
+    return rows, named.select("n", "s1", "s2", "comp").join(least, "comp")
 
 
 def components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """``doc_id, n_shingles, component_id, key`` of every row; ``key``: a hash of its text."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = durable(prefixes(docs, k, num, den), "prefixes")
-    full = rows.where("n > 0")
-    classes = durable(full.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("cls"), F.min("p").alias("p"), F.min("prefix").alias("prefix"), F.min("bins").alias("bins")).where("cls is not null"), "classes")
-    same = classes.groupBy("n", "p", "bins").agg(F.min("cls").alias("gid"), F.min("prefix").alias("prefix"))
-    groups = durable(same, "groups")
-    sets = connected_components(tied(groups, num, den))
-    grouped = classes.select("cls", "n", "s1", "s2", "p", "bins").join(groups.select("n", "p", "bins", "gid"), ["n", "p", "bins"])
-    candidates = grouped.join(sets, grouped["gid"] == sets["node"], "left").select(F.col("cls").alias("doc_id"), "s1", "s2", "n", F.coalesce("component", "gid").alias("comp"))
-    links = verify(docs, durable(candidates, "candidates"), k, num, den)
-    found = connected_components(links)
-    named = classes.select("n", "s1", "s2", "cls").join(found, classes["cls"] == found["node"], "left").select("n", "s1", "s2", F.coalesce("component", "cls").alias("component"))
+    """``doc_id, n_shingles, component_id`` of every row."""
+    rows, named = classified(docs, k, num, den)
     member = rows.select("doc_id", "n", "s1", "s2").join(named, ["n", "s1", "s2"], "left")
-    return member.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return member.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` without near duplicates: of each component, the row of its smallest ``doc_id``; all columns kept.
+    """The rows of ``docs`` without near duplicates: of each component one row, all columns kept; rows without words stay.
 
-    Rows that repeat a ``doc_id`` and its text count as one; rows without words or ``doc_id`` stay.
+    The row is that of the smallest ``doc_id`` (a null one only where there is no other), then of the
+    least text hash; where whole rows of it repeat, one of them.
     """
-    c = components(docs, k, num, den)
-    drop = c.where("doc_id <> component_id").select(F.col("doc_id").alias("_doc")).distinct()
-    left = docs.join(drop, docs["doc_id"].cast("long") == drop["_doc"], "left_anti")
-    return left.dropDuplicates(["doc_id", "text"])
+    rows, named = classified(docs, k, num, den)
+    member = rows.where("n > 0").select("doc_id", "t1", "t2", "n", "s1", "s2").join(named, ["n", "s1", "s2"])
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
+    one = member.groupBy("comp").agg(chosen.alias("one")).select(F.col("one.doc_id").alias("one_id"), F.col("one.t1").alias("one_t1"), F.col("one.t2").alias("one_t2"))
+    same = lambda r: r["doc_id"].eqNullSafe(F.col("one_id")) & (r["t1"] == F.col("one_t1")) & (r["t2"] == F.col("one_t2"))
+    times = durable(rows.join(one, same(rows)).groupBy("one_id", "one_t1", "one_t2").agg(F.count("*").alias("times")), "chosen")
+    text = F.col("text").cast("string")
+    all_ = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
+    kept_ = all_.join(times.where("times = 1"), same(all_), "left_semi").select("row.*")
+    more = times.where("times > 1")
+    if not more.isEmpty():
+        kept_ = kept_.unionByName(all_.join(more, same(all_), "left_semi").dropDuplicates(["doc_id", "t1", "t2"]).select("row.*"))
+    return kept_.unionByName(docs.where(~F.coalesce(text.rlike(WORD), F.lit(False))))

@@ -104,27 +104,65 @@ def shingles(text, k):
     return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if len(w) >= k else frozenset([tuple(w)] if w else [])
 
 
-@pytest.mark.parametrize("blocks", [1500, 3])
-def test_jaccard(docs, odd, blocks, monkeypatch):
+def components_of(rows, k, num, den):
+    """``doc_id, n_shingles, component_id`` of ``(doc_id, text)`` rows by brute force."""
+    sets = [shingles(t, k) for _, t in rows]
+    part = list(range(len(rows)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if s and sets[j] and den * len(s & sets[j]) >= num * len(s | sets[j]) and part[i] != part[j]:
+                old = part[i]
+                part = [part[j] if x == old else x for x in part]
+    ids = [d for d, _ in rows]
+    least = {p: min((d for d, q in zip(ids, part, strict=True) if q == p and d is not None), default=None) for p in part}
+    return sorted(((d, len(s), least[p] if s else d) for d, s, p in zip(ids, sets, part, strict=True)), key=str)
+
+
+@pytest.mark.parametrize(("blocks", "meeting"), [(1500, 2000), (3, 2)])
+def test_jaccard(docs, odd, blocks, meeting, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", blocks)
-    rows = [(r["doc_id"], shingles(r["text"], 3)) for r in docs.collect()]
-    parent = {d: d for d, _ in rows}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i, (a, s) in enumerate(rows):
-        for b, t in rows[i + 1 :]:
-            if s and t and 100 * len(s & t) >= 90 * len(s | t):
-                parent[max(find(a), find(b))] = min(find(a), find(b))
-    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard_join.components(docs, 3, 90, 100).collect()}
-    assert got == {(d, len(s), find(d)) for d, s in rows}
-    assert sorted(map(str, (r["component_id"] for r in jaccard_join.components(odd, 3, 90, 100).where("doc_id = 4 or doc_id is null").collect()))) == ["4", "4", "4"]
+    monkeypatch.setattr(jaccard_join, "MEETING", meeting)
+    for df in (docs, odd):
+        got = sorted(map(tuple, jaccard_join.components(df, 3, 90, 100).collect()), key=str)
+        assert got == components_of([(r["doc_id"], r["text"]) for r in df.collect()], 3, 90, 100)
     assert jaccard_join.components(odd.limit(0), 3, 90, 100).count() == 0
 
 
+@pytest.mark.parametrize(("blocks", "meeting"), [(1500, 2000), (7, 5)])
+def test_jaccard_of_chains_groups_and_repeated_ids(spark, blocks, meeting, monkeypatch):
+    """A chain of near copies, sets that share prefix and size but not the rest, and texts that share a doc_id."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_CLASSES", blocks)
+    monkeypatch.setattr(jaccard_join, "MEETING", meeting)
+    w = [f"w{i}" for i in range(400)]
+    rows = [(10 + i, " ".join(w[i : i + 60])) for i in range(60)]
+    rows += [(200 + i, " ".join([*w[200:240], *(f"v{i}x{j}" for j in range(i % 4)), *w[240:300]])) for i in range(40)]
+    rows += [(1, "a b c d e f g h i j k"), (1, "q r s t u v w x y z"), (2, "a b c d e f g h i j k l"), (3, "q r s t u v w x y z k"), (1, "q r s t u v w x y z"), (None, "nobody has this text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, jaccard_join.components(df, 2, 80, 100).collect()), key=str)
+    assert got == components_of(rows, 2, 80, 100)
+    extra = df.withColumns({"row": F.lit(1), "t1": F.lit("x"), "one_id": F.lit(2)})
+    kept = jaccard_join.one_of_each(extra, 2, 80, 100)
+    assert kept.columns == extra.columns
+    want = {c for _, _, c in got}
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*want, 1], key=str)
+
+
+def test_jaccard_groups_share_prefix_and_size():
+    rng = random.Random(2)
+    for _ in range(30):
+        sets = [np.sort(np.array(rng.sample(range(60), rng.randint(1, 30)), np.uint64)) for _ in range(40)]
+        for i in range(0, 40, 3):
+            sets[i] = np.unique(np.append(sets[i - 1], np.uint64(100 + i)))
+        part = {i: i for i in range(40)}
+        for u, v in jaccard_join.linked_pairs(np.arange(40), np.arange(40), sets, 80, 100):
+            assert 100 * len(np.intersect1d(sets[u], sets[v])) >= 80 * len(np.union1d(sets[u], sets[v]))
+            part = {i: (part[u] if p == part[v] else p) for i, p in part.items()}
+        for i in range(40):
+            for j in range(i):
+                if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+                    assert part[i] == part[j]
+
+
 def test_mixing(docs, odd):
     rows = mixing.taken_words(docs).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.taken_words(docs).collect()))
