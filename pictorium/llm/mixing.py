@@ -12,11 +12,12 @@ Every expression here is a DataFrame or SQL function.
    fits by itself, blocks in order as far as the target goes, then documents of the next block
    in hash order. Rounds end when no document fits.
 3. The tree: the block draws of all sources are split between the two halves of the output
-   shards with a multivariate-hypergeometric draw (each draw goes left with probability
-   places left over draws left), then each half again, down to single shards. Shards get
+   shards with a multivariate-hypergeometric draw (source by source, from what is left of the
+   places and of the draws), then each half again, down to single shards. Shards get
    the exact number of draws, and sources fall into them as a random deal would.
 4. Each shard takes its disjoint run of every source's permuted draws; ``shuffle_key``
-   orders the documents within the shard.
+   orders the documents within the shard. What a document gives is the sum of what the
+   written shards hold of it.
 
 Randomness comes from hashes of the seed and ids, so reruns agree.
 
@@ -36,6 +37,9 @@ from .common import WORD, durable, lookup_join
 DOCS_A_BLOCK = 50_000
 LEAST_BLOCKS = 512
 PASSES = 3
+LEAST_SHARDS = 32
+WORDS_A_SHARD = 50_000_000
+LEVELS_A_TABLE = 5
 
 
 def word_count(text: str | Column) -> Column:
@@ -48,7 +52,7 @@ def sized_rows(docs: DataFrame, seed: int) -> DataFrame:
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         word_count(F.col("text").cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"),
+        F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")).alias("h"),
     )
     return durable(rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~"))).withColumn("row", F.monotonically_increasing_id()), "sized")
 
@@ -69,30 +73,48 @@ def targets(sized: DataFrame, most: float = 3.0) -> DataFrame:
     return s.select("skey", "source", "place", "source_size", F.when(F.col("ratio") < F.col("level"), F.col("cap")).otherwise(F.least("cap", F.col("open_level") * F.col("weight"))).alias("target"))
 
 
-def _split(seed: int, shards: int) -> str:
-    """SQL that splits the quotas of a node (lo, hi, quotas, n) into those of its left half."""
-    at = f"(lo + hi) div 2 * draws div {shards} - lo * draws div {shards}"
-    chance = f"pmod(xxhash64({seed}L, lo, hi, a.j, i), 9007199254740992L) / 9007199254740992D * (a.n - i + 1) < a.k - x"
-    one = f"aggregate(if(q > 0, sequence(1L, q), cast(array() as array<bigint>)), 0L, (x, i) -> x + if({chance}, 1L, 0L))"
+def _split(seed: int) -> str:
+    """SQL that draws, from the quotas of a node (``lo, hi, quotas, n, k``), those of the ``k`` places of its left half.
+
+    For each source, a hypergeometric draw of q among n for k places: weights relative to the
+    mode's follow from their ratios, up to 12 standard deviations and 30 steps either way,
+    beyond which doubles hold nothing, and one uniform number picks among them.
+    """
+    up = "(q - x) * (k - x) / ((x + 1) * greatest(n - q - k + x + 1, 1D))"
+    down = "x * (n - q - k + x) / ((q - x + 1) * (k - x + 1))"
+    total = lambda xs, ratio: f"aggregate({xs}, named_struct('w', 1D, 's', 0D), (b, x) -> named_struct('w', b.w * {ratio}, 's', b.s + b.w), b -> b.s)"
+    walk = lambda xs, ratio, left: f"aggregate({xs}, named_struct('w', 1D, 'left', {left}, 'x', m), (b, x) -> if(b.left < 0, b, named_struct('w', b.w * {ratio}, 'left', b.left - b.w, 'x', x)), b -> b.x)"
+    ups, downs = "sequence(m, least(q, k, m + r))", "sequence(m, greatest(0L, k + q - n, m - r), -1L)"
+    uniform = f"(pmod(xxhash64({seed}L, lo, hi, a.j), 9007199254740992L) + 0.5D) / 9007199254740992D"
+    # names are bound by one-element transforms; the mode counts in both sums, so one of them is left out
+    pick = f"transform(array({uniform} * (su + sd - 1)), t -> if(t < su, {walk(ups, up, 't')}, {walk(downs, down, 't - su + 1')}))[0]"
+    sums = f"transform(array({total(ups, up)}), su -> transform(array({total(downs, down)}), sd -> {pick})[0])[0]"
+    radius = f"transform(array(cast(12 * sqrt(k * (q / n) * (1 - q / n) * (n - k) / greatest(n - 1, 1)) + 30 as bigint)), r -> {sums})[0]"
+    mode = f"transform(array(least(q, k, greatest(0L, k + q - n, (q + 1) * (k + 1) div (n + 2)))), m -> {radius})[0]"
+    one = f"if(q = 0 or a.k = 0, 0L, transform(array(a.n), n -> transform(array(a.k), k -> {mode})[0])[0])"
     step = f"(a, q) -> transform(array({one}), y -> named_struct('k', a.k - y, 'n', a.n - q, 'j', a.j + 1, 'out', concat(a.out, array(y))))[0]"
-    return f"aggregate(quotas, named_struct('k', cast({at} as bigint), 'n', n, 'j', 0L, 'out', cast(array() as array<bigint>)), {step}, a -> a.out)"
+    return f"aggregate(quotas, named_struct('k', k, 'n', n, 'j', 0L, 'out', cast(array() as array<bigint>)), {step}, a -> a.out)"
 
 
 def shard_quotas(counts: DataFrame, shards: int, seed: int) -> DataFrame:
     """``place, shard, quota`` from ``place, n``: exact draws of each source in each shard."""
     node = counts.agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("c"))
-    node = node.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), F.expr("transform(c, x -> x.place)").alias("places"), F.expr("transform(c, x -> x.n)").alias("quotas"))
+    node = node.select(F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), F.expr("transform(c, x -> x.place)").alias("places"), F.expr("transform(c, x -> cast(x.n as bigint))").alias("quotas"))
     node = node.withColumn("draws", F.expr("aggregate(quotas, 0L, (s, q) -> s + q)")).withColumn("n", F.col("draws"))
-    leaf = 1
+    leaf, level = 1, 0
     while leaf < shards:
-        left = node.withColumn("left", F.expr(_split(seed, shards)))
+        if level and level % LEVELS_A_TABLE == 0:
+            node = durable(node.repartition("lo"), "nodes")
+        node = node.withColumn("k", F.expr(f"(lo + hi) div 2 * draws div {shards} - lo * draws div {shards}"))
+        left = node.withColumn("left", F.expr(_split(seed)))
         halves = F.array(
             F.struct(F.col("lo"), F.expr("(lo + hi) div 2").alias("hi"), F.col("left").alias("quotas")),
             F.struct(F.expr("(lo + hi) div 2").alias("lo"), F.col("hi"), F.expr("zip_with(quotas, left, (q, l) -> q - l)").alias("quotas")),
         )
-        node = left.select("places", "draws", F.explode(F.when(F.expr("hi - lo > 1"), halves).otherwise(F.slice(halves, 2, 1))).alias("h")).select("places", "draws", "h.*")
+        whole = F.array(F.struct(F.col("lo"), F.col("hi"), F.col("quotas")))
+        node = left.select("places", "draws", F.explode(F.when(F.expr("hi - lo > 1"), halves).otherwise(whole)).alias("h")).select("places", "draws", "h.*")
         node = node.withColumn("n", F.expr("aggregate(quotas, 0L, (s, q) -> s + q)"))
-        leaf *= 2
+        leaf, level = 2 * leaf, level + 1
     return node.select(F.col("lo").cast("int").alias("shard"), F.explode(F.arrays_zip("places", "quotas")).alias("z")).select(F.col("z.places").alias("place"), "shard", F.col("z.quotas").alias("quota"))
 
 
@@ -125,7 +147,7 @@ def fill(rows: DataFrame) -> DataFrame:
     return found
 
 
-def plan(sized: DataFrame, shards: int, seed: int, most: float) -> tuple[DataFrame, DataFrame, int]:
+def plan(sized: DataFrame, shards: int | None, seed: int, most: float) -> tuple[DataFrame, DataFrame, int]:
     """``skey, block, source_size, target, draws``: for each block its draws, an array of ``epoch, shard, part``.
 
     ``part`` is true where not the whole block is drawn, but rows of the second table,
@@ -150,12 +172,18 @@ def plan(sized: DataFrame, shards: int, seed: int, most: float) -> tuple[DataFra
     parts = taken.select("skey", "block", F.lit(False).alias("whole"), F.lit(True).alias("part")).distinct()
     d = d.join(parts, ["skey", "block", "whole"], "left").withColumn("part", F.coalesce("part", F.lit(False))).withColumn("drawn", F.col("whole") | F.col("part"))
     d = durable(d.withColumn("draw", F.col("epoch") * F.col("n_blocks") + F.col("rank")), "draws")
-    quotas = shard_quotas(d.where("drawn").groupBy("place").agg(F.count("*").alias("n")), shards, seed)
-    starts = quotas.withColumn("from", F.sum("quota").over(W.partitionBy("place").orderBy("shard")) - F.col("quota")).groupBy("place").agg(F.array_sort(F.collect_list(F.struct("from", "shard", "quota"))).alias("runs"))
+    if shards is None:
+        words = sources.agg(F.sum("target")).first()[0] or 0  # one number
+        shards = max(LEAST_SHARDS, 1 << (int(words) // WORDS_A_SHARD).bit_length())
+    quotas = shard_quotas(d.where("drawn").groupBy("place").agg(F.count("*").alias("n")), shards, seed).where("quota > 0")
+    starts = quotas.withColumn("draw", F.sum("quota").over(W.partitionBy("place").orderBy("shard")) - F.col("quota"))
     order = F.row_number().over(W.partitionBy("place").orderBy("draw")) - 1
-    drawn = lookup_join(d.where("drawn").withColumn("draw", order), durable(starts, "runs"), ["place"], "block")
-    shard = F.filter("runs", lambda r: (r["from"] <= F.col("draw")) & (F.col("draw") < r["from"] + r["quota"]))[0]["shard"]
-    per_block = drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", shard.alias("shard"), "part"))).alias("draws"))
+    draws = d.where("drawn").withColumn("draw", order).select("place", "draw", F.lit(None).cast("int").alias("shard"), F.struct("skey", "block", "epoch", "part").alias("d"))
+    both = draws.unionByName(starts.select("place", "draw", "shard", F.lit(None).cast(draws.schema["d"].dataType).alias("d")))
+    # a shard's run begins at its start, and each draw belongs to the last start before it
+    run = F.last("shard", ignorenulls=True).over(W.partitionBy("place").orderBy("draw", F.col("shard").asc_nulls_last()))
+    drawn = both.withColumn("shard", run).where("d is not null").select("d.*", "shard")
+    per_block = drawn.groupBy("skey", "block").agg(F.array_sort(F.collect_list(F.struct("epoch", "shard", "part"))).alias("draws"))
     every = d.where("epoch = 0").select("skey", "block", "source_size", "target")
     return every.join(per_block, ["skey", "block"], "left").withColumn("draws", F.coalesce("draws", F.expr("cast(array() as array<struct<epoch:bigint,shard:int,part:boolean>>)"))), taken, n_blocks
 
@@ -164,8 +192,8 @@ def _block(n_blocks: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("block"), "h"), F.lit(n_blocks)).cast("int").alias("block")
 
 
-def decide(docs: DataFrame, shards: int = 32, seed: int = 17, most: float = 3.0) -> DataFrame:
-    """Every row of ``docs`` with what the mix takes of it: ``row, doc_id, source, size, source_size, target, draws``."""
+def decide(docs: DataFrame, shards: int | None = None, seed: int = 17, most: float = 3.0) -> DataFrame:
+    """Every row of ``docs`` with its draws, in a durable table: ``row, doc_id, source, size, source_size, target, h, draws``."""
     sized = sized_rows(docs, seed)
     per_block, taken, n_blocks = plan(sized, shards, seed, most)
     base = sized.withColumn("block", _block(n_blocks)).join(per_block, ["skey", "block"])
@@ -173,26 +201,45 @@ def decide(docs: DataFrame, shards: int = 32, seed: int = 17, most: float = 3.0)
     opened = base.where(part).join(taken.select("row", F.lit(True).alias("taken")), "row", "left")
     draws = F.when(F.col("taken"), F.col("draws")).otherwise(F.filter("draws", lambda d: ~d["part"]))
     out = ["row", "doc_id", "source", "size", "source_size", "target", "h"]
-    return base.where(~part).select(*out, "draws").unionByName(opened.select(*out, draws.alias("draws")))
+    return durable(base.where(~part).select(*out, "draws").unionByName(opened.select(*out, draws.alias("draws"))), "decided")
+
+
+def _shuffle_key(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), "shard", "epoch", "h").alias("shuffle_key")
+
+
+def _in_shards(rows: DataFrame) -> DataFrame:
+    """``rows`` with a shard in one task each, in the order of their ``shuffle_key``."""
+    return rows.repartition("shard").sortWithinPartitions("shard", "shuffle_key")
+
+
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 17, most: float = 3.0) -> DataFrame:
+    """The shards, a row for each document drawn, in order: ``row, doc_id, source, size, epoch, shard, shuffle_key``."""
+    return shards_of(decide(docs, shards, seed, most), seed)
 
 
-def mix(docs: DataFrame, shards: int = 32, seed: int = 17, most: float = 3.0) -> DataFrame:
-    """The mix itself, a row for each document drawn: ``doc_id, source, size, epoch, shard, shuffle_key``."""
-    d = decide(docs, shards, seed, most).withColumn("d", F.explode("draws"))
-    return d.select("doc_id", "source", "size", "d.epoch", "d.shard", F.xxhash64(F.lit(seed), "d.shard", "d.epoch", "h").alias("shuffle_key"))
+def shards_of(decided: DataFrame, seed: int) -> DataFrame:
+    d = decided.select("row", "doc_id", "source", "size", "h", F.explode("draws").alias("d")).select("*", "d.epoch", "d.shard")
+    return _in_shards(d.select("row", "doc_id", "source", "size", "epoch", "shard", _shuffle_key(seed)))
 
 
-def taken_words(docs: DataFrame, shards: int = 32, seed: int = 17, most: float = 3.0) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` of every row."""
-    return decide(docs, shards, seed, most).select("doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).cast("long").alias("taken"))
+def taken_words(docs: DataFrame, shards: int | None = None, seed: int = 17, most: float = 3.0) -> DataFrame:
+    """``doc_id, size, source_size, target, taken, shards`` of every row: what the written shards hold of it, and which they are."""
+    decided = decide(docs, shards, seed, most)
+    written = durable(shards_of(decided, seed), "shards")
+    held = written.groupBy("row").agg(F.sum("size").alias("taken"), F.array_sort(F.collect_list("shard")).alias("shards"))
+    none = F.expr("cast(array() as array<int>)")
+    return decided.join(held, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("shards", none).alias("shards"))
 
 
-def mixed_documents(docs: DataFrame, shards: int = 32, seed: int = 17, most: float = 3.0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, all columns kept."""
-    key = [F.col("doc_id").cast("long").alias("_doc"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("_h"), F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~")).alias("_s")]
-    nth = F.row_number().over(W.partitionBy("_doc", "_h", "_s").orderBy("_doc"))
-    rows = docs.select("*", *key).withColumn("_nth", nth)
-    d = decide(docs, shards, seed, most).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("_s"), F.size("draws").alias("_times"))
-    d = d.withColumn("_nth", F.row_number().over(W.partitionBy("_doc", "_h", "_s").orderBy("_times")))
-    met = rows.join(d, rows["_doc"].eqNullSafe(d["_doc"]) & (rows["_h"] == d["_h"]) & (rows["_s"] == d["_s"]) & (rows["_nth"] == d["_nth"]))
-    return met.where(F.col("_times") > 0).select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_again")).drop("_again")
+def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 17, most: float = 3.0) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes it, all columns kept, by shard and in each shard's order."""
+    skey = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")).alias("h"), skey.alias("s"))
+    same = W.partitionBy("doc", "h", "s")
+    rows = rows.withColumn("nth", F.row_number().over(same.orderBy(F.lit(0))))
+    d = decide(docs, shards, seed, most).select(F.col("doc_id").alias("d_doc"), F.col("h").alias("d_h"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("d_s"), "row", "draws").withColumnRenamed("row", "d_row")
+    d = d.withColumn("d_nth", F.row_number().over(W.partitionBy("d_doc", "d_h", "d_s").orderBy("d_row")))
+    met = rows.join(d, F.col("doc").eqNullSafe(F.col("d_doc")) & (F.col("h") == F.col("d_h")) & (F.col("s") == F.col("d_s")) & (F.col("nth") == F.col("d_nth")))
+    drawn = met.where(F.size("draws") > 0).select("row", "h", F.explode("draws").alias("d")).select("row", "h", "d.epoch", "d.shard")
+    return _in_shards(drawn.select("row", "shard", _shuffle_key(seed))).select("row.*")
