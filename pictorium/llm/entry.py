@@ -105,17 +105,17 @@ def _op2_sql() -> str:
     bucket = lambda v: f"(({v} >> greatest(length(bin({v})) - 6, 0)) << greatest(length(bin({v})) - 6, 0))"
     each = " union all ".join(f"select lang_key, source_key, '{m}' as measure, {bucket(m)} as bucket from passed" for m in quality.MEASURES)
     fence = ", ".join(
-        f"max(case when measure = '{m}' then q3 + greatest({quality.SPREAD} * (q3 - q1), {slack}) end) as high_{m}, max(case when measure = '{m}' then {f'q1 - greatest({quality.SPREAD} * (q3 - q1), {slack})' if low else '0'} end) as low_{m}"
-        for m, (slack, low) in quality.MEASURES.items()
+        f"max(case when measure = '{m}' then total end) as rows_{m}, max(case when measure = '{m}' then q90 + {quality.SPREAD} * greatest(q90 - q50, q90 // {quality.RESOLUTION}) end) as high_{m}, max(case when measure = '{m}' then {f'q10 - {quality.SPREAD} * greatest(q50 - q10, q10 // {quality.RESOLUTION})' if low else '0'} end) as low_{m}"
+        for m, low in quality.MEASURES.items()
     )
     level = lambda name, keys: f"""{name} as (
-  select {keys}, max(total) as n_rows, {fence} from (
-    select {keys}, measure, max(total) as total, min(case when upto * 4 >= total then bucket end) as q1, min(case when upto * 4 >= total * 3 then bucket end) as q3 from (
+  select {keys}, {fence} from (
+    select {keys}, measure, max(total) as total, {", ".join(f"min(case when upto * 100 >= total * {k} then bucket end) as q{k}" for k in (10, 50, 90))} from (
       select {keys}, measure, bucket, sum(n) over (partition by {keys}, measure order by bucket) as upto, sum(n) over (partition by {keys}, measure) as total
       from (select {keys}, measure, bucket, sum(n) as n from sketch group by all)) group by all) group by {keys})"""
-    names = [f"{side}_{m}" for m in quality.MEASURES for side in ("high", "low")]
-    pick = lambda c: f"case when o.n_rows >= {quality.LEAST_ROWS} then o.{c} when l.n_rows >= {quality.LEAST_ROWS} then l.{c} else e.{c} end as {c}"
-    inside = " and ".join(f"{m} between low_{m} and high_{m}" for m in quality.MEASURES)
+    pick = lambda side, m: f"case when o.rows_{m} >= {quality.LEAST_ROWS} then o.{side}_{m} when l.rows_{m} >= {quality.LEAST_ROWS} then l.{side}_{m} else e.{side}_{m} end as {side}_{m}"
+    picked = ", ".join(pick(side, m) for m in quality.MEASURES for side in ("high", "low"))
+    inside = " and ".join(f"coalesce({m} between low_{m} and high_{m}, true)" for m in quality.MEASURES)
     return rf"""
 with d as (
   select row_number() over () as r, doc_id::bigint as doc_id, lang, source, coalesce(text, '') as text from documents
@@ -138,11 +138,11 @@ with d as (
     100 * word_chars // greatest(n_words, 1) as word_length, 1000 * n_repeat_words // greatest(n_words, 1) as repeat_rate, 1000 * n_dup_lines // greatest(n_lines, 1) as line_rate
   from f
 ), passed as (select * from m where not base_failed), sketch as (
-  select lang_key, source_key, 1 as every, measure, bucket, count(*) as n from ({each}) group by all
+  select lang_key, source_key, 1 as every, measure, bucket, count(*) as n from ({each}) where bucket > 0 group by all
 ), {level("own", "lang_key, source_key")}, {level("lng", "lang_key")}, {level("cor", "every")}, t as (
-  select o.lang_key, o.source_key, {", ".join(map(pick, names))} from own o join lng l using (lang_key) cross join cor e
+  select o.lang_key, o.source_key, {picked} from own o join lng l using (lang_key) cross join cor e
 )
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and coalesce({inside}, false)) as kept
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (not base_failed and {inside}) as kept
 from m left join t using (lang_key, source_key)
 """
 

@@ -5,11 +5,13 @@ Every expression here is a DataFrame or SQL function.
 A sketch is a table of counts by bucket. Values below 64 have a bucket each and
 larger ones keep six leading bits, so any quantile is within 1/32 of its value;
 sketches merge by adding counts, in any order, and have a few hundred rows at most
-whatever they summarise. Each measure gets fences, quartile -/+ ``spread`` times the
-distance of the quartiles (``slack`` at least, where most documents agree), from the
-sketch of the document's language and source; groups under ``least_rows`` documents
-use the merged sketch of their language, then that of the corpus. A document that
-leaves any fence is rejected. Only documents that pass the base rules are sketched.
+whatever they summarise. Zeros are left out: of rates that most documents lack they
+would say nothing. A measure's fence is its 90th percentile and ``SPREAD`` times the
+distance from there to the median (the 10th percentile downwards), where distances
+below what a sketch resolves count as that. It comes from the sketch of the document's
+language and source; under ``least_rows`` values, from the merged sketch of the
+language, then that of the corpus. A document beyond any fence is rejected, one on it
+is not. Only documents that pass the base rules are sketched.
 
 Defined results: a null or empty text has no words and fails the base rules; a null
 language or source is a value of its own; repeated rows are judged alike, each with
@@ -26,12 +28,11 @@ from .common import WORD, durable, lookup_join
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 50
-#: measure: (slack, whether low values are fenced too); rates in thousandths, mean word length in hundredths
-MEASURES = {"symbol_rate": (20, False), "word_length": (150, True), "repeat_rate": (350, False), "line_rate": (500, False)}
+#: measure: whether low values are fenced too; rates in thousandths, mean word length in hundredths
+MEASURES = {"symbol_rate": False, "word_length": True, "repeat_rate": False, "line_rate": False}
 SPREAD = 3
-LEAST_ROWS = 200
-
-
+RESOLUTION = 32
+LEAST_ROWS = 100
 
 
 def measured(docs: DataFrame) -> DataFrame:
@@ -76,7 +77,7 @@ def bucket(v: str) -> Column:
 def sketch(rows: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, measure, bucket, n``."""
     each = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(m).alias("bucket")) for m in MEASURES])).alias("s")).select(*keys, "s.*")
-    return each.groupBy(*keys, "measure", "bucket").agg(F.count("*").alias("n"))
+    return each.where("bucket > 0").groupBy(*keys, "measure", "bucket").agg(F.count("*").alias("n"))
 
 
 def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
@@ -85,30 +86,30 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """One row for each key: ``rows`` and ``low_m, high_m`` of every measure."""
+    """One row for each key: ``rows_m, low_m, high_m`` of every measure; null where a measure has no values."""
     order = W.partitionBy(*keys, "measure").orderBy("bucket")
     q = sketches.withColumn("upto", F.sum("n").over(order)).withColumn("rows", F.sum("n").over(order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    q = q.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") * 4 >= F.col("rows") * k, F.col("bucket"))).alias(f"q{k}") for k in (1, 3)])
+    q = q.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), *[F.min(F.when(F.col("upto") * 100 >= F.col("rows") * k, F.col("bucket"))).alias(f"q{k}") for k in (10, 50, 90)])
+    q = q.withColumn("high", F.expr(f"q90 + {SPREAD} * greatest(q90 - q50, q90 div {RESOLUTION})")).withColumn("low", F.expr(f"q10 - {SPREAD} * greatest(q50 - q10, q10 div {RESOLUTION})"))
     out = []
-    for m, (slack, two_sided) in MEASURES.items():
-        reach = F.greatest(SPREAD * (F.col("q3") - F.col("q1")), F.lit(slack))
-        out.append(F.max(F.when(F.col("measure") == m, F.col("q3") + reach)).alias(f"high_{m}"))
-        out.append(F.max(F.when(F.col("measure") == m, F.col("q1") - reach if two_sided else F.lit(0))).alias(f"low_{m}"))
-    return q.groupBy(*keys).agg(F.max("rows").alias("rows"), *out)
+    for m, two_sided in MEASURES.items():
+        own = F.col("measure") == m
+        out += [F.max(F.when(own, F.col("rows"))).alias(f"rows_{m}"), F.max(F.when(own, F.col("high"))).alias(f"high_{m}"), F.max(F.when(own, F.col("low") if two_sided else F.lit(0))).alias(f"low_{m}")]
+    return q.groupBy(*keys).agg(*out)
 
 
 def thresholds(rows: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
-    """Fences for every language and source: their own, their language's or the corpus's."""
+    """Fences for every language and source: for each measure their own, their language's or the corpus's."""
     rows = rows.where("not base_failed").withColumns(_keys())
     by_source = durable(sketch(rows, ["lang_key", "source_key"]), "sketch")
     by_lang = merge(by_source, ["lang_key"])
-    names = [f"{side}_{m}" for m in MEASURES for side in ("high", "low")]
+    names = [f"{side}_{m}" for m in MEASURES for side in ("rows", "high", "low")]
     own = fences(by_source, ["lang_key", "source_key"])
-    lang = fences(by_lang, ["lang_key"]).select("lang_key", F.col("rows").alias("lang_rows"), *[F.col(c).alias(f"lang_{c}") for c in names])
+    lang = fences(by_lang, ["lang_key"]).select("lang_key", *[F.col(c).alias(f"lang_{c}") for c in names])
     every = fences(merge(by_lang.withColumn("all", F.lit(1)), ["all"]), ["all"]).select("all", *[F.col(c).alias(f"all_{c}") for c in names])
     t = own.join(lang, "lang_key").withColumn("all", F.lit(1)).join(every, "all")
-    pick = lambda c: F.when(F.col("rows") >= least_rows, F.col(c)).when(F.col("lang_rows") >= least_rows, F.col(f"lang_{c}")).otherwise(F.col(f"all_{c}")).alias(c)
-    return durable(t.select("lang_key", "source_key", *[pick(c) for c in names]), "fences")
+    pick = lambda side, m: F.when(F.col(f"rows_{m}") >= least_rows, F.col(f"{side}_{m}")).when(F.col(f"lang_rows_{m}") >= least_rows, F.col(f"lang_{side}_{m}")).otherwise(F.col(f"all_{side}_{m}")).alias(f"{side}_{m}")
+    return durable(t.select("lang_key", "source_key", *[pick(side, m) for m in MEASURES for side in ("high", "low")]), "fences")
 
 
 def _keys() -> dict[str, Column]:
@@ -122,13 +123,14 @@ def judge(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     judged = lookup_join(passed, thresholds(rows, least_rows), ["lang_key", "source_key"], "doc_id")
     inside = F.lit(True)
     for m in MEASURES:
-        inside = inside & F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}"))
+        inside = inside & F.coalesce(F.col(m).between(F.col(f"low_{m}"), F.col(f"high_{m}")), F.lit(True))
     cols = [*rows.columns]
     return judged.select(*cols, inside.alias("kept")).unionByName(rows.where("base_failed").withColumn("kept", F.lit(False)))
 
 
 def kept_documents(docs: DataFrame, least_rows: int = LEAST_ROWS) -> DataFrame:
     """The rows of ``docs`` that the rules keep, all columns kept; the texts are shuffled once."""
-    kept = judge(docs, least_rows).where("kept").select(F.col("doc_id").alias("_doc"), F.col("key").alias("_key")).distinct()
-    rows = docs.withColumns({"_d": F.col("doc_id").cast("long"), "_k": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("lang"), F.col("lang").cast("string"), F.lit("source"), F.col("source").cast("string"))})
-    return rows.join(kept, rows["_d"].eqNullSafe(kept["_doc"]) & (rows["_k"] == kept["_key"]), "left_semi").select(*docs.columns)
+    kept = judge(docs, least_rows).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("key").alias("kept_key")).distinct()
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("lang"), F.col("lang").cast("string"), F.lit("source"), F.col("source").cast("string"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), key.alias("key"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi").select("row.*")

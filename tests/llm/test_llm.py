@@ -74,7 +74,34 @@ def test_quality(odd):
     assert quality.judge(odd).count() == len(ODD)
     assert r[1]["n_words"] == 0 and r[3]["n_repeat_words"] == 400 and not r[3]["kept"]
     assert quality.judge(odd.limit(0)).count() == 0
-    assert quality.kept_documents(odd).columns == odd.columns
+    clashing = odd.withColumns({c: F.lit(1) for c in ("row", "id", "key", "kept_id", "n_words")})
+    assert quality.kept_documents(clashing).columns == clashing.columns
+
+
+def test_fences_follow_the_source(spark):
+    """Each source has cutoffs of its own, a null one too; what lies on a fence is kept; order and partitions do not matter."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(900):
+        source = ("short", "long", None)[i % 3]
+        n = {"short": 4, "long": 12, None: 7}[source]
+        words = ["".join(rng.choice("abcdefgh") for _ in range(max(1, n + rng.choice([-1, 0, 0, 1])))) for _ in range(120)]
+        rows.append((i, " ".join(words), "en", source))
+    rows += [(1000, " ".join(w * 3 for w in rows[0][1].split()), "en", "short"), (1001, rows[1][1], "en", "short"), (1002, rows[1][1], "xx", "lone"), (1003, rows[0][1], "en", "lone")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    judged = quality.judge(d).collect()
+    kept = {r["doc_id"]: r["kept"] for r in judged}
+    assert all(kept[i] for i in range(900)) and not kept[1000] and not kept[1001] and kept[1002] and kept[1003]
+    assert kept == {r["doc_id"]: r["kept"] for r in quality.judge(d.repartition(13)).collect()}
+    t = {(r["lang_key"], r["source_key"]): r for r in quality.thresholds(quality.measured(d)).collect()}
+    assert t["=en", "=short"]["high_word_length"] < t["=en", "~"]["low_word_length"] < t["=en", "~"]["high_word_length"] < t["=en", "=long"]["low_word_length"]
+    assert t["=en", "=lone"]["high_word_length"] > t["=en", "=long"]["high_word_length"] - 200
+    at = t["=en", "=short"]["high_word_length"]
+    lengths = lambda i: [at // 100] * (100 - (at + i) % 100) + [at // 100 + 1] * ((at + i) % 100)
+    edge = [(2000 + i, " ".join("".join(rng.choice("abcdefgh") for _ in range(n)) for n in lengths(i)), "en", "short") for i in (0, 1)]
+    both = quality.judge(d.unionByName(spark.createDataFrame(edge, d.schema))).where("doc_id >= 2000").orderBy("doc_id").collect()
+    assert [r["kept"] for r in both] == [True, False]
+    assert [r["word_length"] - at for r in both] == [0, 1]
 
 
 def test_vectors(spark):
