@@ -1,8 +1,10 @@
 r"""Chat formatting: a finite-state machine over roles, driven by a declarative template.
 
-``format_chat`` emits text segments in order, each with its loss flag, so a
+``format_chat`` emits numbered text segments, each with its loss flag, so a
 conversation of any length streams through a task and is never gathered.
-Joining a conversation's segments gives its formatted text::
+:func:`write_chat` writes them to the shared folder, and :func:`read_back` takes
+them from there, in whatever order files are read. Joining a conversation's
+segments gives its formatted text::
 
     ### User: hello</turn>
     ### Assistant: hi</turn>
@@ -27,6 +29,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 START, ERROR = "start", "error"
 
 
@@ -89,12 +93,12 @@ def format_chat(conversations: DataFrame, template: Template = Template()) -> Da
     """
 
     def run(batches):
-        import pandas as pd
+        import pyarrow as pa
 
         conv, state, n = _NONE, START, 0
         for b in batches:
             out: list[tuple] = []
-            for c, role, text in zip(b["conv_id"].astype(object).where(b["conv_id"].notna(), None), b["role"], b["text"], strict=True):
+            for c, role, text in zip(*(b[k].to_pylist() for k in ("conv_id", "role", "text")), strict=True):
                 if c != conv or conv is _NONE:
                     conv, state, n = c, START, 0
                 if state != ERROR:
@@ -103,10 +107,16 @@ def format_chat(conversations: DataFrame, template: Template = Template()) -> Da
                 out.append((c, n + 1, "text", template.escape(text), role in template.loss, state))
                 out.append((c, n + 2, "close", template.closing + template.between, False, state))
                 n += 3
-            frame = pd.DataFrame(out, columns=["conv_id", "segment", "kind", "text", "loss", "state"])
-            yield frame.astype({"conv_id": "Int64"})
+            cols = zip(*out, strict=True) if out else ((),) * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=["conv_id", "segment", "kind", "text", "loss", "state"])
+
+    return _ordered(conversations).mapInArrow(run, SEGMENTS)
+
 
-    return _ordered(conversations).mapInPandas(run, SEGMENTS)
+def write_chat(conversations: DataFrame, template: Template = Template(), path: str | None = None) -> DataFrame:
+    """Write the segments of every conversation as Parquet to ``path``, or a new one in the shared folder, and return their reader."""
+    return durable(format_chat(conversations, template), "chat", path)
 
 
 _NONE = object()
@@ -167,31 +177,35 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def read_back(segments: DataFrame, template: Template = Template()) -> DataFrame:
-    """Parse formatted segments (as :func:`format_chat` leaves them: a conversation in one partition, in order) and digest them.
+    """Parse formatted segments, as :func:`format_chat` makes or :func:`write_chat` writes them, and digest each conversation.
 
-    Only ``text`` and ``loss`` are read; roles, turns and texts come from the formatted text itself.
+    Roles, turns and texts come from the formatted text itself; of the other columns, ``segment``
+    gives the order and ``loss`` the mask.
     """
 
     def run(batches) -> Iterator:
-        import pandas as pd
-
         conv, reader, out = _NONE, None, []
         for b in batches:
-            for c, text, loss in zip(b["conv_id"].astype(object).where(b["conv_id"].notna(), None), b["text"], b["loss"], strict=True):
+            for c, text, loss in zip(*(b[k].to_pylist() for k in ("conv_id", "text", "loss")), strict=True):
                 if c != conv or conv is _NONE:
                     if reader:
                         out.append(reader.row(conv))
                     conv, reader = c, _Reader(template)
                 reader.feed(text, loss)
             if len(out) > 1000:
-                yield _frame(pd, out)
+                yield _digests(out)
                 out = []
         if reader:
             out.append(reader.row(conv))
-        yield _frame(pd, out)
+        yield _digests(out)
+
+    ordered = segments.select("conv_id", "segment", "text", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "segment")
+    return ordered.mapInArrow(run, DIGEST)
 
-    return segments.select("conv_id", "text", "loss").mapInPandas(run, DIGEST)
 
+def _digests(rows):
+    import pyarrow as pa
 
-def _frame(pd, rows):
-    return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"]).astype({"conv_id": "Int64"})
+    cols = zip(*rows, strict=True) if rows else ((),) * 7
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in DIGEST.split(", ")])

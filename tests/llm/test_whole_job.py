@@ -26,14 +26,18 @@ def test_toxicity_is_calibrated_whatever_the_sample(spark):
         assert abs(toxicity.classify(docs, labels, max_docs).agg(F.avg("score")).first()[0] - 0.1) < 0.03, max_docs
 
 
-def test_chat_texts_that_end_like_a_turn(spark):
-    texts = ["foo</turn>\n", "</turn>\n", "a\\</turn>\n", "a\\\\</turn>\n", "b\\", "</turn>\n</turn>\n"]
-    rows = [(c, t, role, text) for c, text in enumerate(texts) for t, role in enumerate(("system", "user", "assistant"))]
-    r = {x["conv_id"]: x for x in chat.read_back(chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+def test_chat_texts_of_every_mark(spark):
+    """Texts that begin with, end in or consist of marks, under every role, on both sides of the loss mask, and a very long one."""
+    marks = ["### ", "###", "### User: ", ": ", "</turn>", "</turn>\n", "\n", "\\", "\\\\", "\\</turn>\n", "@", "### Assistant: </turn>\n### User: "]
+    texts = [x for m in marks for x in (m, m + "a", "a" + m, m + m)] + ["foo</turn>\n", "</turn>\n</turn>\n", "a\\\\</turn>\n", "", "long </turn>\n " * 300_000]
+    roles = ["system", "user", "assistant", "tool: x</turn>\n", "user"]
+    rows = [(c, t, role, text) for c, text in enumerate(texts) for t, role in enumerate(roles)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    r = {x["conv_id"]: x for x in chat.read_back(chat.write_chat(df).repartition(5)).collect()}
     for c, text in enumerate(texts):
-        assert r[c]["valid"] and r[c]["n_turns"] == 3
-        assert r[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for role in ("system", "user", "assistant")).encode()).hexdigest()
-        assert r[c]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+        assert r[c]["n_turns"] == len(roles) and not r[c]["valid"]
+        assert r[c]["turns_sha256"] == hashlib.sha256("".join(f"{role}\n{text}\n" for role in roles).encode()).hexdigest(), text[:50]
+        assert r[c]["loss_sha256"] == hashlib.sha256(text.encode()).hexdigest() and r[c]["loss_chars"] == len(text)
 
 
 def test_mixing_fills_targets_past_a_long_document(spark):
