@@ -32,6 +32,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import durable
+
 MAX_DOCS = 20_000
 MAX_LEXICON = 200_000
 GROUP_LETTERS = 5
@@ -92,9 +94,11 @@ class Model:
 
     def passages(self, scores: np.ndarray) -> list[tuple[int, int, float, float]]:
         """Segments with their expected numbers by chance, significant ones only."""
-        n = len(scores)
-        found = [(s, e, x, self.k * n * math.exp(-self.lam * x)) for s, e, x in segments(scores)]
-        return [f for f in found if f[3] < SIGNIFICANT]
+        return self.significant(segments(scores), len(scores))
+
+    def significant(self, found: list[tuple[int, int, float]], n: int) -> list[tuple[int, int, float, float]]:
+        expected = [(s, e, x, self.k * n * math.exp(-self.lam * x)) for s, e, x in found]
+        return [f for f in expected if f[3] < SIGNIFICANT]
 
     def evidence(self, found: list[tuple[int, int, float, float]]) -> float:
         return math.log1p(sum(-math.log(max(f[3], 1e-300)) for f in found))
@@ -120,16 +124,15 @@ def log_odds(toxic: int, clean: int, n_toxic: int, n_clean: int, prior: float) -
 
 
 def fit(train: DataFrame, max_lexicon: int = MAX_LEXICON) -> Model:
-    """``train``: ``text, toxic, half, weight`` of a bounded number of rows."""
+    """``train``: durable ``text, toxic, half, weight``. Texts stay on the executors; counts, the lexicon and a few numbers a text come back."""
     model = Model()
-    docs = train.select("text", "toxic", "half", "weight").collect()  # max_docs rows at most
-    kinds = {(r["half"], r["toxic"]) for r in docs}
+    kinds = {(r["half"], r["toxic"]): r for r in train.groupBy("half", "toxic").agg(F.count("*").alias("n"), F.sum("weight").alias("w")).collect()}  # four rows
     if len(kinds) < 4:
-        toxic = len(docs) * sum(r["toxic"] * r["weight"] for r in docs) / max(1.0, sum(r["weight"] for r in docs))
-        model.a, model.b = 0.0, math.log((toxic + 0.5) / (len(docs) - toxic + 4.5))
+        n, weight = (sum(r[c] for r in kinds.values()) for c in ("n", "w"))
+        toxic = n * sum(r["w"] for r in kinds.values() if r["toxic"]) / max(1.0, weight)
+        model.a, model.b = 0.0, math.log((toxic + 0.5) / (n - toxic + 4.5))
         return model
-    n_toxic = sum(r["toxic"] for r in docs if not r["half"])
-    n_clean = sum(1 - r["toxic"] for r in docs if not r["half"])
+    n_toxic, n_clean = kinds[0, 1]["n"], kinds[0, 0]["n"]
     seen = train.where("half = 0")
     top = [F.desc(F.col("toxic") + F.col("clean")), "token"]
     for r in token_counts(seen, GROUP_LETTERS).orderBy(*top).limit(max_lexicon).toLocalIterator():  # max_lexicon rows at most
@@ -139,34 +142,73 @@ def fit(train: DataFrame, max_lexicon: int = MAX_LEXICON) -> Model:
         s = log_odds(r["toxic"], r["clean"], n_toxic, n_clean, group + DRIFT) - DRIFT
         if s != group:  # the others are answered by their group
             model.words[r["token"]] = s
-    calibrate(model, [(model.scores(r["text"]), r["toxic"], r["weight"]) for r in docs if r["half"]])
+    calibrate(model, train.where("half = 1"))
     return model
 
 
-def calibrate(model: Model, scored: list[tuple[np.ndarray, int, float]]) -> None:
-    """Lambda and K from clean texts, then the logistic curve from all, by their weights."""
-    clean = [s for s, y, _ in scored if not y and len(s)]
-    values, weights = np.unique(np.concatenate(clean) if clean else np.array([-DRIFT]), return_counts=True)
+SCORED = "toxic int, weight double, n long, best double, found array<double>, values array<double>, counts array<long>"
+
+
+def calibrate(model: Model, rows: DataFrame) -> None:
+    """Lambda and K from clean texts, then the logistic curve from all, by their weights; ``rows``: ``text, toxic, weight``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            out, clean = [], [np.zeros(0)]
+            for text, toxic, weight in zip(*(b[c].to_pylist() for c in ("text", "toxic", "weight")), strict=True):
+                s = shared.value.scores(text)
+                found = [x for *_, x in segments(s)]
+                out.append((toxic, weight, len(s), max(found, default=0.0), found, None, None))
+                if not toxic:
+                    clean.append(s)
+            values, counts = np.unique(np.concatenate(clean), return_counts=True)
+            out.append((None, None, None, None, None, values.tolist(), counts.tolist()))
+            kinds = (pa.int32(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCORED.split(", ")])
+
+    table = durable(rows.select("text", "toxic", "weight").mapInArrow(scored, SCORED), "scored")
+    each = table.where("values is not null").select(F.explode(F.arrays_zip("values", "counts")).alias("z")).groupBy("z.values").agg(F.sum("z.counts").alias("n"))
+    histogram = np.array([(r["values"], r["n"]) for r in each.collect()] or [(-DRIFT, 1)])  # scores of the lexicon, each once
+    best = [(r["best"], r["n"]) for r in table.where("toxic = 0 and n > 0").select("best", "n").collect()]  # two numbers a training text
+    model.lam = _lambda(*histogram.T)
+    # maximum likelihood of K, given lambda, for P(best <= s) = exp(-K n exp(-lambda s))
+    model.k = max(1e-6, len(best) / max(1e-9, sum(n * math.exp(-model.lam * s) for s, n in best)))
+    fitted = Model(lam=model.lam, k=model.k)
+
+    def evidence(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            x = [fitted.evidence(fitted.significant([(0, 0, s) for s in found], n)) for found, n in zip(b["found"].to_pylist(), b["n"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b["toxic"], b["weight"], pa.array(x, pa.float64())], names=["toxic", "weight", "evidence"])
+
+    told = table.where("toxic is not null").select("toxic", "weight", "n", "found").mapInArrow(evidence, "toxic int, weight double, evidence double").collect()  # three numbers a training text
+    model.a, model.b = _curve(np.array([r["evidence"] for r in told]), np.array([r["toxic"] for r in told], float), np.array([r["weight"] for r in told]))
+
+
+def _lambda(values: np.ndarray, counts: np.ndarray) -> float:
+    """Where the mean of exp(lambda * value) is 1."""
     lo, hi = 1e-3, 20.0
-    grows = lambda x: float((weights * np.exp(np.minimum(x * values, 600))).sum() / weights.sum()) > 1
     for _ in range(60):
         mid = (lo + hi) / 2
-        lo, hi = (lo, mid) if grows(mid) else (mid, hi)
-    model.lam = lo
-    best = [(max((x for *_, x in segments(s)), default=0.0), len(s)) for s in clean]
-    # maximum likelihood of K, given lambda, for P(best <= s) = exp(-K n exp(-lambda s))
-    model.k = max(1e-6, len(best) / max(1e-9, sum(n * math.exp(-model.lam * s) for s, n in best)))
-    x = np.array([model.evidence(model.passages(s)) for s, *_ in scored])
-    y = np.array([t for _, t, _ in scored], float)
-    counts = np.array([c for *_, c in scored], float)
-    counts *= len(counts) / counts.sum()
+        grows = float((counts * np.exp(np.minimum(mid * values, 600))).sum() / counts.sum()) > 1
+        lo, hi = (lo, mid) if grows else (mid, hi)
+    return lo
+
+
+def _curve(x: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve of ``y`` over ``x``, slightly drawn to 0."""
+    weights = weights * len(weights) / weights.sum()
     w = np.zeros(2)
     design = np.stack((x, np.ones(len(x))), axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
-        h = design.T @ (design * (counts * p * (1 - p))[:, None]) + np.diag([1e-2, 1e-3])
-        w = w + np.linalg.solve(h, design.T @ (counts * (y - p)) - np.array([1e-2, 1e-3]) * w)
-    model.a, model.b = float(w[0]), float(w[1])
+        h = design.T @ (design * (weights * p * (1 - p))[:, None]) + np.diag([1e-2, 1e-3])
+        w = w + np.linalg.solve(h, design.T @ (weights * (y - p)) - np.array([1e-2, 1e-3]) * w)
+    return float(w[0]), float(w[1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -212,8 +254,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS)
 
 def classify(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, at: float = 0.3) -> DataFrame:
     """``doc_id, held_out, score, predicted, n_passages`` of every row."""
-    from .common import durable
-
     model = fit(durable(training_rows(docs, labels, max_docs), "training"))
     s = score(docs, model)
     return s.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= at).cast("int").alias("predicted"), "n_passages")

@@ -1,8 +1,12 @@
 """What the operators must do on all of their input, whatever its size or mix."""
 
 import hashlib
+import math
 import random
+import re
+import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pictorium.llm import chat, mixing, toxicity
@@ -26,6 +30,76 @@ def test_toxicity_is_calibrated_whatever_the_sample(spark):
         assert abs(toxicity.classify(docs, labels, max_docs).agg(F.avg("score")).first()[0] - 0.1) < 0.03, max_docs
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    """Every score from counts, segments and calibration worked out anew, with all segments of a text tried."""
+    rng = random.Random(8)
+    rows = []
+    for d in range(600):
+        toxic = d % 5 == 0
+        words = [f"{rng.choice('abcd')}{rng.choice('efgh')}{rng.randrange(30)}tail" for _ in range(rng.randrange(5, 40))]
+        if toxic and rng.random() < 0.8:
+            words[2:2] = [rng.choice(["vile!", "nasty", "rotten,"]) for _ in range(3)]
+        rows.append((d, " ".join(words), int(toxic)))
+    rows += [(600, "x " * 100_000 + "vile nasty rotten vile", 1), (601, "", 0), (602, None, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").cache()
+    got = {r["doc_id"]: r for r in toxicity.classify(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    train = [(r["text"] or "", r["toxic"], r["half"]) for r in toxicity.training_rows(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()]
+    assert {d: r["held_out"] for d, r in got.items()} == {d: zlib.crc32(str(d).encode()) % 4 == 2 for d, *_ in rows}
+    assert sorted(t for t, *_ in train) == sorted(t or "" for d, t, _ in rows if zlib.crc32(str(d).encode()) % 4 != 2)
+    bare = lambda w: re.sub(r"^\W+|\W+$", "", w.lower())
+    seen = [(set(map(bare, t.split())) - {""}, y) for t, y, half in train if half == 0]
+    n_toxic, n_clean = sum(y for _, y in seen), sum(1 - y for _, y in seen)
+
+    def odds(holds, prior):
+        t, c = sum(y for w, y in seen if holds(w)), sum(1 - y for w, y in seen if holds(w))
+        share = n_toxic * math.exp(prior) / (n_toxic * math.exp(prior) + n_clean)
+        t, c = t + 2 * share, c + 2 * (1 - share)
+        away = math.log(t / n_toxic) - math.log(c / n_clean) - prior
+        return prior + math.copysign(max(0.0, abs(away) - 2 * math.sqrt(1 / t + 1 / c)), away)
+
+    vocabulary = set().union(*(w for w, _ in seen))
+    groups = {g: odds(lambda ws, g=g: any(w[:5] == g for w in ws), 0.0) for g in {w[:5] for w in vocabulary}}
+    words = {x: odds(lambda ws, x=x: x in ws, groups[x[:5]]) for x in vocabulary}
+    scores = lambda t: [words.get(bare(w), groups.get(bare(w)[:5], 0.0)) - 0.5 for w in t.split()]
+
+    def maximal(s, lo, hi):
+        sums = [0.0]
+        for x in s[lo:hi]:
+            sums.append(sums[-1] + x)
+        best = max(((sums[j] - sums[i], -(j - i), lo + i, lo + j) for i in range(hi - lo) for j in range(i + 1, hi - lo + 1)), default=(0,))
+        return maximal(s, lo, best[2]) + [best[0]] + maximal(s, best[3], hi) if best[0] > 0 else []
+
+    half = [(scores(t), y) for t, y, h in train if h == 1]
+    clean = [s for s, y in half if not y and s]
+    flat = np.concatenate(clean)
+    lo, hi = 1e-3, 20.0
+    for _ in range(60):
+        lam = (lo + hi) / 2
+        lo, hi = (lo, lam) if np.exp(lam * flat).mean() > 1 else (lam, hi)
+    k = len(clean) / sum(len(s) * math.exp(-lo * max(maximal(s, 0, len(s)), default=0.0)) for s in clean if len(s) < 1000)
+
+    def of(text):
+        s = scores(text)
+        n, s = len(s), s[-60:]
+        e = [k * n * math.exp(-lo * x) for x in maximal(s, 0, len(s))]
+        return math.log1p(sum(-math.log(max(x, 1e-300)) for x in e if x < 0.05))
+
+    told = [(of(t), y) for t, y, h in train if h == 1]
+    a = b = 0.0
+    for _ in range(200):  # Newton's steps on the penalised likelihood, written out
+        p = [1 / (1 + math.exp(-(a * x + b))) for x, _ in told]
+        ga = sum((y - q) * x for (x, y), q in zip(told, p, strict=True)) - 1e-2 * a
+        gb = sum(y - q for (_, y), q in zip(told, p, strict=True)) - 1e-3 * b
+        haa = sum(q * (1 - q) * x * x for (x, _), q in zip(told, p, strict=True)) + 1e-2
+        hab = sum(q * (1 - q) * x for (x, _), q in zip(told, p, strict=True))
+        hbb = sum(q * (1 - q) for q in p) + 1e-3
+        det = haa * hbb - hab * hab
+        a, b = a + (hbb * ga - hab * gb) / det, b + (haa * gb - hab * ga) / det
+    for d, text, _ in rows:
+        assert abs(got[d]["score"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, a * of(text or "") + b))))) < 1e-6, d
+        assert got[d]["predicted"] == (got[d]["score"] >= 0.3)
+
+
 def test_chat_texts_of_every_mark(spark):
     """Texts that begin with, end in or consist of marks, under every role, on both sides of the loss mask, and a very long one."""
     marks = ["### ", "###", "### User: ", ": ", "</turn>", "</turn>\n", "\n", "\\", "\\\\", "\\</turn>\n", "@", "### Assistant: </turn>\n### User: "]
