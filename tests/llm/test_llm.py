@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -346,7 +347,25 @@ def test_edits_keep_counts():
         for _ in range(4):
             s = rng.randint(0, len(x.text))
             x.edit(s, s + rng.choice([0, 1, 5, 100]), "".join(rng.choice(parts) for _ in range(rng.choice([0, 1, 20]))))
-            assert x.tree.n_tokens == len(c.encoding.encode_ordinary(x.text))
+            assert x.n_tokens == len(c.encoding.encode_ordinary(x.text))
+            assert x.tree.totals[:2] == [len(x.text), len(c.split(x.text))] and [len(b) for b in x.blocks] == (x.tree.leaves[0] or [0])
+
+
+def test_many_edits_of_a_long_text():
+    """Edits of a text of millions of characters neither copy nor encode it."""
+    c = token_counts.Counter(tokenizer_file("byte_bpe_50k.tiktoken"))
+    rng = random.Random(4)
+    t = " ".join(rng.choice(["the", "of", "x12", "naïve", "\n", "..."]) for _ in range(500_000))
+    x = token_counts.CountedText(t, c)
+    began, encoded = time.process_time(), 0
+    for _ in range(3000):
+        s = rng.randrange(len(t))
+        new = rng.choice(["", "new words", " ", "12", "'s"])
+        encoded += x.edit(s, s + 3, new)
+        if rng.random() < 0.01:
+            t = x.text
+    assert encoded < 3000 * 8 * token_counts.BLOCK and time.process_time() - began < 20
+    assert x.n_tokens == len(c.encoding.encode_ordinary(x.text)) and x.tree.totals[1] == len(c.split(x.text))
 
 
 def test_token_counts(docs, odd):
@@ -356,7 +375,12 @@ def test_token_counts(docs, odd):
     for r in docs.collect():
         assert got[r["doc_id"]] == (len(c.encoding.encode_ordinary(r["text"])), len(c.encoding.encode_ordinary(token_counts.REDACTED.sub(token_counts.MARK, r["text"]))))
     stored = token_counts.build_trees(odd, path).withColumn("edits", F.expr("array(named_struct('start', 0, 'end', 1, 'text', 'zz '))"))
-    assert token_counts.apply_edits(stored, path, keep_trees=True).where("doc_id = 1").first()["text"] == "zz "
+    edited = token_counts.apply_edits(stored, path, keep_trees=True)
+    for r in edited.collect():
+        want = token_counts.CountedText(r["text"], c)
+        assert r["text"].startswith("zz ") and r["n_tokens_edited"] == want.n_tokens == sum(r["tokens"]) and sum(r["chars"]) == len(r["text"]) == r["n_chars_edited"]
+    again = token_counts.apply_edits(edited.withColumn("edits", F.expr("array(named_struct('start', 0, 'end', 3, 'text', cast(null as string)))")), path)
+    assert {r["doc_id"]: r["n_tokens_edited"] for r in again.where("doc_id = 5").collect()} == {5: len(c.encoding.encode_ordinary("é" * 299 + " x"))}
     assert token_counts.redacted_counts(odd.limit(0), path).count() == 0
 
 
