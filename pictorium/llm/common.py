@@ -76,14 +76,14 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     path = new_path(spark, "edges")
     e = durable(e, "edges", path)
     state = _digest(e)
-    while True:
+    while state[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(e.where("u = v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(low2.withColumnRenamed("m", "v")).distinct()
         after = new_path(spark, "edges")
-        nxt = durable(small, "edges", after)
+        nxt = durable(small.coalesce(state[0] // EDGES_A_FILE + 1), "edges", after)  # there are no more than before
         new_state = _digest(nxt)
         remove(spark, path)
         e, path = nxt, after
@@ -93,6 +93,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 
 
+EDGES_A_FILE = 500_000
+
+
 def _digest(e: DataFrame) -> tuple:
     r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
     return r["n"], r["h"]

@@ -12,12 +12,12 @@
    hangs together is a candidate set.
 4. Groups expand to their classes. A task holds a candidate set and verifies, on whole sets,
    every pair of classes that shares a prefix shingle there, that its sizes allow and that is
-   not connected yet. So links are a spanning forest of what is similar.
+   not connected yet. What it gives is each class's component, not its links.
 5. Shingles with more than MEETING groups and candidate sets beyond BLOCK_CLASSES classes or
    BLOCK_SHINGLES shingles are dealt in blocks, each row once, and what that connects gets a
    label. Then rows of different labels meet, block by block; those of the largest label
    never meet each other. So a large group of near copies costs little more than its size.
-6. Verified links give the components.
+6. What the tasks connected gives the components.
 
 A text is known by two 64-bit hashes, a set by its size and two.
 
@@ -132,15 +132,26 @@ def _sums(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
-def linked_pairs(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is similar among ``sets``, where equal ``labels`` are connected already.
+def stars(ids: np.ndarray, before: np.ndarray, part: np.ndarray) -> list[tuple[int, int]]:
+    """One edge for each part of ``before`` that became part of a larger one: from its least id to that one's."""
+    order = np.lexsort((ids, before))
+    first = order[np.concatenate(([True], before[order][1:] != before[order][:-1]))]
+    by_part = first[np.lexsort((ids[first], part[first]))]
+    heads = np.concatenate(([True], part[by_part][1:] != part[by_part][:-1]))
+    least = ids[by_part][np.maximum.accumulate(np.where(heads, np.arange(len(by_part)), 0))]
+    return list(zip(ids[by_part][~heads].tolist(), least[~heads].tolist(), strict=True))
+
+
+def linked(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Edges, as :func:`stars` has them, that connect what is similar among ``sets``; equal ``labels`` are connected already.
 
     Compared is every pair that meets on a shingle of its prefixes (in an order of the given
     sets' own, rare first), whose sizes allow it and that is not connected.
     """
     by_size = np.argsort([len(s) for s in sets], kind="stable")
     sets, ids = [sets[i] for i in by_size], ids[by_size]
-    part = np.unique(labels[by_size], return_inverse=True)[1]
+    before = np.unique(labels[by_size], return_inverse=True)[1]
+    part = before.copy()
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     terms, flat, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -155,7 +166,6 @@ def linked_pairs(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], nu
     first = np.searchsorted(owner, np.arange(len(sets) + 1))
     lo, hi = np.searchsorted(posted_term, term, "left"), np.searchsorted(posted_term, term, "right")
     mark = np.zeros(len(terms), np.uint8)
-    links = []
     for i in range(len(sets) - 1):
         end = int(np.searchsorted(sizes, sizes[i] * den // num, "right"))
         met = [posted[lo[x] : hi[x]] for x in range(first[i], first[i + 1])]
@@ -172,16 +182,16 @@ def linked_pairs(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], nu
         mark[own] = 0
         for j in others[den * both >= num * (sizes[i] + sizes[others] - both)]:
             if part[j] != part[i]:
-                links.append((int(ids[i]), int(ids[j])))
                 part[part == part[j]] = part[i]
-    return links
+    return stars(ids, before, part)
 
 
 def ties_of(gids: np.ndarray, labels: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray, num: int, den: int) -> list[tuple[int, int]]:
-    """Ties that connect the groups of one prefix shingle which the filters cannot tell apart; equal ``labels`` are tied already."""
+    """Edges, as :func:`stars` has them, that connect the groups of a prefix shingle which the filters cannot tell apart; equal ``labels`` are tied already."""
     order = np.argsort(n, kind="stable")
     gids, n, low, high = gids[order], n[order], low[order].astype(np.int16), high[order].astype(np.int16)
-    part, ties = np.unique(labels[order], return_inverse=True)[1], []
+    before = np.unique(labels[order], return_inverse=True)[1]
+    part = before.copy()
     for i in range(len(n) - 1):
         end = int(np.searchsorted(n, n[i] * den // num, "right"))
         others = i + 1 + np.flatnonzero(part[i + 1 : end] != part[i])
@@ -192,9 +202,8 @@ def ties_of(gids: np.ndarray, labels: np.ndarray, n: np.ndarray, low: np.ndarray
         gap = np.maximum(0, np.maximum(low[others] - high[i], low[i] - high[others])).sum(axis=1)
         for j in others[gap <= most]:
             if part[j] != part[i]:
-                ties.append((int(gids[i]), int(gids[j])))
                 part[part == part[j]] = part[i]
-    return ties
+    return stars(gids, before, part)
 
 
 def once(rows: DataFrame, blocks: Column, id_: str, salt: int = 0) -> DataFrame:
@@ -339,7 +348,7 @@ def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -
         for _, (label, cids, hashes) in _keyed(batches, ["comp", "i", "j", "label", "cid", "hashes"], 3):
             at = list(dict(zip(cids, range(len(cids)), strict=True)).values())  # rows may repeat
             if len(at) > 1:
-                yield _pairs_batch(linked_pairs(np.array([cids[x] for x in at]), np.array([label[x] for x in at]), [np.frombuffer(hashes[x], np.uint64) for x in at], num, den))
+                yield _pairs_batch(linked(np.array([cids[x] for x in at]), np.array([label[x] for x in at]), [np.frombuffer(hashes[x], np.uint64) for x in at], num, den))
 
     def links(dealt: DataFrame) -> DataFrame:
         keys = ["comp", "i", "j"]
@@ -348,7 +357,7 @@ def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -
     found = durable(links(once(with_sets(cand), F.col("blocks"), "cid")), "links")
     large = cand.where("blocks > 1")
     if large.isEmpty():
-        return connected_components(found)
+        return found.select(F.col("u").alias("node"), F.col("v").alias("component"))  # each set was one task's, so its edges are whole components
     sets = durable(with_sets(large), "sets")
     found = found.unionByName(durable(links(once(sets, F.col("blocks"), "cid", salt=1)), "links"))  # dealt anew, to connect most of what other blocks hold
     labels = durable(connected_components(found), "labels")

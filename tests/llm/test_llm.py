@@ -223,14 +223,14 @@ def test_jaccard_groups_share_prefix_and_size():
         sets = [np.sort(np.array(rng.sample(range(60), rng.randint(1, 30)), np.uint64)) for _ in range(40)]
         for i in range(0, 40, 3):
             sets[i] = np.unique(np.append(sets[i - 1], np.uint64(100 + i)))
-        part = {i: i for i in range(40)}
-        for u, v in jaccard_join.linked_pairs(np.arange(40), np.arange(40), sets, 80, 100):
-            assert 100 * len(np.intersect1d(sets[u], sets[v])) >= 80 * len(np.union1d(sets[u], sets[v]))
-            part = {i: (part[u] if p == part[v] else p) for i, p in part.items()}
-        for i in range(40):
-            for j in range(i):
-                if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
-                    assert part[i] == part[j]
+        near = [(i, j) for i in range(40) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+        for labels in (np.arange(40), np.arange(40) // 2):
+            want, got = labels.copy(), labels.copy()
+            for i, j in near:
+                want[want == want[i]] = want[j]
+            for u, v in jaccard_join.linked(np.arange(40), labels, sets, 80, 100):
+                got[got == got[u]] = got[v]
+            assert ((want[:, None] == want) == (got[:, None] == got)).all()
 
 
 def targets_of(sizes, most=3.0):
