@@ -36,12 +36,12 @@ def name_date(path: Column) -> Column:
 
 
 def directory_date(path: Column) -> Column:
-    """``YYYY-MM`` or ``YYYY`` of the nearest directory that has one, from the file upward."""
+    """``YYYY-MM`` or ``YYYY`` of the nearest part of the path that has one anywhere, from the file name upward."""
     parts = F.reverse(F.split(path, "/"))
 
     def of(p: Column) -> Column:
-        y, m = F.regexp_extract(p, r"^(\d{4})-(\d{2})", 1), F.regexp_extract(p, r"^(\d{4})-(\d{2})", 2)
-        year = F.regexp_extract(p, r"^(\d{4})", 1)
+        y, m = F.regexp_extract(p, r"(\d{4})-(\d{2})", 1), F.regexp_extract(p, r"(\d{4})-(\d{2})", 2)
+        year = F.regexp_extract(p, r"(\d{4})", 1)
         plausible = lambda x: (x != "") & F.coalesce(F.try_to_number(x, F.lit("9999")).between(1900, 2100), F.lit(False))
         month = (m != "") & F.coalesce(F.try_to_number(m, F.lit("99")).between(1, 12), F.lit(False))
         return F.when(plausible(y) & month, F.concat_ws("-", y, m)).when(plausible(year), year)

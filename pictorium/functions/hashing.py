@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -67,5 +67,10 @@ def bands(h: Column, threshold: int) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("band"), part(lo, hi).alias("bits")) for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False))])
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def band_pairs(h: Column, threshold: int) -> Column:
+    """Every two of ``threshold + 2`` bands that cover all 64 bits: hashes within ``threshold`` bits share such a pair."""
+    n = threshold + 2
+    edges = [64 * i // n for i in range(n + 1)]
+    part = [F.shiftrightunsigned(h, 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(edges, edges[1:], strict=False)]
+    pairs = combinations(range(n), 2)
+    return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftleft(part[i], edges[j + 1] - edges[j]).bitwiseOR(part[j]).alias("bits")) for k, (i, j) in enumerate(pairs)])

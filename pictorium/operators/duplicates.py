@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,20 +21,33 @@ def exact_groups(images: DataFrame) -> DataFrame:
 def similar_pairs(hashes: DataFrame, threshold: int, mode: str = "any") -> DataFrame:
     """``image_1 < image_2`` within ``threshold`` bits by either hash (``any``) or both (``all``).
 
-    Hashes within the threshold share one of ``threshold + 1`` bands, so an equi-join on bands
-    finds every pair without comparing all; equal hashes meet once, by their first shared band.
+    Images with equal hashes are one key, and only keys meet; pairs of images are made at the end.
+    Hashes within the threshold share two of ``threshold + 2`` bands, so an equi-join on pairs of
+    bands finds every pair without comparing all. Hashes are written once, as their plan may be long.
     """
+    h = checkpointed(hashes.select("image_id", "ahash", "dhash"))
+    keys = checkpointed(h.groupBy("ahash", "dhash").agg(F.min("image_id").alias("key"), F.count("*").alias("n")))
     out = None
     for name in ("ahash", "dhash"):
-        h = hashes.select("image_id", "ahash", "dhash", F.explode(hashing.bands(F.col(name), threshold)).alias("b")).select("image_id", "ahash", "dhash", "b.band", "b.bits")
-        a, b = h.alias("a"), h.alias("b")
+        met = keys.select("key", "ahash", "dhash", F.explode(hashing.band_pairs(F.col(name), threshold)).alias("b")).select("key", "ahash", "dhash", "b.band", "b.bits")
+        a, b = met.alias("a"), met.alias("b")
         near = hashing.hamming(F.col(f"a.{name}"), F.col(f"b.{name}")) <= threshold
-        j = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.image_id") < F.col("b.image_id")) & near)
-        found = j.select(F.col("a.image_id").alias("image_1"), F.col("b.image_id").alias("image_2"), hashing.hamming(F.col("a.ahash"), F.col("b.ahash")).alias("a_distance"), hashing.hamming(F.col("a.dhash"), F.col("b.dhash")).alias("d_distance"))
+        j = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.key") < F.col("b.key")) & near)
+        found = j.select(F.col("a.key").alias("key_1"), F.col("b.key").alias("key_2"), hashing.hamming(F.col("a.ahash"), F.col("b.ahash")).alias("a_distance"), hashing.hamming(F.col("a.dhash"), F.col("b.dhash")).alias("d_distance"))
         out = found if out is None else out.unionByName(found)
         if mode == "all":
             break
     out = out.distinct()
+    if keys.where("n > 1").isEmpty():
+        out = out.select(F.col("key_1").alias("image_1"), F.col("key_2").alias("image_2"), "a_distance", "d_distance")
+    else:
+        of = checkpointed(h.join(keys, h["ahash"].eqNullSafe(keys["ahash"]) & h["dhash"].eqNullSafe(keys["dhash"])).select("key", "n", "image_id", h["ahash"], h["dhash"]))
+        one, two = of.select(F.col("key").alias("key_1"), F.col("image_id").alias("a")), of.select(F.col("key").alias("key_2"), F.col("image_id").alias("b"))
+        apart = out.join(one, "key_1").join(two, "key_2").select("a", "b", "a_distance", "d_distance")
+        same = of.where("n > 1 and (ahash is not null or dhash is not null)")
+        zero = lambda c: hashing.hamming(F.col(c), F.col(c)).alias(f"{c[0]}_distance")
+        equal = same.select(F.col("key").alias("key_1"), F.col("image_id").alias("a"), zero("ahash"), zero("dhash")).join(two, F.col("key_1") == F.col("key_2")).where("a < b").select("a", "b", "a_distance", "d_distance")
+        out = apart.unionByName(equal).select(F.least("a", "b").alias("image_1"), F.greatest("a", "b").alias("image_2"), "a_distance", "d_distance")
     return out.where((F.col("a_distance") <= threshold) & (F.col("d_distance") <= threshold)) if mode == "all" else out
 
 
@@ -79,16 +94,29 @@ def _constrained(nodes: list, distance: dict, limit: int, diameter: int, window:
     for (a, b), d in distance.items():
         near[a][b] = near[b][a] = d
     left, out = set(nodes), []
+    degree = {n: len(near[n]) for n in nodes}
+    heap = [(-degree[n], n) for n in nodes]
+    heapify(heap)
+
+    def take(n):
+        left.discard(n)
+        for o in near[n]:
+            if o in left:
+                degree[o] -= 1
+                heappush(heap, (-degree[o], o))
+
     while left:
-        seed = min(left, key=lambda n: (-sum(o in left for o in near[n]), n))
-        left.discard(seed)
+        d, seed = heappop(heap)
+        if seed not in left or degree[seed] != -d:
+            continue  # an entry from before a neighbour was taken
+        take(seed)
         group = [seed]
         for d, n in sorted((d, n) for n, d in near[seed].items() if n in left and d <= window):
             if len(group) >= limit:
                 break
             if all(near[n].get(m, 999) <= diameter for m in group):
                 group.append(n)
-                left.discard(n)
+                take(n)
         if len(group) > 1:
             out.append(group)
     return out
@@ -162,6 +190,11 @@ def complete_cliques(members: DataFrame, pairs: DataFrame) -> DataFrame:
     return n.join(inside, "group_id", "left").select("group_id", (F.coalesce("edges", F.lit(0)) == F.col("n") * (F.col("n") - 1) / 2).alias("complete"))
 
 
+def as_percent(confidence: Column) -> Column:
+    """Whole percent of a confidence that may be given as a share of 1."""
+    return F.when(confidence <= 1, confidence * 100).otherwise(confidence).cast("int")
+
+
 def confidence(distance: Column) -> Column:
     return F.greatest(F.lit(0), 100 - 10 * distance)
 

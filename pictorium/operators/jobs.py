@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpointed
+
 
 def effective_status(status: Column, result: Column) -> Column:
     """queued, running, completed, failed or killed; the order of the rules matters."""
@@ -48,13 +51,33 @@ def batch_plan(total: Column, seconds_per_item: Column, target: float = 30.0, lo
 
 
 def smoothed_timing(observations: DataFrame, keys: list[str], at: str, value: str, alpha: float = 0.3) -> DataFrame:
-    """Exponential moving average of ``value`` in order of ``at``, per key."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(value).cast("double").alias("v"))))
-    g = observations.groupBy(*keys).agg(ordered.alias("o"))
-    ema = F.aggregate(F.slice("o", 2, 1_000_000_000), F.element_at("o", 1)["v"], lambda acc, x: acc * (1 - alpha) + x["v"] * alpha)
+    """Exponential moving average of ``value`` in order of ``at``, per key; it starts at the first value.
+
+    Observations are dealt by ranges of key and time. What a range does to an average is a factor
+    and an addend, so of a range two numbers are left, however many observations a key has.
+    """
+    o = observations.select(*keys, F.col(at).alias("at"), F.col(value).cast("double").alias("v"))
+    o = checkpointed(o.repartitionByRange(*keys, "at").withColumn("part", F.spark_partition_id()))
+    order = W.partitionBy(*keys, "part").orderBy("at", "v")
+    n = F.count("*").over(W.partitionBy(*keys, "part"))
+    o = o.withColumn("age", n - F.row_number().over(order))
+    share = F.pow(F.lit(1 - alpha), F.col("age"))
+    first = F.min(F.struct("at", "v"))
+    ranges = o.groupBy(*keys, "part").agg(first.alias("first"), F.pow(F.lit(1 - alpha), F.count("*")).alias("factor"), F.sum(alpha * F.col("v") * share).alias("addend"))
+    g = ranges.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("part", "first", "factor", "addend"))).alias("o"))  # a row for each range at most
+    ema = F.aggregate("o", F.element_at("o", 1)["first"]["v"], lambda acc, x: acc * x["factor"] + x["addend"])
     return g.select(*keys, ema.alias("ema"))
 
 
+def sliced(items: DataFrame, by: str, size: int) -> DataFrame:
+    """``items`` with ``batch``: contiguous slices of ``size`` in order of ``by``, without gathering rows in one task."""
+    dealt = checkpointed(items.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
+    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
+    parts = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
+    ranked = dealt.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(by)) - 1)
+    return ranked.join(F.broadcast(parts), "part").withColumn("batch", F.floor((F.col("before") + F.col("place")) / size).cast("int")).drop("part", "place", "before")  # parts: a row for each partition
+
+
 def cancelled(batches: DataFrame, jobs: DataFrame) -> DataFrame:
     """Batches that must stop: cancelled themselves or of a job that is revoked or cancelled."""
     j = batches.join(jobs.select(F.col("job_id").alias("parent_job_id"), F.col("status").alias("job_status")), "parent_job_id", "left")
@@ -63,8 +86,6 @@ def cancelled(batches: DataFrame, jobs: DataFrame) -> DataFrame:
 
 def claimed(batches: DataFrame, worker: str) -> DataFrame:
     """The first pending batch of each job as running under ``worker``; settled and running ones stay."""
-    from pyspark.sql import Window as W
-
     first = F.row_number().over(W.partitionBy("parent_job_id", "status").orderBy("batch_number")) == 1
     b = batches.withColumn("take", (F.col("status") == "PENDING") & first)
     return b.select("parent_job_id", "batch_number", F.when(F.col("take"), "RUNNING").otherwise(F.col("status")).alias("status"), F.when(F.col("take"), worker).alias("worker_id"))
@@ -95,3 +116,10 @@ def processor(job_type: str):
         return f
 
     return put
+
+
+def run_job(job_type: str, df: DataFrame) -> DataFrame:
+    """What the processor of ``job_type`` makes of ``df``."""
+    if job_type not in PROCESSORS:
+        raise ValueError(f"no processor for {job_type}")
+    return PROCESSORS[job_type](df)

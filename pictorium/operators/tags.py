@@ -59,3 +59,17 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     o, n = old.alias("o"), new.alias("n")
     j = o.join(n, (F.col("o.image_id") == F.col("n.image_id")) & (F.col("o.tag_id") == F.col("n.tag_id")), "full")
     return j.select(*[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in ("image_id", "tag_id", "confidence", "source")])
+
+
+def sync_taxonomy(tags: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """``tag_id, name, category, parent_id, inserted``: missing names get new ids, then every parent is set by its name.
+
+    ``tags``: ``tag_id, name, category``; ``taxonomy``: ``name, category, parent`` (null for roots), a fixed
+    list of some dozens. Names of ``tags`` that it lacks stay as they are, without parent.
+    """
+    last = tags.agg(F.coalesce(F.max("tag_id"), F.lit(0)).alias("last"))
+    new = taxonomy.join(tags, "name", "left_anti").withColumn("nth", F.row_number().over(W.orderBy("name")))
+    new = new.join(F.broadcast(last)).select((F.col("last") + F.col("nth")).alias("tag_id"), "name", "category", F.lit(True).alias("inserted"))  # last: one row
+    every = tags.select("tag_id", "name", "category", F.lit(False).alias("inserted")).unionByName(new)
+    parents = taxonomy.select("name", "parent").join(every.select(F.col("name").alias("parent"), F.col("tag_id").alias("parent_id")), "parent")
+    return every.join(parents.select("name", "parent_id"), "name", "left").select("tag_id", "name", "category", "parent_id", "inserted")

@@ -43,7 +43,10 @@ add(
 )
 add("t05_paths", lambda v: v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws("/", "r_name", "n_name").alias("path")), "select n_nationkey, r_name || '/' || n_name as path from nation join region on n_regionkey = r_regionkey")
 add("t05_roots", lambda v: v.table("region").join(v.table("nation"), F.col("r_regionkey") == F.col("n_regionkey"), "left").groupBy("r_name").agg(F.count("n_name").alias("children")), "select r_name, count(n_name) as children from region left join nation on r_regionkey = n_regionkey group by 1")
-add("t06_sync", lambda v: v.tags.select("tag_id").join(v.image_tags.select("tag_id").distinct(), "tag_id", "left_anti"), "select tag_id from tags where tag_id not in (select tag_id from image_tags)")
+_TREE = lambda v: v.table("region").select(F.col("r_name").alias("name"), F.lit("region").alias("category"), F.lit(None).cast("string").alias("parent")).unionByName(v.table("nation").join(v.table("region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("name"), F.lit("nation").alias("category"), F.col("r_name").alias("parent")))
+_KNOWN = lambda v: v.table("nation").where("n_nationkey < 10").select((F.col("n_nationkey").cast("long") + 1).alias("tag_id"), F.col("n_name").alias("name"), F.lit("nation").alias("category"))
+add("t06_sync", lambda v: T.sync_taxonomy(_KNOWN(v), _TREE(v)), "with tree as (select r_name as name, 'region' as category, null::varchar as parent from region union all select n_name, 'nation', r_name from nation join region on n_regionkey = r_regionkey), known as (select n_nationkey::bigint + 1 as tag_id, n_name as name from nation where n_nationkey < 10), every as (select tag_id, k.name, 'nation' as category, false as inserted from known k union all select 10 + row_number() over (order by name), name, category, true from tree where name not in (select name from known)) select e.tag_id, e.name, e.category, p.tag_id as parent_id, e.inserted from every e left join tree t using (name) left join every p on p.name = t.parent")
+add("t06_second_sync", lambda v: T.sync_taxonomy(T.sync_taxonomy(_KNOWN(v), _TREE(v)).select("tag_id", "name", "category"), _TREE(v)).agg(F.count("*").alias("n"), F.count_if("inserted").alias("inserted")), "select (select count(*) from region) + (select count(*) from nation) as n, 0::bigint as inserted")
 add("t07_upsert", lambda v: T.upsert(v.image_tags, v.image_tags.where("image_id % 5 = 0").withColumn("confidence", F.lit(0.25))).select("image_id", "tag_id", F.round("confidence", 6).alias("confidence")), "select image_id, tag_id, case when image_id % 5 = 0 then 0.25 else round(confidence, 6) end::double as confidence from image_tags")
 add("t08_images_with_tag", lambda v: v.image_tags.where("tag_id = 7 and confidence >= 0.7").select("image_id"), "select image_id from image_tags where tag_id = 7 and confidence >= 0.7")
 add("t09_any", lambda v: v.image_tags.join(v.tags.where("category in ('Brand#11', 'Brand#12')"), "tag_id").select("image_id").distinct(), "select distinct image_id from image_tags join tags using (tag_id) where category in ('Brand#11', 'Brand#12')")
@@ -118,7 +121,10 @@ g as (select camera, run, count(*) as image_count, min(ts) as start_time, max(ts
 for _h in (1, 4, 12):
     add(f"w01_bursts_{_h}h", lambda v, h=_h: B.detect(v.shots, h * 3600, check_place=False, check_name=False).select("camera", "run", "image_count", "duration_seconds", F.col("best_image_id").alias("best")), _RUN.format(gap=_h * 3600) + " select camera, run, image_count, duration_seconds, best from g")
 add("w04_first", lambda v: B.detect(v.shots, 14400, select="first", check_place=False, check_name=False).select("camera", "run", F.col("best_image_id").alias("head")), _RUN.format(gap=14400) + " select camera, run, head from g")
-add("w02_w03_bursts", lambda v: B.detect(v.shots, 43200).select("camera", "run", "image_count"))
+_PLACE = "(latitude is null or longitude is null or lag(latitude) over w is null or lag(longitude) over w is null or (floor((longitude + 180) / 360 * 32768) = floor((lag(longitude) over w + 180) / 360 * 32768) and floor((latitude + 90) / 180 * 32768) = floor((lag(latitude) over w + 90) / 180 * 32768)) or 2 * 6371000.0::double * asin(least(1, sqrt(power(sin(radians(latitude - lag(latitude) over w) / 2), 2) + cos(radians(latitude)) * cos(radians(lag(latitude) over w)) * power(sin(radians(longitude - lag(longitude) over w) / 2), 2)))) <= 10)"
+_NEXT = "(regexp_extract(source_path, '([A-Za-z_]+)(\\d+)[^/]*$', 1) = lag(regexp_extract(source_path, '([A-Za-z_]+)(\\d+)[^/]*$', 1)) over w and abs(regexp_extract(source_path, '([A-Za-z_]+)(\\d+)[^/]*$', 2)::bigint - lag(regexp_extract(source_path, '([A-Za-z_]+)(\\d+)[^/]*$', 2)::bigint) over w) <= 5)"
+_NUMBERED = lambda v: v.shots.withColumn("source_path", F.expr("'/s/IMG_' || cast(image_id div 400 as string) || '.jpg'"))
+add("w02_w03_bursts", lambda v: B.detect(_NUMBERED(v), 200_000, least=2).select("camera", "run", "image_count"), _RUN.format(gap=200_000).replace("<= 200000 then 0", f"<= 200000 and {_PLACE} and {_NEXT} then 0").replace("from shots)", "from (select * replace ('/s/IMG_' || (image_id // 400)::varchar || '.jpg' as source_path) from shots))").replace("count(*) >= 3", "count(*) >= 2") + " select camera, run, image_count from g")
 add("w06_members", lambda v: B.members(v.shots.withColumn("latitude", F.lit(None).cast("double")).withColumn("source_path", F.lit("x")), 14400).select("camera", "image_id", F.col("burst_sequence").cast("int").alias("seq")), _RUN.format(gap=14400) + " select camera, image_id, pos::int as seq from q join g using (camera, run)")
 add("w05_merge", lambda v: B.merge_adjacent(B.detect(v.shots, 3600, check_place=False, check_name=False), 43200).select("camera", "image_count"), _RUN.format(gap=3600) + ", m as (select *, sum(case when epoch(date_trunc('second', start_time)) - epoch(date_trunc('second', before)) <= 43200 then 0 else 1 end) over (partition by camera order by start_time, run) as merged from (select *, lag(end_time) over (partition by camera order by start_time, run) as before from g)) select camera, sum(image_count)::bigint as image_count from m group by camera, merged")
 add("j15_adjacent", lambda v: v.shots.selectExpr("image_id", "camera_model", "lag(image_id) over (partition by camera_model order by ts, image_id) as before"), "select image_id, camera_model, lag(image_id) over (partition by camera_model order by ts, image_id) as before from shots")
@@ -144,8 +150,8 @@ add("f22_stale", lambda v: J.stale_batches(v.batches, _AT(), 60).select("parent_
 add("f23_stale_jobs", lambda v: v.jobs.where(F.col("status").isin("PROGRESS", "PENDING") & (F.col("updated_at") < _AT())).select("job_id"), "select job_id from jobs where status in ('PROGRESS', 'PENDING') and updated_at < '1995-06-17'")
 add("u04_dispatch", lambda v: J.to_dispatch(v.batches, _AT(), 60), "select parent_job_id, batch_number from batches where status = 'RUNNING' and started_at < timestamp '1995-06-17' - interval 60 minute union select parent_job_id, batch_number from batches where status = 'PENDING'")
 add("m06_batch_plan", lambda v: v.jobs.select("job_id", J.batch_plan(F.col("job_id") % 9000, (F.col("job_id") % 50 + 1) / 100.0).cast("long").alias("size")), "select job_id, case when job_id % 9000 <= s then job_id % 9000 else s end::bigint as size from (select job_id, greatest(10, least(5000, floor(30 / ((job_id % 50 + 1) / 100.0::double)))) as s from jobs)")
-add("m01_batches", lambda v: v.images.selectExpr("id", "cast(floor((row_number() over (order by id) - 1) / 250) as int) as batch").groupBy("batch").agg(F.count("*").alias("n")), "select batch, count(*) as n from (select floor((row_number() over (order by id) - 1) / 250)::int as batch from images) group by 1")
-add("w11_ema", lambda v: J.smoothed_timing(v.jobs.where("job_id % 10 < 3").withColumn("v", F.col("job_id") % 17).withColumn("at", F.col("job_id")), ["job_type"], "at", "v").select("job_type", F.round("ema", 6).alias("ema")), "select job_type, round(list_reduce(list_transform(list(job_id % 17 order by job_id), lambda x: x::double), lambda a, x: a * 0.7 + x * 0.3), 6) as ema from jobs where job_id % 10 < 3 group by 1")
+add("m01_batches", lambda v: J.sliced(v.images.select("id"), "id", 250).groupBy("batch").agg(F.count("*").alias("n")), "select batch, count(*) as n from (select floor((row_number() over (order by id) - 1) / 250)::int as batch from images) group by 1")
+add("w11_ema", lambda v: J.smoothed_timing(v.jobs.withColumn("v", F.col("job_id") % 17).withColumn("at", F.col("job_id")), ["job_type"], "at", "v").select("job_type", F.round("ema", 6).alias("ema")), "with recursive o as (select job_type, (job_id % 17)::double as v, row_number() over (partition by job_type order by job_id) as r, count(*) over (partition by job_type) as n from jobs) select job_type, round(sum(v * case when r = 1 then power(0.7::double, n - 1) else 0.3 * power(0.7::double, n - r) end), 6) as ema from o group by 1")
 add("s14_latest", lambda v: S.latest(v.jobs, ["job_type"], ["updated_at", "job_id"]).select("job_type", "job_id"), "select job_type, job_id from jobs qualify row_number() over (partition by job_type order by updated_at desc, job_id desc) = 1")
 add("o06_recent_jobs", lambda v: v.jobs.orderBy(F.desc("updated_at"), F.desc("job_id")).limit(5).select("job_id"), "select job_id from jobs order by updated_at desc, job_id desc limit 5")
 add("a30_rollup", lambda v: v.batches.groupBy("status").agg(F.sum("processed_count").alias("processed"), F.sum("error_count").alias("errors")), "select status, sum(processed_count)::bigint as processed, sum(error_count)::bigint as errors from batches group by 1")
@@ -185,3 +191,13 @@ add("s23_orientation", lambda v: v.images.select("id", S.orientation(F.col("id")
 add("s33_edits", lambda v: v.images.select("id", F.coalesce(F.when(F.col("id") % 3 == 0, F.lit("{}")), F.lit('{"version":1}')).alias("edit")), "select id, coalesce(case when id % 3 = 0 then '{}' end, '{\"version\":1}') as edit from images")
 add("x36_json", lambda v: v.table("events").select("event_id", F.get_json_object(F.when(F.col("event_id") % 7 == 0, '{"k": "bad"}').otherwise(F.col("props")), "$.k").try_cast("int").alias("k")), "select event_id, try_cast(json_extract_string(case when event_id % 7 = 0 then '{\"k\": \"bad\"}' else props end, '$.k') as int) as k from events")
 add("o10_evict", lambda v: v.images.selectExpr("id", "sum(size_bytes) over () as total", "sum(size_bytes) over (order by created_at, id) - size_bytes as before").where("total > 1500000000 and total - before > 0.9 * 1500000000").select("id"), "select id from (select id, sum(size_bytes) over () as total, sum(size_bytes) over (order by created_at, id) - size_bytes as before from images) where total > 1500000000 and total - before > 0.9 * 1500000000")
+
+
+def _listed(v):
+    vectors = v.table("embeddings")
+    centers = V.list_centers(vectors, 8)
+    index = S.checkpointed(V.in_lists(vectors, centers))
+    return V.list_search(index, vectors.where("vec_id % 50 = 0"), centers, len(centers), 5)
+
+
+add("v05_list_index", _listed, "select a.vec_id as query, b.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) as similarity, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 6) desc, b.vec_id) as r from embeddings a join embeddings b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id qualify r <= 5")

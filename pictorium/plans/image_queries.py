@@ -109,4 +109,6 @@ add("x05_similarity", lambda v: v.images.select("id", hashing.similarity_percent
 add("x31_shutter", lambda v: v.images.select("id", text.shutter_speed(F.when(F.col("id") % 4 == 0, 0.0).when(F.col("id") % 4 == 1, 2.0).when(F.col("id") % 4 == 2, 1.5).otherwise(1.0 / (F.col("id") + 1))).alias("s")), "select id, case id % 4 when 0 then null when 1 then '2s' when 2 then '1.5s' else '1/' || (id + 1) end as s from images")
 add("x35_haversine", lambda v: v.images.where("latitude is not null").select("id", F.round(geo.haversine(F.col("latitude"), F.col("longitude"), F.lit(10.0), F.lit(20.0)), 2).alias("m")), "select id, round(2 * 6371000 * atan2(sqrt(pow(sin(radians(10 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(10)) * pow(sin(radians(20 - longitude) / 2), 2)), sqrt(1 - (pow(sin(radians(10 - latitude) / 2), 2) + cos(radians(latitude)) * cos(radians(10)) * pow(sin(radians(20 - longitude) / 2), 2)))), 2) as m from images where latitude is not null")
 add("x26_name_date", lambda v: v.images.select("id", dates.name_date(F.concat(F.lit("/x/IMG_"), F.date_format("selected_date", "yyyyMMdd"), F.lit(".jpg"))).cast("string").alias("d")), "select id, date_trunc('day', selected_date)::timestamp::varchar as d from images")
-add("x27_directory_date", lambda v: v.images.select("id", dates.directory_date(F.concat(F.lit("/p/"), F.date_format("selected_date", "yyyy-MM"), F.lit("/a/x.jpg"))).alias("d")), "select id, strftime(selected_date, '%Y-%m') as d from images")
+_DATED = "case id % 6 when 0 then '/p/' || {ym} || '/a/x.jpg' when 1 then '/p/Trip ' || {ym} || '/a.jpg' when 2 then '/p/x/IMG_' || {ymd} || '.jpg' when 3 then '/Summer' || {y} || '/b.jpg' when 4 then '/p/' || {y} || '-13/1234-05/c9999.jpg' else '/p/no/date.jpg' end"
+_PART = "case when try_cast(regexp_extract(x, '(\\d{4})-(\\d{2})', 1) as int) between 1900 and 2100 and try_cast(regexp_extract(x, '(\\d{4})-(\\d{2})', 2) as int) between 1 and 12 then regexp_extract(x, '(\\d{4})-(\\d{2})', 0) when try_cast(regexp_extract(x, '\\d{4}') as int) between 1900 and 2100 then regexp_extract(x, '\\d{4}') end"
+add("x27_directory_date", lambda v: v.images.select("id", dates.directory_date(F.expr(_DATED.format(ym="date_format(selected_date, 'yyyy-MM')", ymd="date_format(selected_date, 'yyyy-MM-dd')", y="date_format(selected_date, 'yyyy')"))).alias("d")), "select id, list_filter(list_transform(list_reverse(string_split(" + _DATED.format(ym="strftime(selected_date, '%Y-%m')", ymd="strftime(selected_date, '%Y-%m-%d')", y="strftime(selected_date, '%Y')") + ", '/')), lambda x: " + _PART + "), lambda y: y is not null)[1] as d from images")

@@ -18,11 +18,12 @@ _AT = lambda: F.lit("1995-06-17 00:00:00").cast("timestamp_ntz")
 # sources and mutations
 add("s02_discovery_counts", lambda v: S.discover(v.images.select(F.concat(F.when(F.col("id") % 9 == 0, "/@eaDir").otherwise(""), "source_path").alias("path"))).agg(F.count_if(F.col("reason") == "synology").alias("synology"), F.count_if(F.col("reason").isNull()).alias("media")), "select count(*) filter (where id % 9 = 0) as synology, count(*) filter (where id % 9 <> 0 and source_path not like '%.txt') as media from images")
 add("s03_incremental", lambda v: v.images.where(text.extension(F.col("source_path")).isin(".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".webp", ".heic", ".raw", ".mp4", ".mov", ".avi", ".mkv")).select("id"), "select id from images where lower(regexp_extract(source_path, '(\\.[^./]+)$', 1)) in ('.jpg', '.png', '.heic', '.mp4')")
-add("s07_records", lambda v: v.images.where("file_type <> 'unknown'").select("id", "checksum", text.file_type(F.col("source_path")).alias("t"), dates.name_date(F.col("source_path")).cast("string").alias("d")), "select id, checksum, file_type as t, null::varchar as d from images where file_type <> 'unknown'")
+_NAMED = "'/d/IMG_' || {d} || '.jpg'"
+add("s07_records", lambda v: v.images.where("file_type <> 'unknown'").select("id", "checksum", text.file_type(F.col("source_path")).alias("t"), dates.name_date(F.expr(_NAMED.format(d="date_format(selected_date, 'yyyyMMdd')"))).cast("string").alias("d")), "select id, checksum, file_type as t, date_trunc('day', selected_date)::timestamp::varchar as d from images where file_type <> 'unknown'")
 add("s09_merge", lambda v: S.merge_incomplete(v.images.where("id < 200").groupBy("checksum").agg(F.min("quality_score").alias("quality_score"), (F.min("id") % 2 == 0).alias("hashed")), v.images.where("id >= 200").groupBy("checksum").agg(F.max("quality_score").alias("quality_score"), F.lit(True).alias("hashed")), ["quality_score"], ["hashed"]), "select a.checksum, coalesce(a.q, b.q) as quality_score, a.h or coalesce(b.h, false) as hashed from (select checksum, min(quality_score) as q, min(id) % 2 = 0 as h from images where id < 200 group by 1) a left join (select checksum, max(quality_score) as q, true as h from images where id >= 200 group by 1) b using (checksum)")
 add("s12_by_id", lambda v: v.images.where("id = 42").select("id", "checksum"), "select id, checksum from images where id = 42")
 add("s13_update", lambda v: S.updated(v.images.select("id", "status_id", "quality_score"), v.images.where("id % 4 = 1").select("id", F.lit("active").alias("status_id")), "id", ["status_id"]), "select id, case when id % 4 = 1 then 'active' else status_id end as status_id, quality_score from images")
-add("s19_replace_groups", lambda v: v.groups.select("group_id", F.when(F.col("confidence") <= 1, F.col("confidence") * 100).otherwise(F.col("confidence")).cast("int").alias("confidence")), "select group_id, 100 as confidence from groups")
+add("s19_replace_groups", lambda v: v.pairs.groupBy(F.col("image_1").alias("group_id")).agg(F.min("a_distance").alias("d")).select("group_id", D.as_percent(F.when(F.col("group_id") % 2 == 0, (100 - F.col("d")) / 100.0).otherwise((100 - F.col("d")).cast("double"))).alias("confidence")), "select image_1 as group_id, floor(case when image_1 % 2 = 0 then (100 - min(a_distance)) / 100.0::double * 100 else 100 - min(a_distance) end)::int as confidence from pairs group by 1")
 add("s26_corruption", lambda v: v.images.select(text.corruption_severity(F.when(F.col("id") % 3 == 0, "image file is Truncated (3 bytes)").when(F.col("id") % 3 == 1, "broken data stream when reading").otherwise("cannot identify")).alias("severity")).groupBy("severity").agg(F.count("*").alias("n")), "select case id % 3 when 0 then 'minor' when 1 then 'moderate' else 'severe' end as severity, count(*) as n from images group by 1")
 add("s28_previews", lambda v: v.images.where((F.col("file_type") == "image") & text.extension(F.col("source_path")).isin(".cr2", ".nef", ".arw", ".dng", ".heic", ".heif", ".tif", ".tiff")).join(v.images.where("id % 5 = 0").select("checksum"), "checksum", "left_anti").select("id"), "select id from images where file_type = 'image' and (source_path like '%.CR2' or source_path like '%.heic') and checksum not in (select checksum from images where id % 5 = 0)")
 add("s29_json_round_trip", lambda v: v.images.select("id", F.from_json(F.to_json(F.struct("width", "height", "camera_make")), "width long, height long, camera_make string").alias("m")).select("id", "m.width", "m.height", "m.camera_make"), "select id, width, height, camera_make from images")
@@ -34,7 +35,7 @@ add("s36_backfill", lambda v: v.images.select("id", F.coalesce("lens_model", F.a
 # filters, joins, sorts
 add("f15_realistic", lambda v: v.images.where(F.col("selected_date").between(F.lit("1900-01-01").cast("timestamp_ntz"), F.lit("2022-12-31").cast("timestamp_ntz"))).select("id"), "select id from images where selected_date between '1900-01-01' and '2022-12-31'")
 _PROBLEM = "case when selected_date is null then 'no_date' when width < 1000 then 'small' end"
-add("f27_problems", lambda v: v.images.select("id", F.expr(_PROBLEM).alias("category")).where("category is not null and id % 2 = 0"), f"select id, {_PROBLEM} as category from images where {_PROBLEM} is not null and id % 2 = 0")
+add("f27_problems", lambda v: v.images.select("id", F.expr(_PROBLEM).alias("category")).where("category is not null"), f"select id, {_PROBLEM} as category from images where {_PROBLEM} is not null")
 _QUEUE = "select id, case when confidence < 30 then 'low_confidence' when selected_date is null then 'no_date' end as reason, 100 - confidence as priority, created_at from images where confidence < 30 or selected_date is null"
 _queue = lambda v: v.images.where("confidence < 30 or selected_date is null").select("id", F.when(F.col("confidence") < 30, "low_confidence").otherwise("no_date").alias("reason"), (100 - F.col("confidence")).alias("priority"), "created_at")
 add("f28_review_queue", lambda v: _queue(v).join(v.images.select("id", "source_path", "confidence"), "id").select("id", "reason", F.when(F.col("reason") == "low_confidence", F.col("confidence").cast("string")).otherwise(F.col("source_path")).alias("detail")), f"select q.id, reason, case reason when 'low_confidence' then confidence::varchar else source_path end as detail from ({_QUEUE}) q join images using (id)")
@@ -51,13 +52,13 @@ add("o03_legacy", lambda v: v.images.orderBy(F.desc_nulls_last("selected_date"),
 
 # aggregations
 add("a17_severity", lambda v: v.images.groupBy(text.corruption_severity(F.when(F.col("id") % 5 == 0, "truncated").otherwise("x")).alias("severity")).agg(F.count("*").alias("n")), "select case when id % 5 = 0 then 'minor' else 'severe' end as severity, count(*) as n from images group by 1")
-add("a25_scan", lambda v: v.images.agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.max_by("source_path", F.struct("size_bytes", "id")).alias("largest"), F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("file_type") == "unknown", F.substring("source_path", 1, 200)))), 1, 5), ",").alias("samples")), "select count(*) as files, sum(size_bytes)::bigint as bytes, arg_max(source_path, size_bytes * 1000000000 + id) as largest, array_to_string(list_sort(list(source_path) filter (where file_type = 'unknown'))[1:5], ',') as samples from images")
-add("a27_history", lambda v: I.run_history(v.jobs.where("job_id % 97 = 0").select(F.col("job_id").alias("at"), (F.col("job_id") % 13).alias("rate")), "at", "rate"), "with r as (select job_id % 13 as rate, row_number() over (order by job_id desc) as r from jobs where job_id % 97 = 0 qualify r <= 10) select count(*) as runs, round(avg(rate), 6) as mean, round(max(rate) filter (where r = 1) - avg(rate) filter (where r <= 5), 6) as trend from r")
+add("a25_scan", lambda v: v.images.agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.max_by("source_path", F.struct("size_bytes", "id")).alias("largest")).join(v.images.where("file_type = 'unknown'").select("source_path").orderBy("source_path").limit(5).agg(F.array_join(F.array_sort(F.collect_list("source_path")), ",").alias("samples"))), "select count(*) as files, sum(size_bytes)::bigint as bytes, arg_max(source_path, size_bytes * 1000000000 + id) as largest, array_to_string(list_sort(list(source_path) filter (where file_type = 'unknown'))[1:5], ',') as samples from images")
+add("a27_history", lambda v: I.run_history(v.jobs.select(F.col("job_id").alias("at"), (F.col("job_id") % 13).alias("rate")), "at", "rate"), "with r as (select job_id % 13 as rate, row_number() over (order by job_id desc) as r from jobs qualify r <= 10) select count(*) as runs, round(avg(rate), 6) as mean, round(max(rate) filter (where r = 1) - avg(rate) filter (where r <= 5), 6) as trend from r")
 add("a28_chord", lambda v: v.jobs.where(F.col("updated_at") >= _AT()).agg(F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.count_if(F.col("status") == "FAILURE").alias("failed"), F.count_if(~F.col("status").isin("SUCCESS", "FAILURE")).alias("remaining")), "select count(*) filter (where status = 'SUCCESS') as ok, count(*) filter (where status = 'FAILURE') as failed, count(*) filter (where status not in ('SUCCESS', 'FAILURE')) as remaining from jobs where updated_at >= '1995-06-17'")
 add("a29_transactions", lambda v: v.batches.groupBy("parent_job_id").agg(F.bool_and(F.col("status") == "COMPLETED").alias("is_complete"), F.bool_or(F.col("status") == "FAILED").alias("has_failures")), "select parent_job_id, bool_and(status = 'COMPLETED') as is_complete, bool_or(status = 'FAILED') as has_failures from batches group by 1")
 add("a31_imports", lambda v: v.batches.groupBy("parent_job_id").agg(F.round(100.0 * F.sum("processed_count") / F.sum("items_count"), 2).alias("percent"), (dates.seconds(F.max("started_at")) - dates.seconds(F.min("started_at"))).alias("seconds")), "select parent_job_id, round(100.0::double * sum(processed_count) / sum(items_count), 2) as percent, (epoch(max(started_at)) - epoch(min(started_at)))::bigint as seconds from batches group by 1")
 add("a32_cache", lambda v: v.images.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"), F.round(100.0 * F.sum("size_bytes") / 1e10, 2).alias("used")), "select count(*) as n, sum(size_bytes)::bigint as bytes, round(100.0::double * sum(size_bytes) / 1e10, 2) as used from images")
-add("a33_histogram", lambda v: I.histogram(v.variants.where("image_id % 16 = 0"), "px", -4.0, 4.0), "select image_id, least(255, greatest(0, floor((x + 4) / 8 * 256)))::int as bin, count(*) as n from (select image_id, unnest(px) as x from variants where image_id % 16 = 0) group by 1, 2")
+add("a33_histogram", lambda v: I.histogram(v.variants, "px", -4.0, 4.0), "select image_id, least(255, greatest(0, floor((x + 4) / 8 * 256)))::int as bin, count(*) as n from (select image_id, unnest(px) as x from variants) group by 1, 2")
 
 # windows, sets, scalars
 add("w03_names", lambda v: v.images.select("id", B.name_follows(F.col("source_path"), F.concat(F.lit("/z/IMG_"), F.lpad((F.col("id") - F.col("id") % 9).cast("string"), 6, "0"), F.lit(".jpg"))).alias("follows")), "select id, id % 9 <= 5 as follows from images")
@@ -65,7 +66,8 @@ add("w12_config", lambda v: S.latest(v.jobs.select(F.concat(F.lit("job_timing_")
 _METHODS = lambda c, k: F.filter(F.array(F.lit("ahash"), F.lit("dhash"), F.lit("whash")), lambda m, i: (c + i) % k != 0)
 add("u03_common_methods", lambda v: v.images.select("id", F.array_join(F.array_intersect(_METHODS(F.col("id"), 3), _METHODS(F.col("id"), 2)), ",").alias("m")), "select id, array_to_string(list_filter(['ahash', 'dhash', 'whash'], lambda m, i: (id + i - 1) % 3 <> 0 and (id + i - 1) % 2 <> 0), ',') as m from images")
 add("u05_new_hashes", lambda v: v.hashes.where("image_id % 3 = 0").select("image_id").join(v.hashes.where("image_id % 4 = 0").select("image_id"), "image_id", "left_anti"), "select image_id from hashes where image_id % 3 = 0 and image_id % 4 <> 0")
-add("u06_merge", lambda v: D.merge_groups(v.members.unionByName(v.members.select((F.col("group_id") + 1_000_000).alias("group_id"), "image_id", "similarity_score"))).select("image_id", "component"), "select image_id, min(image_id) over (partition by group_id) as component from members")
+_OVERLAP = lambda v: v.images.where("id % 100 < 37").select(F.floor(F.col("id") / 10).alias("group_id"), F.col("id").alias("image_id")).unionByName(v.images.where("id % 100 < 37").select((F.floor((F.col("id") + 5) / 10) + 1_000_000_000).alias("group_id"), F.col("id").alias("image_id")))
+add("u06_merge", lambda v: D.merge_groups(_OVERLAP(v)).select("image_id", "component"), "select id as image_id, min(id) over (partition by id // 100) as component from images where id % 100 < 37")
 add("x01_hamming", lambda v: v.images.where(F.length("dhash") == 16).select("id", hashing.hamming(hashing.from_hex(F.col("dhash")), hashing.from_hex(F.col("whash"))).alias("d")), "select id, bit_count(xor(('0x' || dhash)::ubigint, ('0x' || whash)::ubigint))::int as d from images where length(dhash) = 16")
 add("x04_script_hamming", lambda v: v.images.select("id", F.coalesce(hashing.hamming(hashing.from_hex(F.nullif("dhash", F.lit(""))), hashing.from_hex(F.col("ahash"))), F.lit(999)).alias("d")), "select id, coalesce(case when length(dhash) = 16 then bit_count(xor(('0x' || dhash)::ubigint, ('0x' || ahash)::ubigint)) end, 999)::int as d from images")
 add("x06_similar", lambda v: v.pairs.select("image_1", "image_2", (F.col("a_distance") <= 3).alias("s")), "select image_1, image_2, a_distance <= 3 as s from pairs")
@@ -94,7 +96,7 @@ add("x20_weights", lambda v: v.images.select("id", F.round(quality.completeness(
 add("d02_segment_components", lambda v: D.components(v.pairs.where("a_distance <= 2")), "with recursive e as (select image_1 as u, image_2 as v from pairs where a_distance <= 2 union select image_2, image_1 from pairs where a_distance <= 2), r as (select u, v from e union select r.u, e.v from r join e on r.v = e.u) select u as node, least(u, min(v)) as component from r group by u")
 add("d09_persist", lambda v: v.members.join(D.primaries(v.members, v.images).select("group_id", F.col("image_id").alias("primary_image_id")), "group_id").select("group_id", "image_id", (F.col("image_id") == F.col("primary_image_id")).alias("is_primary")), "with p as (select group_id, image_id as p from members join images on image_id = id qualify row_number() over (partition by group_id order by quality_score desc nulls last, image_id) = 1) select group_id, image_id, image_id = p as is_primary from members join p using (group_id)")
 add("d12_scored", lambda v: D.primaries(v.members, v.images).select("group_id", "image_id").join(D.date_conflicts(v.members, v.images), "group_id"), "with p as (select group_id, image_id from members join images on image_id = id qualify row_number() over (partition by group_id order by quality_score desc nulls last, image_id) = 1) select group_id, image_id, (select count(distinct selected_date::date) > 1 from members m join images on m.image_id = id where m.group_id = p.group_id) as needs_review from p")
-add("d14_compared", lambda v: v.hashes.where("image_id < 40").select("image_id").join(v.pairs.where("image_1 = 0").select(F.col("image_2").alias("image_id"), F.lit(True).alias("hit")), "image_id", "left").select("image_id", F.coalesce("hit", F.lit(False)).alias("compared")), "select image_id, image_id in (select image_2 from pairs where image_1 = 0) as compared from hashes where image_id < 40")
+add("d14_compared", lambda v: v.hashes.select("image_id").join(v.pairs.select(F.explode(F.array("image_1", "image_2")).alias("image_id")).distinct().withColumn("hit", F.lit(True)), "image_id", "left").select("image_id", F.coalesce("hit", F.lit(False)).alias("compared")), "select image_id, image_id in (select image_1 from pairs union select image_2 from pairs) as compared from hashes")
 add("d15_job", lambda v: D.components(D.consensus(D.similar_pairs(v.hashes, 5))).groupBy("component").agg(F.count("*").alias("n")), "with recursive e as (select image_1 as u, image_2 as v from pairs where a_distance <= 5 and d_distance <= 5 union select image_2, image_1 from pairs where a_distance <= 5 and d_distance <= 5), r as (select u, v from e union select r.u, e.v from r join e on r.v = e.u), c as (select u, least(u, min(v)) as component from r group by u) select component, count(*) as n from c group by 1")
 add("d16_serial", lambda v: D.exact_groups(v.images).agg(F.count("*").alias("exact")).join(D.similar_pairs(v.hashes, 3, "all").agg(F.count("*").alias("similar"))), "select (select count(*) from groups) as exact, (select count(*) from pairs where a_distance <= 3 and d_distance <= 3) as similar")
 add("b04_set_best", lambda v: v.bursts.select("burst_id", F.when(F.col("burst_id") == 20, 25).otherwise(F.col("best_image_id")).alias("best"), F.when(F.col("burst_id") == 20, "manual").otherwise("quality").alias("method")), "select burst_id, case when burst_id = 20 then 25 else best_image_id end as best, case when burst_id = 20 then 'manual' else 'quality' end as method from bursts")
@@ -102,10 +104,39 @@ add("b05_job", lambda v: B.detect(v.shots.where("confidence >= 70"), 43200, chec
 add("v06_index", lambda v: v.hashes.select("image_id").join(v.hashes.where("vec_id % 5 = 0").select("image_id"), "image_id", "left_anti").agg(F.count("*").alias("valid")), "select count(*) as valid from hashes where vec_id % 5 <> 0")
 add("t04_parse", lambda v: v.images.select("id", F.explode(F.from_json(F.regexp_replace(F.concat(F.lit('```json\n{"cat": 0.'), (F.col("id") % 10).cast("string"), F.lit(', "dog": 0.9}\n```')), r"```(json)?", ""), "map<string,double>")).alias("tag", "c")).where("c >= 0.5 and tag in ('cat', 'bird')").select("id", "tag"), "select id, 'cat' as tag from images where id % 10 >= 5")
 add("t11_resume", lambda v: v.images.where("file_type = 'image' and id > 100").join(v.image_tags, F.col("id") == F.col("image_id"), "left_anti").select("id"), "select id from images where file_type = 'image' and id > 100 and id not in (select image_id from image_tags)")
-add("r03_conflicts", lambda v: R.plan(v.images, "/o", "FLAT", "checksum").where("action = 'copy'").groupBy("target").agg(F.count("*").alias("n")).where("n > 1"), "select '' as target, 0::bigint as n where false")
+add("r03_conflicts", lambda v: R.plan(v.images.withColumn("source_path", F.expr("'/a/' || cast(id % 3 as string) || '/IMG_' || cast(id % 40 as string) || '.jpg'")), "/o", "FLAT", "original").where("action = 'copy'").select("id", "target"), "with t as (select id, case when selected_date is not null then case when status_id = 'rejected' then '/o/_rejected' else '/o' end end as d, 'IMG_' || (id % 40)::varchar as stem from images), r as (select *, row_number() over (partition by d, stem order by id) - 1 as n from t) select id, d || '/' || stem || case when n = 0 then '' else '_' || lpad(n::varchar, 3, '0') end || '.jpg' as target from r where d is not null")
 add("r05_counters", lambda v: R.plan(v.images, "/photos/src1", "YYYY/MM").groupBy("action").agg(F.count("*").alias("n")), "select case when selected_date is null then 'no_date' when starts_with(source_path, '/photos/src1/') then 'skip' else 'copy' end as action, count(*) as n from images group by 1")
 add("m02_claim", lambda v: J.claimed(v.batches, "w1").groupBy("status").agg(F.count("*").alias("n"), F.count("worker_id").alias("claimed")), "select case when take then 'RUNNING' else status end as status, count(*) as n, count(*) filter (where take) as claimed from (select status, status = 'PENDING' and row_number() over (partition by parent_job_id, status order by batch_number) = 1 as take from batches) group by 1")
 add("m03_cancelled", lambda v: J.cancelled(v.batches, v.jobs), "select parent_job_id, batch_number from batches where status = 'CANCELLED'")
 add("m04_latest_progress", lambda v: S.latest(v.batches.select("parent_job_id", "batch_number", "processed_count"), ["parent_job_id"], ["batch_number"]).select("parent_job_id", "processed_count"), "select parent_job_id, processed_count from batches qualify row_number() over (partition by parent_job_id order by batch_number desc) = 1")
 add("m08_recovery", lambda v: J.recovery(v.batches, _AT(), 60), "select parent_job_id, case when count(*) filter (where status in ('PENDING', 'RUNNING')) = 0 then 'finalize' when count(*) filter (where status = 'PENDING' or status = 'RUNNING' and started_at < timestamp '1995-06-17' - interval 60 minute) > 0 then 'dispatch' else 'wait' end as action from batches group by 1")
 add("m09_requeue", lambda v: J.requeue(v.batches, 2), "select parent_job_id, count(*) as failures from batches where status = 'FAILED' group by 1 having count(*) >= 2")
+
+# stored logs and indexes, schemas, processors
+_LOG = lambda v: v.batches.select(F.col("parent_job_id").cast("string").alias("transaction_id"), F.col("batch_number").cast("long").alias("position"), F.lit("/a").alias("source"), F.concat(F.lit("/b/"), F.col("batch_number").cast("string")).alias("target"), F.lower("status").alias("status"))
+
+
+def _saved(v, df, save, load):
+    path = S.shared_path(v.spark, "saved")
+    save(df, path)
+    return load(v.spark, path)
+
+
+add("s25_transaction_log", lambda v: _saved(v, _LOG(v), S.save_log, S.load_log), "select parent_job_id::varchar as transaction_id, case when bool_and(status = 'COMPLETED') over w then 'completed' when bool_or(status = 'FAILED') over w then 'failed' else 'pending' end as transaction_status, batch_number::bigint as position, '/a' as source, '/b/' || batch_number::varchar as target, lower(status) as status from batches window w as (partition by parent_job_id)")
+add("s24_saved_index", lambda v: _saved(v, v.hashes.select("image_id", hashing.to_hex(F.col("ahash")).alias("ahash"), hashing.to_hex(F.col("dhash")).alias("dhash")), S.save_index, S.load_index), "select image_id, lpad(lower(to_hex(ahash)), 16, '0') as ahash, lpad(lower(to_hex(dhash)), 16, '0') as dhash from hashes")
+
+
+def _passed(v):
+    v.table("nation").createOrReplaceTempView("passed_nation")
+    return S.run_sql(v.spark, "select n_nationkey, n_name from passed_nation where n_regionkey = ? and n_name like ?", 1, "%A%")
+
+
+add("s18_passthrough", _passed, "select n_nationkey, n_name from nation where n_regionkey = 1 and n_name like '%A%'")
+
+
+@J.processor("count_types")
+def _count_types(images):
+    return images.groupBy("file_type").agg(F.count("*").alias("n"))
+
+
+add("m07_processor", lambda v: J.run_job("count_types", v.images), "select file_type, count(*) as n from images group by 1")

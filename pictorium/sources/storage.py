@@ -18,14 +18,21 @@ _LOCAL: dict[str, str] = {}
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written as a table below ``spark.checkpoint.dir`` and read back, which cuts its lineage.
 
-    A folder of its own is made only where the session names none. Unlike ``checkpoint()`` this
-    computes the plan once.
+    Unlike ``checkpoint()`` this computes the plan once.
     """
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="pictorium-"))
-    path = f"{base.rstrip('/')}/pictorium/round-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, "round")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below ``spark.checkpoint.dir``; in local mode, where none is set, in a folder of its own."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="pictorium-"))
+    return f"{base.rstrip('/')}/pictorium/{name}-{uuid.uuid4().hex}"
 
 
 def discover(paths: DataFrame) -> DataFrame:
@@ -112,6 +119,24 @@ def exported(df: DataFrame, path: str, form: str) -> None:
     w.json(path) if form == "json" else w.option("header", True).csv(path)
 
 
+def save_log(operations: DataFrame, path: str) -> None:
+    """A transaction log as JSON lines: one for each transaction, its operations in order of ``position``.
+
+    ``operations``: ``transaction_id, position, source, target, status``. A transaction is
+    ``completed`` if all its operations are, ``failed`` if any failed, else ``pending``.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("position", "source", "target", "status"))).alias("operations")
+    state = F.when(F.bool_and(F.col("status") == "completed"), "completed").when(F.bool_or(F.col("status") == "failed"), "failed").otherwise("pending")
+    operations.groupBy("transaction_id").agg(state.alias("status"), rows).write.mode("overwrite").json(path)
+
+
+def load_log(spark: SparkSession, path: str) -> DataFrame:
+    """``transaction_id, transaction_status, position, source, target, status`` of a saved log."""
+    ddl = "transaction_id string, status string, operations array<struct<position: long, source: string, target: string, status: string>>"
+    log = spark.read.schema(ddl).json(path)
+    return log.select("transaction_id", F.col("status").alias("transaction_status"), F.explode("operations").alias("o")).select("transaction_id", "transaction_status", "o.*")
+
+
 def create_schema(spark: SparkSession, database: str, tables: dict[str, str]) -> None:
     """Parquet tables by name and DDL, where they are absent."""
     spark.sql(f"create database if not exists {database}")

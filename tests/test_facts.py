@@ -1,9 +1,14 @@
 """Facts that hold for single operators: grouping, bursts, dates, scores."""
 
+import hashlib
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from pictorium.functions import dates, quality, text
-from pictorium.operators import bursts, duplicates
+from pictorium.operators import bursts, duplicates, jobs, tags, vectors
+from pictorium.sources import storage
 
 
 def pairs(spark, *edges):
@@ -64,7 +69,9 @@ def test_dates_from_names_and_folders(spark):
     d = spark.createDataFrame([("/x/IMG_2023-01-15.jpg",), ("/x/photo_2023-06-20_120000.jpg",), ("/x/20221225_family.jpg",), ("/x/01-02-2021.jpg",), ("/2023-13/a.jpg",), ("/2023-07/b.jpg",)], "p string")
     r = d.select(dates.name_date(F.col("p")).cast("string").alias("n"), dates.directory_date(F.col("p")).alias("d")).collect()
     assert [x["n"] for x in r] == ["2023-01-15 00:00:00", "2023-06-20 12:00:00", "2022-12-25 00:00:00", "2021-01-02 00:00:00", None, None]
-    assert [x["d"] for x in r][4:] == ["2023", "2023-07"]
+    assert [x["d"] for x in r] == ["2023-01", "2023-06", "2022", "2021", "2023", "2023-07"]
+    d = spark.createDataFrame([("/p/Trip 2023-06/a.jpg",), ("/Summer2019/b.jpg",), ("/2023-13/1234/x.jpg",), ("/a/1850-02/b.jpg",)], "p string")
+    assert [x["d"] for x in d.select(dates.directory_date(F.col("p")).alias("d")).collect()] == ["2023-06", "2019", "2023", None]
 
 
 def test_best_date(spark):
@@ -83,3 +90,95 @@ def test_texts(spark):
     d = spark.createDataFrame([(b"\xff\xd8\xff\xe0aaaa", "file is truncated"), (b"abc", "broken data stream"), (None, "x")], "c binary, m string")
     r = d.select(text.magic_kind(F.col("c")).alias("k"), text.corruption_severity(F.col("m")).alias("s")).collect()
     assert [tuple(x) for x in r] == [("jpeg", "minor"), (None, "moderate"), (None, "severe")]
+
+
+def test_constrained_groups_by_brute_force(spark):
+    rng = random.Random(6)
+    edges = sorted({tuple(sorted(rng.sample(range(40), 2))): rng.randrange(7) for _ in range(150)}.items())
+    near = {n: {} for n in range(40)}
+    for (a, b), d in edges:
+        near[a][b] = near[b][a] = d
+    left, want = set(range(40)), []
+    while left:
+        seed = min(left, key=lambda n: (-len(left & set(near[n])), n))
+        left.discard(seed)
+        group = [seed]
+        for d, n in sorted((d, n) for n, d in near[seed].items() if n in left and d <= 3):
+            if len(group) < 20 and all(near[n].get(m, 999) <= 8 for m in group):
+                group.append(n)
+                left.discard(n)
+        want += [sorted(group)] * (len(group) > 1)
+    assert groups(duplicates.grouped(pairs(spark, *((a, b, d) for (a, b), d in edges)))) == sorted(want)
+
+
+def test_stars_absorb_in_order(spark):
+    assert groups(duplicates.grouped(pairs(spark, (1, 2, 1), (2, 3, 1), (3, 4, 1), (5, 6, 1)), "star")) == [[1, 2], [3, 4], [5, 6]]
+
+
+def test_similar_pairs_by_brute_force(spark):
+    rng = random.Random(9)
+    base = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(12)]
+    rows = [(i, *(None if rng.random() < 0.05 else x ^ (sum(1 << rng.randrange(63) for _ in range(rng.randrange(6)))) for x in rng.choice(base))) for i in range(150)]
+    rows += [(200 + i, *rows[i % 7][1:]) for i in range(30)]
+    bits = lambda x, y: None if x is None or y is None else bin((x ^ y) & (1 << 64) - 1).count("1")
+    every = [(i, j, bits(a, c), bits(b, d)) for n, (i, a, b) in enumerate(rows) for j, c, d in rows[n + 1 :]]
+    low = lambda x: x is not None and x <= 5
+    h = spark.createDataFrame(rows, "image_id long, ahash long, dhash long")
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, duplicates.similar_pairs(h, 5).collect()), key=key) == sorted((r for r in every if low(r[2]) or low(r[3])), key=key)
+    assert sorted(map(tuple, duplicates.similar_pairs(h, 5, "all").collect()), key=key) == sorted((r for r in every if low(r[2]) and low(r[3])), key=key)
+
+
+def test_moving_average_and_slices(spark):
+    rng = random.Random(2)
+    rows = [(k, t, rng.random()) for k in "ab" for t in range(500)]
+    want = {}
+    for k, _, v in rows:
+        want[k] = v if k not in want else want[k] * 0.7 + v * 0.3
+    got = jobs.smoothed_timing(spark.createDataFrame(rows, "k string, t long, v double").repartition(7), ["k"], "t", "v").collect()
+    assert {r["k"]: round(r["ema"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
+    batches = jobs.sliced(spark.range(1003).select((F.col("id") * 7 % 1003).alias("x")).repartition(5), "x", 100).collect()
+    assert all(r["batch"] == r["x"] // 100 for r in batches) and len(batches) == 1003
+
+
+def test_taxonomy_sync_inserts_once(spark):
+    rows = [(f"root{i}", "c", None) for i in range(5)] + [(f"leaf{i}", "c", f"root{i % 5}") for i in range(35)]
+    taxonomy = spark.createDataFrame(rows, "name string, category string, parent string")
+    first = tags.sync_taxonomy(spark.createDataFrame([(3, "leaf0", "c"), (4, "own", "c")], "tag_id long, name string, category string"), taxonomy).cache()
+    assert first.where("inserted").count() == 39 and first.where("name = 'leaf0' and tag_id = 3 and parent_id is not null").count() == 1
+    again = tags.sync_taxonomy(first.select("tag_id", "name", "category"), taxonomy)
+    assert again.where("inserted").count() == 0 and sorted(map(tuple, again.drop("inserted").collect()), key=str) == sorted(map(tuple, first.drop("inserted").collect()), key=str)
+
+
+def test_list_index_finds_most_with_few_probes(spark):
+    rng = random.Random(1)
+    mids = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(20)]
+    v = spark.createDataFrame([(i, [x + rng.gauss(0, 0.2) for x in mids[i % 20]]) for i in range(600)], "vec_id long, embedding array<double>").cache()
+    centers = vectors.list_centers(v, 10)
+    index = vectors.in_lists(v, centers)
+    q = v.where("vec_id < 20")
+    found = [{(r["query"], r["vec_id"]) for r in vectors.list_search(index, q, centers, p, 5).collect()} for p in (2, 10)]
+    assert len(found[1]) == 100 and len(found[0] & found[1]) >= 90
+
+
+def test_files_schemas_and_exports(spark, tmp_path):
+    (tmp_path / "in/b").mkdir(parents=True)
+    for name in ("a.jpg", "b/c.CR2", "b/n.txt"):
+        (tmp_path / "in" / name).write_bytes(name.encode())
+    found = {r["path"].rsplit("/", 1)[1]: (r["file_type"], r["checksum"]) for r in storage.media_files(spark, str(tmp_path / "in")).collect()}
+    assert found == {n: ("image", hashlib.sha256(c).hexdigest()) for n, c in (("a.jpg", b"a.jpg"), ("c.CR2", b"b/c.CR2"))}
+    assert storage.media_files(spark, str(tmp_path / "in"), False).count() == 1
+    df = spark.createDataFrame([(1, "x"), (2, None)], "id long, s string")
+    storage.exported(df, str(tmp_path / "j"), "json")
+    storage.exported(df, str(tmp_path / "c"), "csv")
+    assert sorted(map(tuple, spark.read.schema(df.schema).json(str(tmp_path / "j")).collect())) == [(1, "x"), (2, None)]
+    assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 2
+    spark.sql(f"create database if not exists facts location '{tmp_path / 'db'}'")
+    try:
+        for _ in range(2):
+            storage.create_schema(spark, "facts", {"statuses": "id string, name string"})
+        assert spark.table("facts.statuses").columns == ["id", "name"]
+    finally:
+        spark.sql("drop database if exists facts cascade")
+    with pytest.raises(ValueError):
+        jobs.run_job("none such", df)
