@@ -384,8 +384,19 @@ def test_token_counts(docs, odd):
     assert token_counts.redacted_counts(odd.limit(0), path).count() == 0
 
 
-def test_packing(docs, odd):
-    rows = packing.pack_documents(docs, tokenizer_file()).collect()
+def pieces_of(rows, end_id=1, capacity=4096):
+    """``doc_id, piece, start, length, ids_crc32`` by the library on whole texts."""
+    c, out = WordCodec(tokenizer_file()), []
+    for d, text in rows:
+        ids = c.whole(text) + end_id.to_bytes(4, "little")
+        for k, s in enumerate(range(0, len(ids), 4 * capacity)):
+            own = ids[s : s + 4 * capacity]
+            out.append((d, k, s // 4, len(own) // 4, zlib.crc32(own)))
+    return sorted(out, key=str)
+
+
+def sequences_of(rows, capacity=4096):
+    """How many sequences there are; each must be gapless from 0 and within the capacity."""
     by = {}
     for r in rows:
         by.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
@@ -394,11 +405,18 @@ def test_packing(docs, odd):
         for o, n in sorted(items):
             assert o == at
             at += n
-        assert at <= 4096
-    c = WordCodec(tokenizer_file())
-    total = sum(len(c.whole(r["text"])) // 4 + 1 for r in docs.collect())
-    assert sum(r["length"] for r in rows) == total and len(by) <= -(-total // 4096) + 2
-    assert packing.pack_documents(odd, tokenizer_file()).where("piece = 0").count() == len(ODD)
+        assert at <= capacity
+    return len(by)
+
+
+@pytest.mark.parametrize("bucket", [200_000, 3])
+def test_packing(docs, odd, bucket, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_A_BUCKET", bucket)
+    for df in (docs, odd.unionByName(odd)):
+        rows = packing.pack_documents(df, tokenizer_file()).collect()
+        want = pieces_of([(r["doc_id"], r["text"]) for r in df.collect()])
+        assert sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows), key=str) == want
+        assert sequences_of(rows) <= -(-sum(r["length"] for r in rows) // 4096) + 2
     assert packing.pack_documents(odd.limit(0), tokenizer_file()).count() == 0
 
 
@@ -475,15 +493,3 @@ def test_chat(spark):
     assert r[1]["loss_sha256"] == hashlib.sha256(b"b \\ ### c </turn> ####").hexdigest()
     assert r[None]["turns_sha256"] == hashlib.sha256(b"odd:role\n\nx\n").hexdigest()
     assert chat.read_back(chat.format_chat(c.limit(0))).count() == 0
-
-
-def test_pipeline(spark, odd):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SF)
-        assert out.columns == docs.columns, name
-        docs = out.cache()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
-    assert packed.where("piece = 0").count() == docs.count() > 0
