@@ -105,6 +105,11 @@ BROADCAST_ROWS = 50_000
 SALTS = 64
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """``keys``, a narrow table, to be broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def lookup_join(rows: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
     """Inner join of ``rows`` with a durable table that has one row for each key, safe for hot keys.
 

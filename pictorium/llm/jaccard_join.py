@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, connected_components, durable
+from .common import connected_components, durable, small
 from .shingles import mix, shingle_sets
 
 SLOTS_A_DOCUMENT = 64
@@ -264,8 +264,8 @@ def boxes(classes: DataFrame) -> DataFrame:
     # folded in each task first, so that a group which holds a third of the classes is a few rows
     both = members.mapInArrow(fold, ddl).repartition("n", "p").sortWithinPartitions("n", "p").mapInArrow(fold, ddl)
     both = both.select("n", "p", F.struct("low", "high").alias("box"))
-    wide = plain.join(both, ["n", "p"], "left")
-    return durable(wide.select("n", "p", "gid", "prefix", F.coalesce("box.low", "low").alias("low"), F.coalesce("box.high", "high").alias("high")), "boxes")
+    wide = plain.where("low <> high").drop("low", "high").join(both, ["n", "p"]).select("n", "p", "gid", "prefix", "box.low", "box.high")
+    return plain.where("low = high").unionByName(durable(wide, "boxes"))
 
 
 def _keyed(batches, cols: list[str], keys: int):
@@ -293,8 +293,8 @@ def _pairs_batch(pairs):
 def tied(groups: DataFrame, num: int, den: int) -> DataFrame:
     """Ties ``u, v`` between groups (``gid, n, prefix, low, high``) that share a prefix shingle and pass the filters."""
     postings = groups.select("gid", F.explode("prefix").alias("shingle"))
-    shared = postings.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1")
-    met = postings.join(shared, "shingle").join(groups.select("gid", "n", "low", "high"), "gid")
+    shared = durable(postings.groupBy("shingle").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    met = lambda some: postings.join(some, "shingle").join(groups.select("gid", "n", "low", "high"), "gid")
     cols = ["gid", "n", "low", "high"]
 
     def run(batches):
@@ -317,11 +317,11 @@ def tied(groups: DataFrame, num: int, den: int) -> DataFrame:
         keys = ["shingle", "i", "j"]
         return dealt.select(*keys, "label", *cols).repartition(*keys).sortWithinPartitions(*keys, "gid").mapInArrow(run, "u long, v long")
 
-    found = durable(ties(once(met, F.ceil(F.col("m") / MEETING), "gid")), "ties")
+    found = durable(ties(once(met(shared), F.ceil(F.col("m") / MEETING), "gid")), "ties")
     large = shared.where(F.col("m") > MEETING)
     if large.isEmpty():
         return found
-    rows = durable(met.where(F.col("m") > MEETING).select("shingle", *cols), "met")
+    rows = durable(met(large).select("shingle", *cols), "met")
     return found.unionByName(ties(across(rows, "shingle", "gid", durable(connected_components(found), "tied"), F.lit(MEETING), cols)))
 
 
@@ -342,7 +342,7 @@ def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -
 
         r = rows.withColumnsRenamed({c: f"rep_{c}" for c in ("doc_id", "t1", "t2")})
         same = (docs["t1"] == r["rep_t1"]) & (docs["t2"] == r["rep_t2"]) & docs["doc_id"].eqNullSafe(r["rep_doc_id"])
-        return docs.join(r, same).select("text", "cid", "comp", "blocks", "most").mapInArrow(sets, "cid long, comp long, blocks int, most long, hashes binary")
+        return docs.join(small(r), same).select("text", "cid", "comp", "blocks", "most").mapInArrow(sets, "cid long, comp long, blocks int, most long, hashes binary")
 
     def run(batches):
         for _, (label, cids, hashes) in _keyed(batches, ["comp", "i", "j", "label", "cid", "hashes"], 3):
@@ -354,11 +354,11 @@ def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -
         keys = ["comp", "i", "j"]
         return dealt.select(*keys, "label", "cid", "hashes").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
 
-    found = durable(links(once(with_sets(cand), F.col("blocks"), "cid")), "links")
-    large = cand.where("blocks > 1")
-    if large.isEmpty():
+    every = durable(with_sets(cand), "sets")
+    found = durable(links(once(every, F.col("blocks"), "cid")), "links")
+    sets = every.where("blocks > 1")
+    if sets.isEmpty():
         return found.select(F.col("u").alias("node"), F.col("v").alias("component"))  # each set was one task's, so its edges are whole components
-    sets = durable(with_sets(large), "sets")
     found = found.unionByName(durable(links(once(sets, F.col("blocks"), "cid", salt=1)), "links"))  # dealt anew, to connect most of what other blocks hold
     labels = durable(connected_components(found), "labels")
     return connected_components(found.unionByName(links(across(sets, "comp", "cid", labels, F.min("most"), ["cid", "hashes"]))))
@@ -400,11 +400,12 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
     one = member.groupBy("comp").agg(chosen.alias("one")).select(F.col("one.doc_id").alias("one_id"), F.col("one.t1").alias("one_t1"), F.col("one.t2").alias("one_t2"))
     same = lambda r: r["doc_id"].eqNullSafe(F.col("one_id")) & (r["t1"] == F.col("one_t1")) & (r["t2"] == F.col("one_t2"))
-    times = durable(rows.join(one, same(rows)).groupBy("one_id", "one_t1", "one_t2").agg(F.count("*").alias("times")), "chosen")
+    marked = member.join(one, same(member), "left")
+    dropped = durable(marked.where("one_t1 is null").select(F.col("doc_id").alias("one_id"), F.col("t1").alias("one_t1"), F.col("t2").alias("one_t2")).distinct(), "dropped")
+    more = durable(marked.where("one_t1 is not null").groupBy("one_id", "one_t1", "one_t2").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "repeated")
     text = F.col("text").cast("string")
     all_ = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
-    kept_ = all_.join(times.where("times = 1"), same(all_), "left_semi").select("row.*")
-    more = times.where("times > 1")
-    if not more.isEmpty():
-        kept_ = kept_.unionByName(all_.join(more, same(all_), "left_semi").dropDuplicates(["doc_id", "t1", "t2"]).select("row.*"))
-    return kept_.unionByName(docs.where(~F.coalesce(text.rlike(WORD), F.lit(False))))
+    if more.isEmpty():
+        return all_.join(small(dropped), same(all_), "left_anti").select("row.*")
+    once_ = all_.join(small(more), same(all_), "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return all_.join(small(dropped.unionByName(more)), same(all_), "left_anti").unionByName(once_).select("row.*")
