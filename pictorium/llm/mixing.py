@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, durable, lookup_join
+from .common import WORD, durable, lookup_join, small
 
 DOCS_A_BLOCK = 50_000
 LEAST_BLOCKS = 512
@@ -48,13 +48,18 @@ def word_count(text: str | Column) -> Column:
 
 def sized_rows(docs: DataFrame, seed: int) -> DataFrame:
     """``row, doc_id, source, skey, size, h`` of every row, written to the shared folder."""
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        word_count(F.col("text").cast("string")).alias("size"),
-        F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")).alias("h"),
-    )
-    return durable(rows.withColumn("skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("~"))).withColumn("row", F.monotonically_increasing_id()), "sized")
+    rows = docs.select(*_identity(seed), word_count(F.col("text").cast("string")).alias("size"))
+    return durable(rows.withColumn("skey", _source_key()).withColumn("row", F.monotonically_increasing_id()), "sized")
+
+
+def _identity(seed: int) -> list[Column]:
+    """``doc_id, source, h``; rows that agree in these and the text are alike."""
+    doc = F.col("doc_id").cast("long")
+    return [doc.alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(F.lit(seed), doc, F.xxhash64("text")).alias("h")]
+
+
+def _source_key() -> Column:
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit("~"))
 
 
 def targets(sized: DataFrame, most: float = 3.0) -> DataFrame:
@@ -233,13 +238,23 @@ def taken_words(docs: DataFrame, shards: int | None = None, seed: int = 17, most
 
 
 def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = 17, most: float = 3.0) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it, all columns kept, by shard and in each shard's order."""
-    skey = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("~"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64("text")).alias("h"), skey.alias("s"))
-    same = W.partitionBy("doc", "h", "s")
-    rows = rows.withColumn("nth", F.row_number().over(same.orderBy(F.lit(0))))
-    d = decide(docs, shards, seed, most).select(F.col("doc_id").alias("d_doc"), F.col("h").alias("d_h"), F.coalesce(F.concat(F.lit("="), "source"), F.lit("~")).alias("d_s"), "row", "draws").withColumnRenamed("row", "d_row")
-    d = d.withColumn("d_nth", F.row_number().over(W.partitionBy("d_doc", "d_h", "d_s").orderBy("d_row")))
-    met = rows.join(d, F.col("doc").eqNullSafe(F.col("d_doc")) & (F.col("h") == F.col("d_h")) & (F.col("s") == F.col("d_s")) & (F.col("nth") == F.col("d_nth")))
-    drawn = met.where(F.size("draws") > 0).select("row", "h", F.explode("draws").alias("d")).select("row", "h", "d.epoch", "d.shard")
+    """The rows of ``docs``, each as often as the mix takes it, all columns kept, by shard and in each shard's order.
+
+    Texts are shuffled once, to their shards: a row's draws are its block's, and only of blocks that
+    are drawn in part must single rows be known.
+    """
+    sized = sized_rows(docs, seed)
+    per_block, taken, n_blocks = plan(sized, shards, seed, most)
+    per_block = durable(per_block.where(F.size("draws") > 0).select("skey", "block", "draws"), "per_block")
+    key = ["doc_id", "h", "skey"]
+    chosen = taken.select("row").join(sized.select("row", *key), "row").groupBy(*key).agg(F.count("*").alias("times"))
+    chosen = durable(chosen.select(*[F.col(c).alias(f"taken_{c}") for c in key], "times"), "chosen")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *_identity(seed)).withColumn("skey", _source_key()).withColumn("block", _block(n_blocks).alias("block"))
+    met = lookup_join(rows, per_block, ["skey", "block"], "h")
+    whole = met.withColumn("draws", F.filter("draws", lambda d: ~d["part"]))
+    same = F.col("doc_id").eqNullSafe(F.col("taken_doc_id")) & (F.col("h") == F.col("taken_h")) & (F.col("skey") == F.col("taken_skey"))
+    part = met.withColumn("draws", F.filter("draws", lambda d: d["part"])).where(F.size("draws") > 0).join(small(chosen), same)
+    nth = F.row_number().over(W.partitionBy(*key).orderBy(F.lit(0)))  # of rows that repeat, as many as were taken
+    part = part.withColumn("nth", nth).where("nth <= times").select(*whole.columns)
+    drawn = whole.unionByName(part).select("row", "h", F.explode("draws").alias("d")).select("row", "h", "d.epoch", "d.shard")
     return _in_shards(drawn.select("row", "shard", _shuffle_key(seed))).select("row.*")
