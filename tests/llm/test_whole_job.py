@@ -120,3 +120,16 @@ def test_mixing_fills_targets_past_a_long_document(spark):
     for seed in (3, 6):
         got = {r["source"]: r for r in mixing.taken_words(d, seed=seed).join(d, "doc_id").groupBy("source").agg(F.sum("taken").alias("t"), F.max("target").alias("goal")).collect()}
         assert 0 <= got["a"]["goal"] - got["a"]["t"] < 40 and got["b"]["goal"] == got["b"]["t"]
+
+
+def test_mixed_rows_that_repeat(spark):
+    """Whole rows that repeat are taken each by itself, also where a block is drawn in part."""
+    rows = [(i // 4, f"t{i // 4} " * (3 + i // 4 % 5), "a") for i in range(800)] + [(None, "x y", "b")] * 50 + [(1000 + i, "w " * 90, "b") for i in range(40)] + [(5, None, None)] * 3
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for seed in (1, 2):
+        want = {(r["doc_id"], r["size"]): r["t"] for r in mixing.taken_words(d, seed=seed).groupBy("doc_id", "size").agg(F.sum("taken").alias("t")).collect() if r["t"]}
+        got: dict = {}
+        for r in mixing.mixed_documents(d, seed=seed).collect():
+            n = len((r["text"] or "").split())
+            got[r["doc_id"], n] = got.get((r["doc_id"], n), 0) + n
+        assert {k: v for k, v in got.items() if v} == want
