@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Points by format, knots of the size score in MB by kind, weights of metadata fields.
-FORMAT_POINTS = {100: "CR2 CR3 NEF ARW DNG RAF ORF RW2 PEF SRW", 90: "TIFF TIF", 85: "PNG", 80: "HEIC HEIF", 70: "JPEG JPG", 60: "WEBP", 50: "BMP", 40: "GIF"}
+FORMAT_POINTS = {100: ("CR2", "CR3", "NEF", "ARW", "DNG", "RAF", "ORF", "RW2", "PEF", "SRW"), 90: ("TIFF", "TIF"), 85: ("PNG",), 80: ("HEIC", "HEIF"), 70: ("JPEG", "JPG"), 60: ("WEBP",), 50: ("BMP",), 40: ("GIF",)}
 RAW_KINDS = ("CR2", "CR3", "NEF", "ARW", "DNG")
 TIFF_KINDS = ("TIFF", "TIF")
 SIZE_KNOTS = {"raw": ((0, 0), (20, 80), (50, 100)), "tiff": ((0, 0), (10, 80), (30, 100)), "other": ((0, 0), (0.5, 40), (2, 70), (10, 100))}
@@ -16,7 +16,7 @@ METADATA_WEIGHTS = {"camera_make": 15, "camera_model": 15, "lens_model": 10, "fo
 def format_score(fmt: Column) -> Column:
     out = F.when(F.coalesce(fmt, F.lit("")) == "", 50)
     for points, kinds in FORMAT_POINTS.items():
-        out = out.when(F.upper(fmt).isin(*kinds.split()), points)
+        out = out.when(F.upper(fmt).isin(*kinds), points)
     return out.otherwise(50)
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: File extensions by kind, placeholders that stand for no value, characters that file names may not hold.
-IMAGE_EXTENSIONS = ".jpg .jpeg .png .gif .bmp .tiff .tif .webp .heic .heif .raw .cr2 .nef .arw .dng .orf .rw2 .pef .sr2 .raf".split()
-VIDEO_EXTENSIONS = ".mp4 .mov .avi .mkv .wmv .flv .webm .m4v .mpg .mpeg .3gp .mts .m2ts".split()
+IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".heic", ".heif", ".raw", ".cr2", ".nef", ".arw", ".dng", ".orf", ".rw2", ".pef", ".sr2", ".raf")
+VIDEO_EXTENSIONS = (".mp4", ".mov", ".avi", ".mkv", ".wmv", ".flv", ".webm", ".m4v", ".mpg", ".mpeg", ".3gp", ".mts", ".m2ts")
 PLACEHOLDERS = ("0", "65535", "255", "40", "Unknown", "unknown", "")
 BAD_NAME_CHARS = r'[<>:"/\\|?*]'
 MAGIC = {"FFD8FF": "jpeg", "89504E470D0A1A0A": "png", "47494638": "gif", "49492A00": "tiff", "4D4D002A": "tiff"}
