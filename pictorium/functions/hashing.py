@@ -74,3 +74,19 @@ def band_pairs(h: Column, threshold: int) -> Column:
     part = [F.shiftrightunsigned(h, 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long")) for lo, hi in zip(edges, edges[1:], strict=False)]
     pairs = combinations(range(n), 2)
     return F.array(*[F.struct(F.lit(k).alias("band"), F.shiftleft(part[i], edges[j + 1] - edges[j]).bitwiseOR(part[j]).alias("bits")) for k, (i, j) in enumerate(pairs)])
+
+
+#: Recommended thresholds in bits by method.
+THRESHOLDS = {"dhash": 5, "ahash": 6, "whash": 4}
+
+
+def recommended_threshold(method: Column) -> Column:
+    out = F.lit(5)
+    for name, bits in THRESHOLDS.items():
+        out = F.when(method == name, bits).otherwise(out)
+    return out
+
+
+def common_methods(a: Column, b: Column) -> Column:
+    """The hash methods that two images share, in the first one's order."""
+    return F.array_intersect(a, b)

@@ -63,3 +63,8 @@ def overall(fmt: Column, resolution: Column, size: Column, metadata: Column) ->
 
 def bands(score: Column) -> Column:
     return F.when(score >= 80, "excellent").when(score >= 60, "good").when(score >= 40, "fair").otherwise("poor")
+
+
+def compare(first: Column, second: Column) -> Column:
+    """-1 where the first score is better, 1 where the second is, 0 where they are equal."""
+    return F.signum(second - first).cast("int")

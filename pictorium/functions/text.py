@@ -71,3 +71,28 @@ def magic_kind(content: Column) -> Column:
     for prefix, kind in MAGIC.items():
         out = F.when(head.startswith(prefix), kind) if out is None else out.when(head.startswith(prefix), kind)
     return out
+
+
+def first_filled(*values: Column) -> Column:
+    """The first text that is neither null nor empty."""
+    return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
+
+
+#: Where videos tell their width, height and codec, by priority.
+WIDTH_FIELDS = ("ImageWidth", "SourceImageWidth", "VideoWidth", "ExifImageWidth")
+HEIGHT_FIELDS = ("ImageHeight", "SourceImageHeight", "VideoHeight", "ExifImageHeight")
+CODEC_FIELDS = ("CompressorName", "VideoCodecID", "VideoCodec", "CompressorID", "FileType")
+
+
+def video_size(exif: Column) -> Column:
+    """``width, height`` of a video's map of fields; null unless both are there and positive."""
+    number = lambda f: F.nullif(first_integer(F.try_element_at(exif, F.lit(f))), F.lit(0))
+    width, height = F.coalesce(*map(number, WIDTH_FIELDS)), F.coalesce(*map(number, HEIGHT_FIELDS))
+    return F.when((width > 0) & (height > 0), F.struct(width.alias("width"), height.alias("height")))
+
+
+def video_codec(exif: Column, path: Column) -> Column:
+    """The codec that a video's map of fields names, else its extension without the dot."""
+    named = [F.try_element_at(exif, F.lit(f)) for f in CODEC_FIELDS]
+    known = [F.when(~F.lower(c).isin("", "unknown", "none"), c) for c in named]
+    return F.coalesce(*known, F.substring(extension(path), 2, 20))

@@ -71,3 +71,65 @@ def merge_adjacent(bursts: DataFrame, gap: float) -> DataFrame:
 def apply_selection(images: DataFrame, burst_id, chosen: list) -> DataFrame:
     """Status of a burst's images after a choice: chosen ones active, others rejected."""
     return images.where(F.col("burst_id") == burst_id).select("id", F.when(F.col("id").isin(chosen), "active").otherwise("rejected").alias("status_id"))
+
+
+def with_previous(shots: DataFrame, keys: list[str]) -> DataFrame:
+    """Shots with ``before``, the image before it in time with the same ``keys``."""
+    return shots.withColumn("before", F.lag("image_id").over(W.partitionBy(*keys).orderBy("ts", "image_id")))
+
+
+def with_images(bursts: DataFrame, images: DataFrame) -> DataFrame:
+    """Bursts of which one of ``images`` is a member."""
+    return bursts.join(images, "burst_id", "left_semi")
+
+
+#: sort key: order of bursts; ties by id
+ORDERS = {"newest": lambda: F.desc_nulls_last("start_time"), "oldest": lambda: F.asc_nulls_last("start_time"), "largest": lambda: F.desc("image_count")}
+
+
+def listing(bursts: DataFrame, images: DataFrame, make: str | None = None, model: str | None = None, min_images: int | None = None) -> DataFrame:
+    """Bursts with an image that is not rejected, by camera and size where given."""
+    b = bursts
+    for column, value in (("camera_make", make), ("camera_model", model)):
+        b = b.where(F.col(column) == value) if value else b
+    b = b.where(F.col("image_count") >= min_images) if min_images else b
+    return with_images(b, images.where(F.coalesce("status_id", F.lit("")) != "rejected"))
+
+
+def page(bursts: DataFrame, sort: str = "newest", limit: int = 50, offset: int = 0) -> DataFrame:
+    order = ORDERS.get(sort, ORDERS["newest"])
+    return bursts.orderBy(order(), F.desc_nulls_last("start_time"), "burst_id").offset(offset).limit(limit)
+
+
+def of_burst(images: DataFrame, burst_id) -> DataFrame:
+    """A burst's images, best quality first, then in sequence."""
+    return images.where(F.col("burst_id") == burst_id).orderBy(F.desc_nulls_last("quality_score"), "burst_sequence", "id")
+
+
+def details(bursts: DataFrame, images: DataFrame) -> DataFrame:
+    """``burst_id, members``: id and whether it is the best, in sequence."""
+    m = images.join(bursts.select("burst_id", "best_image_id"), "burst_id")
+    row = F.struct("burst_sequence", "id", F.coalesce(F.col("id") == F.col("best_image_id"), F.lit(False)).alias("is_best"))
+    return m.groupBy("burst_id").agg(F.array_sort(F.collect_list(row)).alias("members"))
+
+
+def apply_all(images: DataFrame, bursts: DataFrame) -> DataFrame:
+    """Status of every image of the bursts that have a best one: that active, others rejected."""
+    m = images.join(bursts.where("best_image_id is not null").select("burst_id", "best_image_id"), "burst_id")
+    return m.select("id", "burst_id", F.when(F.col("id") == F.col("best_image_id"), "active").otherwise("rejected").alias("status_id"))
+
+
+def set_best(bursts: DataFrame, burst_id, image_id) -> DataFrame:
+    """Bursts after a choice by hand."""
+    this = F.col("burst_id") == burst_id
+    return bursts.withColumns({"best_image_id": F.when(this, image_id).otherwise(F.col("best_image_id")), "selection_method": F.when(this, "manual").otherwise(F.col("selection_method"))})
+
+
+def statistics(bursts: DataFrame) -> DataFrame:
+    """``bursts, images, mean, largest, cameras``; a burst whose make or model is null has no camera."""
+    return bursts.agg(F.count("*").alias("bursts"), F.coalesce(F.sum("image_count"), F.lit(0)).alias("images"), F.avg("image_count").alias("mean"), F.max("image_count").alias("largest"), F.count_distinct(F.concat("camera_make", F.lit(" "), "camera_model")).alias("cameras"))
+
+
+def summary(bursts: DataFrame) -> DataFrame:
+    """Mean size and duration, 0 without bursts."""
+    return bursts.agg(F.round(F.coalesce(F.avg("image_count"), F.lit(0)), 1).alias("size"), F.round(F.coalesce(F.avg("duration_seconds"), F.lit(0)), 2).alias("seconds"))

@@ -236,3 +236,129 @@ def merge_groups(members: DataFrame) -> DataFrame:
     return components(e).withColumnRenamed("node", "image_id")
 
 
+def group_listing(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Groups with ``member_count``; without members that is 0."""
+    n = members.groupBy("group_id").agg(F.count("*").alias("member_count"))
+    return groups.join(n, "group_id", "left").withColumn("member_count", F.coalesce("member_count", F.lit(0)))
+
+
+def largest_groups(listed: DataFrame, k: int) -> DataFrame:
+    return listed.orderBy(F.desc("member_count"), "group_id").limit(k)
+
+
+def filtered_groups(groups: DataFrame, reviewed: bool | None = None, similarity_type: str | None = None) -> DataFrame:
+    g = groups if reviewed is None else groups.where(F.col("reviewed") == reviewed)
+    return g.where(F.col("similarity_type") == similarity_type) if similarity_type else g
+
+
+def group_details(members: DataFrame, images: DataFrame) -> DataFrame:
+    """Members with the columns of their images."""
+    return members.join(images, members["image_id"] == images["id"])
+
+
+def redundant(groups: DataFrame, members: DataFrame, images: DataFrame) -> DataFrame:
+    """Every group's members, with ``size_bytes`` of those that are not its primary; groups without members stay."""
+    i = images.select(F.col("id").alias("_image"), "size_bytes")
+    m = groups.join(members, "group_id", "left")
+    return m.join(i, (F.col("image_id") == F.col("_image")) & (F.col("_image") != F.col("primary_image_id")), "left").drop("_image")
+
+
+def group_statistics(groups: DataFrame, members: DataFrame, images: DataFrame) -> DataFrame:
+    """``total, reviewed, savings``: groups, reviewed ones, bytes of what is not primary."""
+    reviewed = F.count_distinct(F.when(F.col("reviewed"), F.col("group_id"))).alias("reviewed")
+    return redundant(groups, members, images).agg(F.count_distinct("group_id").alias("total"), reviewed, F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("savings"))
+
+
+def group_overview(groups: DataFrame, members: DataFrame, images: DataFrame) -> DataFrame:
+    """``group_id, types, n, primary_path``: file types of the members, how many they are, the path of the primary."""
+    m = group_details(members, images).groupBy("group_id").agg(F.array_join(F.array_sort(F.collect_set("file_type")), ",").alias("types"), F.count("*").alias("n"))
+    path = images.select(F.col("id").alias("primary_image_id"), F.col("source_path").alias("primary_path"))
+    return groups.select("group_id", "primary_image_id").join(m, "group_id").join(path, "primary_image_id", "left").select("group_id", "types", "n", "primary_path")
+
+
+def detector_statistics(members: DataFrame) -> DataFrame:
+    """``groups, duplicates, redundant``: groups, their members, members beyond one for each group."""
+    return members.agg(F.count_distinct("group_id").alias("groups"), F.count("*").alias("duplicates")).withColumn("redundant", F.col("duplicates") - F.col("groups"))
+
+
+def group_sizes(members: DataFrame) -> DataFrame:
+    return members.groupBy("group_id").agg(F.count("*").alias("n")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.round(F.avg("n"), 6).alias("mean"))
+
+
+def burst_contamination(members: DataFrame, images: DataFrame) -> DataFrame:
+    """``groups, with_bursts``: groups, and those that hold an image of a burst."""
+    hit = F.when(F.col("burst_id").isNotNull(), F.col("group_id"))
+    return group_details(members, images).agg(F.count_distinct("group_id").alias("groups"), F.count_distinct(hit).alias("with_bursts"))
+
+
+def without_bursts(members: DataFrame, images: DataFrame) -> DataFrame:
+    """Members that are in no burst, of groups that keep two or more of them."""
+    in_burst = images.where("burst_id is not null").select(F.col("id").alias("image_id"))
+    left = members.join(in_burst, "image_id", "left_anti")
+    return left.join(left.groupBy("group_id").agg(F.count("*").alias("_n")).where("_n >= 2").select("group_id"), "group_id", "left_semi")
+
+
+def absent(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Rows whose key ``known`` lacks."""
+    return rows.join(known.select(key), key, "left_anti")
+
+
+def index_difference(current: DataFrame, indexed: DataFrame, key: str, tolerance: float = 0.1) -> DataFrame:
+    """``missing, extra, ratio, needs_rebuild`` of an index against the current keys; an empty catalog counts any extra key as 1."""
+    j = current.select(key).distinct().withColumn("_c", F.lit(True)).join(indexed.select(key).distinct().withColumn("_i", F.lit(True)), key, "full")
+    n = j.agg(F.count_if(F.col("_i").isNull()).alias("missing"), F.count_if(F.col("_c").isNull()).alias("extra"), F.count("_c").alias("_n"))
+    apart = F.col("missing") + F.col("extra")
+    ratio = F.when(F.col("_n") > 0, apart / F.col("_n")).otherwise(F.when(apart > 0, 1.0).otherwise(0.0))
+    return n.select("missing", "extra", ratio.alias("ratio"), (ratio > tolerance).alias("needs_rebuild"))
+
+
+def group_tags(members: DataFrame, images: DataFrame, known: DataFrame) -> DataFrame:
+    """``image_id, tag`` of members, named by the first 8 digits of their hash, that ``known`` (``image_id, tag``) lacks; shorter hashes give none."""
+    t = group_details(members, images).where(F.length("dhash") >= 8).select("image_id", F.concat(F.lit("dup-"), F.substring("dhash", 1, 8)).alias("tag")).distinct()
+    return t.join(known, ["image_id", "tag"], "left_anti")
+
+
+def group_confidence(members: DataFrame) -> DataFrame:
+    """Mean similarity of each group's members."""
+    return members.groupBy("group_id").agg(F.round(F.avg("similarity_score"), 6).alias("confidence"))
+
+
+def group_features(members: DataFrame, images: DataFrame) -> DataFrame:
+    """``group_id, oldest, pixels``: earliest date and largest resolution of the members."""
+    return group_details(members, images).groupBy("group_id").agg(F.min("selected_date").alias("oldest"), F.max(F.col("width") * F.col("height")).alias("pixels"))
+
+
+def with_members(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """``group_id, ids, confidence``: members' ids, sorted, and the confidence as a share of 1."""
+    ids = members.groupBy("group_id").agg(F.array_sort(F.collect_list("image_id")).alias("ids"))
+    return ids.join(groups.select("group_id", (F.col("confidence") / 100).alias("confidence")), "group_id")
+
+
+def recommendations(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """Every member with ``action``: keep the primary, delete others."""
+    g = groups.select("group_id", "primary_image_id")
+    return members.join(g, "group_id").withColumn("action", F.when(F.col("image_id") == F.col("primary_image_id"), "keep").otherwise("delete")).drop("primary_image_id")
+
+
+def enriched(pairs: DataFrame, hashes: DataFrame, column: str, missing: int = 999) -> DataFrame:
+    """Pairs with ``distance``, that of the two images' ``column``; ``missing`` where a hash is null."""
+    h = lambda i: hashes.select(F.col("image_id").alias(f"image_{i}"), F.col(column).alias(f"_h{i}"))
+    j = pairs.join(h(1), "image_1").join(h(2), "image_2")
+    return j.withColumn("distance", F.coalesce(hashing.hamming(F.col("_h1"), F.col("_h2")), F.lit(missing))).drop("_h1", "_h2")
+
+
+def inside(pairs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Pairs both images of which are in ``ids`` (``image_id``)."""
+    one = lambda i: ids.select(F.col("image_id").alias(f"image_{i}"))
+    return pairs.join(one(1), "image_1", "left_semi").join(one(2), "image_2", "left_semi")
+
+
+def uncompared(images: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Images of no pair."""
+    return images.join(pairs.select(F.explode(F.array("image_1", "image_2")).alias("image_id")), "image_id", "left_anti")
+
+
+def replaced(old: DataFrame, new: DataFrame, catalog_id) -> DataFrame:
+    """All groups after a catalog's were replaced by ``new`` (``group_id, confidence`` as percent or share of 1)."""
+    n = new.withColumn("confidence", as_percent(F.col("confidence"))).withColumn("catalog_id", F.lit(catalog_id))
+    return old.where(F.col("catalog_id") != catalog_id).unionByName(n.select(*old.columns))

@@ -171,6 +171,137 @@ def run_history(runs: DataFrame, at: str, value: str, kept: int = 10, recent: in
     """Mean of the last ``kept`` runs and the trend of the newest against the mean of the last ``recent``."""
     from pyspark.sql import Window as W
 
-    r = runs.withColumn("r", F.row_number().over(W.orderBy(F.desc(at)))).where(F.col("r") <= kept)
+    r = runs.orderBy(F.desc(at)).limit(kept).withColumn("r", F.row_number().over(W.orderBy(F.desc(at))))
     last = F.max(F.when(F.col("r") == 1, F.col(value)))
     return r.agg(F.count("*").alias("runs"), F.round(F.avg(value), 6).alias("mean"), F.round(last - F.avg(F.when(F.col("r") <= recent, F.col(value))), 6).alias("trend"))
+
+
+def plausibly_dated(images: DataFrame, as_of_year: int) -> DataFrame:
+    """Dated from 1900 to the end of the year after ``as_of_year``."""
+    return images.where(F.col("selected_date").between(F.lit("1900-01-01").cast("timestamp_ntz"), F.lit(f"{as_of_year + 1}-12-31").cast("timestamp_ntz")))
+
+
+def surely_dated(images: DataFrame, least: int = 70) -> DataFrame:
+    """What burst detection takes: a date of ``least`` confidence."""
+    return images.where((F.col("confidence") >= least) & F.col("selected_date").isNotNull())
+
+
+def comparable(images: DataFrame) -> DataFrame:
+    """Images outside bursts with all three hashes, the difference hash not all zeros."""
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    return images.where((F.col("file_type") == "image") & F.col("burst_id").isNull() & filled("dhash") & (F.col("dhash") != "0" * 16) & filled("ahash") & filled("whash"))
+
+
+def lacking(images: DataFrame, column: str, force: bool = False) -> DataFrame:
+    """Images whose ``column`` is null or an empty text; all with ``force``."""
+    return images if force else images.where(F.coalesce(F.col(column).cast("string"), F.lit("")) == "")
+
+
+def database_status(status: Column) -> Column:
+    """The stored status of a workflow status: complete and archived are archived, all else active."""
+    return F.when(status.isin("complete", "archived"), "archived").otherwise("active")
+
+
+#: Former sort keys; ties by id.
+FORMER_ORDERS = {"date": lambda: F.desc_nulls_last("selected_date"), "path": lambda: F.asc("source_path"), "size": lambda: F.desc("size_bytes"), "id": lambda: F.asc("id")}
+
+
+def former_page(images: DataFrame, sort_by: str = "date", limit: int = 50, offset: int = 0) -> DataFrame:
+    return images.orderBy(FORMER_ORDERS.get(sort_by, FORMER_ORDERS["date"])(), "id").offset(offset).limit(limit)
+
+
+def by_id(images: DataFrame, image_id) -> DataFrame:
+    return images.where(F.col("id") == image_id)
+
+
+def counts(images: DataFrame) -> DataFrame:
+    """``total, n_images, n_videos, no_date, problematic``: what is small or without a date is problematic."""
+    no_date = F.col("selected_date").isNull()
+    return images.agg(F.count("*").alias("total"), F.count_if(F.col("file_type") == "image").alias("n_images"), F.count_if(F.col("file_type") == "video").alias("n_videos"), F.count_if(no_date).alias("no_date"), F.count_if(problem().isNotNull()).alias("problematic"))
+
+
+def problem(small: int = 1000) -> Column:
+    """What is wrong with an image: ``no_date``, ``small``, or null."""
+    return F.when(F.col("selected_date").isNull(), "no_date").when(F.col("width") < small, "small")
+
+
+def problems(images: DataFrame, category: str | None = None) -> DataFrame:
+    p = images.withColumn("category", problem())
+    return p.where(F.col("category").isNotNull() if category is None else F.col("category") == category)
+
+
+def review_queue(images: DataFrame, least: int = 30) -> DataFrame:
+    """``id, reason, priority, created_at``: images of low confidence or without a date; the less sure, the more urgent."""
+    low = F.col("confidence") < least
+    q = images.where(low | F.col("selected_date").isNull())
+    return q.select("id", F.when(low, "low_confidence").otherwise("no_date").alias("reason"), (100 - F.col("confidence")).alias("priority"), "created_at")
+
+
+def review_view(queue: DataFrame, images: DataFrame) -> DataFrame:
+    """The queue with ``detail``: the confidence where that is low, else the path; most urgent first by :func:`review_page`."""
+    i = images.select("id", "source_path", "confidence")
+    detail = F.when(F.col("reason") == "low_confidence", F.col("confidence").cast("string")).otherwise(F.col("source_path"))
+    return queue.join(i, "id").withColumn("detail", detail)
+
+
+def review_counts(queue: DataFrame) -> DataFrame:
+    return queue.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def review_page(queue: DataFrame, limit: int, reason: str | None = None) -> DataFrame:
+    q = queue if reason is None else queue.where(F.col("reason") == reason)
+    return q.orderBy(F.desc("priority"), "created_at").limit(limit)
+
+
+def tag_counts(images: DataFrame, image_tags: DataFrame) -> DataFrame:
+    """Images with ``tag_count``, 0 without tags."""
+    n = image_tags.groupBy("image_id").agg(F.count("*").alias("_n"))
+    return images.join(n, images["id"] == n["image_id"], "left").withColumn("tag_count", F.coalesce("_n", F.lit(0))).drop("_n", "image_id")
+
+
+def having_all(images: DataFrame, links: DataFrame, column: str, n: int) -> DataFrame:
+    """Images whose rows of ``links`` (``image_id``) have ``n`` different values of ``column``."""
+    full = links.groupBy("image_id").agg(F.count_distinct(column).alias("_n")).where(F.col("_n") == n)
+    return images.join(full, images["id"] == full["image_id"], "left_semi")
+
+
+def dashboard(images: DataFrame, groups: DataFrame, members: DataFrame) -> DataFrame:
+    """One row: files, images, videos, bytes, hash coverage in percent, groups, members, unreviewed groups, bytes that are not primary."""
+    from .duplicates import redundant
+
+    hashed = F.count_if(F.coalesce("dhash", F.lit("")) != "")
+    i = images.agg(F.count("*").alias("total"), F.count_if(F.col("file_type") == "image").alias("n_images"), F.count_if(F.col("file_type") == "video").alias("n_videos"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"), F.round(F.coalesce(100.0 * hashed / F.count("*"), F.lit(0.0)), 1).alias("hash_coverage"))
+    g = redundant(groups, members, images).agg(F.count_distinct("group_id").alias("n_groups"), F.count("image_id").alias("n_duplicates"), F.count_distinct(F.when(~F.col("reviewed"), F.col("group_id"))).alias("needs_review"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("savings"))
+    return i.join(F.broadcast(g))  # one row each
+
+
+def counters(images: DataFrame, tags: DataFrame, groups: DataFrame) -> DataFrame:
+    """``n, bytes, n_tags, n_groups``."""
+    one = lambda df, name: F.broadcast(df.agg(F.count("*").alias(name)))
+    return images.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")).join(one(tags, "n_tags")).join(one(groups, "n_groups"))
+
+
+def snapshot(images: DataFrame, phase: str) -> DataFrame:
+    """One row for a table of snapshots: files and bytes at a phase."""
+    return images.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")).withColumn("phase", F.lit(phase))
+
+
+def scan_statistics(images: DataFrame, samples: int = 50, width: int = 200) -> DataFrame:
+    """``files, bytes, largest, samples``: the largest file's path and the first paths of unknown type, cut to ``width``."""
+    total = images.agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.max_by("source_path", F.struct("size_bytes", "id")).alias("largest"))
+    bad = images.where("file_type = 'unknown'").select("source_path").orderBy("source_path").limit(samples)
+    return total.join(F.broadcast(bad.agg(F.array_sort(F.collect_list(F.substring("source_path", 1, width))).alias("samples"))))
+
+
+def cache_statistics(files: DataFrame, cap: float) -> DataFrame:
+    """``n, bytes, used``: percent of ``cap`` in use."""
+    return files.agg(F.count("*").alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes")).withColumn("used", F.round(100.0 * F.col("bytes") / cap, 2))
+
+
+def evicted(files: DataFrame, cap: float, share: float = 0.9) -> DataFrame:
+    """Files to delete, oldest access (``created_at``, then id) first, until at most ``share`` of ``cap`` is in use; none up to ``cap``."""
+    from .ordered import sum_before
+
+    total = files.agg(F.sum("size_bytes").alias("_total"))
+    f = sum_before(files, ["created_at", "id"], F.col("size_bytes"), "_before").join(F.broadcast(total))  # one row
+    return f.where((F.col("_total") > cap) & (F.col("_total") - F.col("_before") > share * cap)).drop("_total", "_before")

@@ -69,15 +69,6 @@ def smoothed_timing(observations: DataFrame, keys: list[str], at: str, value: st
     return g.select(*keys, ema.alias("ema"))
 
 
-def sliced(items: DataFrame, by: str, size: int) -> DataFrame:
-    """``items`` with ``batch``: contiguous slices of ``size`` in order of ``by``, without gathering rows in one task."""
-    dealt = checkpointed(items.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
-    before = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    parts = dealt.groupBy("part").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(before, F.lit(0))).drop("n")
-    ranked = dealt.withColumn("place", F.row_number().over(W.partitionBy("part").orderBy(by)) - 1)
-    return ranked.join(F.broadcast(parts), "part").withColumn("batch", F.floor((F.col("before") + F.col("place")) / size).cast("int")).drop("part", "place", "before")  # parts: a row for each partition
-
-
 def cancelled(batches: DataFrame, jobs: DataFrame) -> DataFrame:
     """Batches that must stop: cancelled themselves or of a job that is revoked or cancelled."""
     j = batches.join(jobs.select(F.col("job_id").alias("parent_job_id"), F.col("status").alias("job_status")), "parent_job_id", "left")
@@ -123,3 +114,72 @@ def run_job(job_type: str, df: DataFrame) -> DataFrame:
     if job_type not in PROCESSORS:
         raise ValueError(f"no processor for {job_type}")
     return PROCESSORS[job_type](df)
+
+
+#: What a job's status may be for each effective status.
+STATUSES = {"queued": ("PENDING",), "running": ("STARTED", "PROGRESS"), "completed": ("SUCCESS",), "failed": ("FAILURE", "STALE"), "killed": ("REVOKED", "TERMINATED")}
+
+
+def stale_jobs(jobs: DataFrame, as_of: Column, statuses: tuple = ("PROGRESS", "PENDING")) -> DataFrame:
+    """Jobs of ``statuses`` last updated before ``as_of``."""
+    return jobs.where(F.col("status").isin(*statuses) & (F.col("updated_at") < as_of))
+
+
+def with_effective(jobs: DataFrame, keep: tuple = ()) -> DataFrame:
+    """Jobs with their ``effective`` status, of ``keep`` only where that names any."""
+    j = jobs.withColumn("effective", effective_status(F.col("status"), F.col("result_status")))
+    return j.where(F.col("effective").isin(*keep)) if keep else j
+
+
+def without(jobs: DataFrame, effective: tuple) -> DataFrame:
+    """Jobs after a bulk deletion of all that have a status of the named effective ones."""
+    gone = [s for e in effective for s in STATUSES[e]]
+    return jobs.where(~F.coalesce(F.col("status").isin(*gone), F.lit(False)))
+
+
+def recent(jobs: DataFrame, k: int) -> DataFrame:
+    return jobs.orderBy(F.desc("updated_at"), F.desc("job_id")).limit(k)
+
+
+def monitor(jobs: DataFrame, since: Column, expected: int | None = None) -> DataFrame:
+    """``ok, failed, remaining, percent`` of the jobs updated from ``since`` on; ``expected``: how many there will be."""
+    j = jobs.where(F.col("updated_at") >= since).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "SUCCESS").alias("ok"), F.count_if(F.col("status") == "FAILURE").alias("failed"))
+    total = F.col("n") if expected is None else F.lit(expected)
+    percent = F.when(total > 0, F.floor(F.col("ok") * 100 / total)).otherwise(0).cast("int")
+    return j.select("ok", "failed", (total - F.col("ok") - F.col("failed")).alias("remaining"), percent.alias("percent"))
+
+
+def transaction_states(operations: DataFrame, key: str) -> DataFrame:
+    """Per transaction: operations, how many are completed and failed, whether all are and any is."""
+    done, failed = F.col("status") == "COMPLETED", F.col("status") == "FAILED"
+    return operations.groupBy(key).agg(F.count("*").alias("operations"), F.count_if(done).alias("completed"), F.count_if(failed).alias("failed"), F.bool_and(done).alias("is_complete"), F.bool_or(failed).alias("has_failures"))
+
+
+def rolled_up(results: DataFrame, key: str, counts: list[str]) -> DataFrame:
+    """Sums of the workers' ``counts`` by ``key``."""
+    return results.groupBy(key).agg(*[F.sum(c).alias(c) for c in counts])
+
+
+def first_errors(errors: DataFrame, worker: str, at: list[str], k: int = 10) -> DataFrame:
+    """The first ``k`` errors of each worker in order of ``at``."""
+    return errors.withColumn("_r", F.row_number().over(W.partitionBy(worker).orderBy(*at))).where(F.col("_r") <= k).drop("_r")
+
+
+def operation_statistics(observations: DataFrame, operation: str, value: str, items: str) -> DataFrame:
+    """Per operation: runs, total, least, most, mean for an item, and percent of the total of all operations."""
+    g = observations.groupBy(operation).agg(F.count("*").alias("runs"), F.sum(value).alias("total"), F.min(value).alias("low"), F.max(value).alias("high"), (F.sum(value) / F.sum(items)).alias("mean"))
+    return g.withColumn("share", 100 * F.col("total") / F.sum("total").over(W.partitionBy()))  # a row for each operation
+
+
+def slowest(statistics: DataFrame, operation: str, n: int = 5) -> DataFrame:
+    return statistics.orderBy(F.desc("total"), operation).limit(n)
+
+
+def bottlenecks(statistics: DataFrame, percent: float = 10.0) -> DataFrame:
+    """Operations that take at least ``percent`` of the total."""
+    return statistics.where(F.col("share") >= percent)
+
+
+def settings(config: DataFrame, prefix: str) -> DataFrame:
+    """Entries whose key starts with ``prefix``, taken literally."""
+    return config.where(F.col("key").startswith(prefix))

@@ -41,14 +41,14 @@ add("f11_all_tags", lambda v: I.all_tags(v.images, v.image_tags, v.tags.withColu
 add("f13_near", lambda v: I.near(v.images, 10.0, 20.0, 3000.0).select("id"), "select id from images where latitude between 10 - 3000 / 111.0 and 10 + 3000 / 111.0 and longitude between 20 - 3000 / (111.0 * abs(cos(radians(10))) + 0.001) and 20 + 3000 / (111.0 * abs(cos(radians(10))) + 0.001)")
 add("f14_view", lambda v: I.in_view(v.images, -20.0, 40.0, -100.0, 50.0).select("id"), "select id from images where latitude between -20 and 40 and longitude between -100 and 50")
 add("f14_view_zero", lambda v: I.in_view(v.images, 0.0, 40.0, -100.0, 50.0).select("id"), "select id from images")
-add("f16_burst_input", lambda v: v.images.where("confidence >= 70 and selected_date is not null").select("id"), "select id from images where confidence >= 70 and selected_date is not null")
+add("f16_burst_input", lambda v: I.surely_dated(v.images).select("id"), "select id from images where confidence >= 70 and selected_date is not null")
 _VALID = "file_type = 'image' and burst_id is null and dhash is not null and dhash <> '' and dhash <> '0000000000000000' and ahash is not null and ahash <> '' and whash is not null and whash <> ''"
-add("f17_valid_hash", lambda v: v.images.where((F.col("file_type") == "image") & F.col("burst_id").isNull() & ~F.coalesce(F.col("dhash").isin("", "0" * 16), F.lit(True)) & (F.coalesce("ahash", F.lit("")) != "") & (F.coalesce("whash", F.lit("")) != "")).select("id"), f"select id from images where {_VALID}")
-add("f18_needs_hash", lambda v: v.images.where(F.coalesce("dhash", F.lit("")) == "").select("id"), "select id from images where dhash is null or dhash = ''")
+add("f17_valid_hash", lambda v: I.comparable(v.images).select("id"), f"select id from images where {_VALID}")
+add("f18_needs_hash", lambda v: I.lacking(v.images, "dhash").select("id"), "select id from images where dhash is null or dhash = ''")
 add("f19_untagged", lambda v: I.with_tags(v.images.where("file_type = 'image'"), v.image_tags, False).orderBy("id").limit(25).select("id"), "select id from images where file_type = 'image' and id not in (select image_id from image_tags) order by id limit 25")
-add("f20_undescribed", lambda v: v.images.where(F.coalesce("description", F.lit("")) == "").select("id"), "select id from images where description is null or description = ''")
-add("f21_needs_quality", lambda v: v.images.where(F.col("quality_score").isNull()).select("id"), "select id from images where quality_score is null")
-add("f33_db_status", lambda v: v.images.select("id", F.when(F.col("status_id") == "archived", "archived").otherwise("active").alias("db")), "select id, case when status_id = 'archived' then 'archived' else 'active' end as db from images")
+add("f20_undescribed", lambda v: I.lacking(v.images, "description").select("id"), "select id from images where description is null or description = ''")
+add("f21_needs_quality", lambda v: I.lacking(v.images, "quality_score").select("id"), "select id from images where quality_score is null")
+add("f33_db_status", lambda v: v.images.select("id", I.database_status(F.col("status_id")).alias("db")), "select id, case when status_id = 'archived' then 'archived' else 'active' end as db from images")
 add("f34_needs_preview", lambda v: v.images.where(text.extension(F.col("source_path")).isin(".cr2", ".heic")).join(v.image_tags, F.col("id") == F.col("image_id"), "left_anti").select("id"), "select id from images where lower(regexp_extract(source_path, '(\\.[^./]+)$', 1)) in ('.cr2', '.heic') and id not in (select image_id from image_tags)")
 add("f36_placeholder", lambda v: v.images.select("id", text.without_placeholder((F.col("iso") - 60).cast("string")).alias("v")), "select id, case when (iso - 60)::varchar in ('0', '65535', '255', '40', 'Unknown', 'unknown', '') then null else (iso - 60)::varchar end as v from images")
 
@@ -79,9 +79,9 @@ add("a13_quality_bands", lambda v: v.images.where("quality_score is not null").g
 _MB = 1024 * 1024
 add("a14_size_buckets", lambda v: v.images.groupBy(I.size_bucket(F.col("size_bytes")).alias("bucket")).agg(F.count("*").alias("n")), f"select case when size_bytes < {_MB} then '< 1 MB' when size_bytes < {5 * _MB} then '1-5 MB' when size_bytes < {10 * _MB} then '5-10 MB' when size_bytes < {20 * _MB} then '10-20 MB' when size_bytes < {50 * _MB} then '20-50 MB' else '> 50 MB' end as bucket, count(*) as n from images group by 1")
 add("a14_by_year", lambda v: v.images.where("selected_date is not null").groupBy(F.year("selected_date").alias("year")).agg(F.count("*").alias("n")), "select year(selected_date)::int as year, count(*) as n from images where selected_date is not null group by 1")
-add("a15_dashboard", lambda v: v.images.agg(F.count("*").alias("total"), F.round(100.0 * F.count_if(F.coalesce("dhash", F.lit("")) != "") / F.count("*"), 1).alias("hash_coverage")), "select count(*) as total, round(100.0::double * count(*) filter (where dhash <> '') / count(*), 1) as hash_coverage from images")
-add("a16_counts", lambda v: v.images.agg(F.count("*").alias("total"), F.count_if(F.col("file_type") == "image").alias("n_images"), F.count_if(F.col("file_type") == "video").alias("n_videos"), F.count_if(F.col("selected_date").isNull()).alias("no_date")), "select count(*) as total, count(*) filter (where file_type = 'image') as n_images, count(*) filter (where file_type = 'video') as n_videos, count(*) filter (where selected_date is null) as no_date from images")
-add("a20_counters", lambda v: v.images.agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes")).join(v.tags.agg(F.count("*").alias("n_tags"))).join(v.groups.agg(F.count("*").alias("n_groups"))), "select (select count(*) from images) as n, (select sum(size_bytes)::bigint from images) as bytes, (select count(*) from tags) as n_tags, (select count(*) from groups) as n_groups")
+add("a15_dashboard", lambda v: I.dashboard(v.images, v.groups, v.members), "select *, (select count(*) from groups) as n_groups, (select count(*) from members) as n_duplicates, (select count(*) from groups where not reviewed) as needs_review, (select coalesce(sum(size_bytes), 0)::bigint from members m join groups g using (group_id) join images i on i.id = m.image_id and i.id <> g.primary_image_id) as savings from (select count(*) as total, count(*) filter (where file_type = 'image') as n_images, count(*) filter (where file_type = 'video') as n_videos, sum(size_bytes)::bigint as bytes, round(100.0::double * count(*) filter (where dhash <> '') / count(*), 1) as hash_coverage from images)")
+add("a16_counts", lambda v: I.counts(v.images), "select count(*) as total, count(*) filter (where file_type = 'image') as n_images, count(*) filter (where file_type = 'video') as n_videos, count(*) filter (where selected_date is null) as no_date, count(*) filter (where selected_date is null or width < 1000) as problematic from images")
+add("a20_counters", lambda v: I.counters(v.images, v.tags, v.groups), "select (select count(*) from images) as n, (select sum(size_bytes)::bigint from images) as bytes, (select count(*) from tags) as n_tags, (select count(*) from groups) as n_groups")
 add("a22_largest", lambda v: v.images.groupBy("file_type").agg(F.max_by("id", F.struct("size_bytes", -F.col("id"))).alias("largest"), F.sum("size_bytes").alias("bytes")), "select file_type, arg_max(id, size_bytes * 1000000000 - id) as largest, sum(size_bytes)::bigint as bytes from images group by 1")
 
 _MPX = "(width * height / 1e6)"

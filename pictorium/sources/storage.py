@@ -142,3 +142,73 @@ def create_schema(spark: SparkSession, database: str, tables: dict[str, str]) ->
     spark.sql(f"create database if not exists {database}")
     for name, ddl in tables.items():
         spark.sql(f"create table if not exists {database}.{name} ({ddl}) using parquet")
+
+
+def schema_exists(spark: SparkSession, database: str, tables: list[str]) -> bool:
+    return spark.catalog.databaseExists(database) and all(spark.catalog.tableExists(f"{database}.{t}") for t in tables)
+
+
+def checksum(content, algorithm: str = "sha256"):
+    """Hexadecimal digest of a column, ``sha256``, ``sha1`` or ``md5``."""
+    return {"sha256": lambda c: F.sha2(c, 256), "sha1": F.sha1, "md5": F.md5}[algorithm](content)
+
+
+def verified(content, expected, algorithm: str = "sha256"):
+    """Whether a column has the expected digest, in any case."""
+    return F.lower(checksum(content, algorithm)) == F.lower(expected)
+
+
+def without_catalog(rows: DataFrame, images: DataFrame, catalog_id) -> DataFrame:
+    """Rows (``image_id``) that stay when a catalog and its images are deleted."""
+    gone = images.where(F.col("catalog_id") == catalog_id).select(F.col("id").alias("image_id"))
+    return rows.join(gone, "image_id", "left_anti")
+
+
+def catalogs(images: DataFrame) -> DataFrame:
+    """``catalog_id, n``."""
+    return images.groupBy("catalog_id").agg(F.count("*").alias("n"))
+
+
+def serialised(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """``key, json``: the columns as one JSON text, nulls left out."""
+    return rows.select(key, F.to_json(F.struct(*columns)).alias("json"))
+
+
+def deserialised(rows: DataFrame, key: str, ddl: str) -> DataFrame:
+    """Back from :func:`serialised`; ``ddl`` names the columns and their types."""
+    return rows.select(key, F.from_json("json", ddl).alias("_r")).select(key, "_r.*")
+
+
+#: The edits of an image that has none.
+NO_EDITS = '{"version":1}'
+
+
+def edits(stored):
+    """An image's edits as JSON; null stands for none."""
+    return F.coalesce(stored, F.lit(NO_EDITS))
+
+
+def edited(rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """``id, edit`` after ``changes`` (``id, edit``); a change to null resets."""
+    return updated(rows, changes, "id", ["edit"])
+
+
+def merged_json(old, new):
+    """Two JSON objects of texts as one; ``new`` wins."""
+    read = lambda c: F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(read(old), lambda k, v: ~F.map_contains_key(read(new), k)), read(new)))
+
+
+def json_field(text, path: str, kind: str):
+    """A field of a JSON text as ``kind``, null where it is missing or of another kind."""
+    return F.get_json_object(text, path).try_cast(kind)
+
+
+def first_directory(organised, sources):
+    """Where an imported file belongs: its own directory, else the first of its sources (an array), else ``-``."""
+    return F.coalesce(organised, F.get(sources, F.lit(0)), F.lit("-"))
+
+
+def thumbnail_path(directory: str, image_id, size: str = "medium"):
+    """Where an image's thumbnail is stored."""
+    return F.concat(F.lit(f"{directory.rstrip('/')}/{size}/"), image_id.cast("string"), F.lit(".jpg"))

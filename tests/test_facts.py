@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pictorium.functions import dates, quality, text
-from pictorium.operators import bursts, duplicates, jobs, tags, vectors
+from pictorium.operators import bursts, duplicates, images, jobs, ordered, tags, vectors
 from pictorium.sources import storage
 
 
@@ -137,7 +137,7 @@ def test_moving_average_and_slices(spark):
         want[k] = v if k not in want else want[k] * 0.7 + v * 0.3
     got = jobs.smoothed_timing(spark.createDataFrame(rows, "k string, t long, v double").repartition(7), ["k"], "t", "v").collect()
     assert {r["k"]: round(r["ema"], 9) for r in got} == {k: round(v, 9) for k, v in want.items()}
-    batches = jobs.sliced(spark.range(1003).select((F.col("id") * 7 % 1003).alias("x")).repartition(5), "x", 100).collect()
+    batches = ordered.sliced(spark.range(1003).select((F.col("id") * 7 % 1003).alias("x")).repartition(5), "x", 100).collect()
     assert all(r["batch"] == r["x"] // 100 for r in batches) and len(batches) == 1003
 
 
@@ -182,3 +182,98 @@ def test_files_schemas_and_exports(spark, tmp_path):
         spark.sql("drop database if exists facts cascade")
     with pytest.raises(ValueError):
         jobs.run_job("none such", df)
+
+
+def test_eviction_starts_beyond_the_cap(spark):
+    f = spark.createDataFrame([(i, 10, i % 7) for i in range(100)], "id long, size_bytes long, created_at long")
+    assert images.evicted(f, 1000).count() == 0
+    gone = {r["id"] for r in images.evicted(f, 900, 0.9).collect()}
+    assert gone == {i for i, _ in sorted(((i, i % 7) for i in range(100)), key=lambda x: (x[1], x[0]))[:19]}
+    assert images.evicted(f.limit(0), 1).count() == 0
+
+
+def test_running_sums_over_ties_and_nothing(spark):
+    f = spark.createDataFrame([(i // 5, i, i * i) for i in range(500)], "a long, b long, x long").repartition(7)
+    got = {r["b"]: r["s"] for r in ordered.sum_before(f, ["a", "b"], F.col("x"), "s").collect()}
+    assert got == {i: sum(k * k for k in range(i)) for i in range(500)}
+    assert ordered.sum_before(f.limit(0), ["a", "b"], F.col("x"), "s").count() == 0
+
+
+def test_index_of_an_empty_catalog(spark):
+    some, none = spark.range(10), spark.range(0)
+    row = lambda a, b: tuple(duplicates.index_difference(a, b, "id").first())
+    assert row(none, none) == (0, 0, 0.0, False)
+    assert row(none, some) == (0, 10, 1.0, True)
+    assert row(some, none) == (10, 0, 1.0, True)
+    assert row(some, spark.range(9)) == (1, 0, 0.1, False)
+
+
+def test_search_takes_a_name_before_synonyms(spark):
+    t = spark.createDataFrame([(1, "dogs"), (2, "wolves"), (3, "Puppy")], "tag_id long, name string")
+    s = spark.createDataFrame([(1, "puppy"), (1, "PUPPY"), (3, "puppy"), (2, "canine")], "tag_id long, synonym string")
+    assert sorted((r["tag_id"], r["hit"]) for r in tags.search(t, s, "pUPPY").collect()) == [(1, "synonym"), (3, "name")]
+    assert tags.search(t, s, "nothing").count() == 0
+
+
+def test_taxonomy_paths(spark):
+    t = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", None)], "name string, parent string")
+    assert {r["name"]: r["path"] for r in tags.paths(t).collect()} == {"a": "a", "b": "a/b", "c": "a/b/c", "d": "a/b/c/d", "e": "e"}
+    with pytest.raises(Exception, match="deepest"):
+        tags.paths(t, 3).collect()
+
+
+def test_all_tags_means_all_known_ones(spark):
+    t = spark.createDataFrame([(1, "x"), (2, "y")], "tag_id long, name string")
+    it = spark.createDataFrame([(10, 1), (10, 2), (11, 1)], "image_id long, tag_id long")
+    ids = lambda names: sorted(r["image_id"] for r in tags.images_with_all(it, t, names).collect())
+    assert ids(["x", "y"]) == [10]
+    assert ids(["x", "unheard of"]) == [10, 11]
+    assert ids(["unheard of"]) == []
+
+
+def test_stored_tags_keep_their_ids(spark):
+    t = spark.createDataFrame([(7, "x", "c")], "tag_id long, name string, category string")
+    n = spark.createDataFrame([("y", "d"), ("x", "d"), ("y", "d"), (None, "d"), ("a", None)], "name string, category string")
+    assert sorted((r["tag_id"], r["name"]) for r in tags.stored(t, n).collect()) == [(7, "x"), (8, "a"), (9, "y")]
+    assert [r["tag_id"] for r in tags.stored(t.limit(0), n.limit(1)).collect()] == [1]
+
+
+def test_answers_that_are_no_json(spark):
+    r = spark.createDataFrame([(1, "```json\n{\"cat\": 0.9, \"dog\": 0.2}\n```"), (2, "sorry"), (3, None), (4, "{}")], "id long, reply string")
+    assert [tuple(x) for x in tags.answers(r, "id", "reply", ["cat", "dog"], 0.5).collect()] == [(1, "cat", 0.9)]
+
+
+def test_videos_without_a_size(spark):
+    v = spark.createDataFrame([(1, {"VideoWidth": "1920", "ImageHeight": "0", "VideoHeight": "1080 px", "VideoCodec": "none"}), (2, {"ImageWidth": "5"}), (3, {"ImageWidth": "x", "FileType": "MP4"})], "id long, exif map<string,string>")
+    got = v.select("id", text.video_size(F.col("exif")).alias("s"), text.video_codec(F.col("exif"), F.lit("/a/b.MOV")).alias("c")).orderBy("id").collect()
+    assert [(r["s"] and tuple(r["s"]), r["c"]) for r in got] == [((1920, 1080), "mov"), (None, "mov"), (None, "MP4")]
+
+
+def test_groups_lose_burst_images(spark):
+    i = spark.createDataFrame([(1, None), (2, 9), (3, None), (4, 9), (5, None)], "id long, burst_id long")
+    m = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 4), ("b", 5)], "group_id string, image_id long")
+    assert sorted(r["image_id"] for r in duplicates.without_bursts(m, i).collect()) == [1, 3]
+    assert tuple(duplicates.burst_contamination(m, i).first()) == (2, 2)
+
+
+def test_cliques_by_brute_force(spark):
+    rnd = random.Random(5)
+    e = {(a, b): rnd.randrange(6) for a in range(14) for b in range(a + 1, 14) if rnd.random() < 0.45}
+    joined = lambda a, b: (min(a, b), max(a, b)) in e
+    found = duplicates.grouped(pairs(spark, *[(a, b, d) for (a, b), d in e.items()]), "clique").collect()
+    assert {x for p in e for x in p} == {r["image_id"] for r in found}
+    want = []
+    for (a, b), _ in sorted(e.items(), key=lambda x: (x[1], x[0])):
+        for g in want:
+            if all(x == m or joined(x, m) for x in (a, b) for m in g):
+                g.update((a, b))
+                break
+        else:
+            want.append({a, b})
+    assert sorted(r["image_id"] for r in found) == sorted(x for g in want for x in g)
+
+
+def test_monitor_of_expected_jobs(spark):
+    j = spark.createDataFrame([("SUCCESS", 2), ("FAILURE", 2), ("SUCCESS", 1)], "status string, updated_at long")
+    assert tuple(jobs.monitor(j, F.lit(2), 8).first()) == (1, 1, 6, 12)
+    assert tuple(jobs.monitor(j, F.lit(9)).first()) == (0, 0, 0, 0)
