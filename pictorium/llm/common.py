@@ -43,10 +43,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pictorium/{name}-{uuid.uuid4().hex}"
 
 
+NO_MARKER = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+
+
 def durable(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return a reader of it."""
     path = path or new_path(df.sparkSession, name)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    # no _SUCCESS marker, which nothing reads: a local file system starts two processes to set its permissions
+    df.write.mode("overwrite").option("compression", "zstd").option(NO_MARKER, "false").parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.durable_path = path
     return out
