@@ -24,6 +24,7 @@ def similar_pairs(hashes: DataFrame, threshold: int, mode: str = "any") -> DataF
     Images with equal hashes are one key, and only keys meet; pairs of images are made at the end.
     Hashes within the threshold share two of ``threshold + 2`` bands, so an equi-join on pairs of
     bands finds every pair without comparing all. Hashes are written once, as their plan may be long.
+    The join is a merge join: Spark sizes exploded rows as if each key had one, and would broadcast them.
     """
     h = checkpointed(hashes.select("image_id", "ahash", "dhash"))
     keys = checkpointed(h.groupBy("ahash", "dhash").agg(F.min("image_id").alias("key"), F.count("*").alias("n")))
@@ -32,7 +33,7 @@ def similar_pairs(hashes: DataFrame, threshold: int, mode: str = "any") -> DataF
         met = keys.select("key", "ahash", "dhash", F.explode(hashing.band_pairs(F.col(name), threshold)).alias("b")).select("key", "ahash", "dhash", "b.band", "b.bits")
         a, b = met.alias("a"), met.alias("b")
         near = hashing.hamming(F.col(f"a.{name}"), F.col(f"b.{name}")) <= threshold
-        j = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.key") < F.col("b.key")) & near)
+        j = a.hint("merge").join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.key") < F.col("b.key")) & near)
         found = j.select(F.col("a.key").alias("key_1"), F.col("b.key").alias("key_2"), hashing.hamming(F.col("a.ahash"), F.col("b.ahash")).alias("a_distance"), hashing.hamming(F.col("a.dhash"), F.col("b.dhash")).alias("d_distance"))
         out = found if out is None else out.unionByName(found)
         if mode == "all":

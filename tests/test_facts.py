@@ -115,6 +115,14 @@ def test_stars_absorb_in_order(spark):
     assert groups(duplicates.grouped(pairs(spark, (1, 2, 1), (2, 3, 1), (3, 4, 1), (5, 6, 1)), "star")) == [[1, 2], [3, 4], [5, 6]]
 
 
+@pytest.mark.parametrize("mode", ["any", "all"])
+def test_bands_are_never_broadcast(spark, mode):
+    h = spark.range(500).select(F.col("id").alias("image_id"), F.xxhash64("id").alias("ahash"), F.xxhash64("id", F.lit(1)).alias("dhash"))
+    plan = duplicates.similar_pairs(h, 5, mode)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "bits" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_similar_pairs_by_brute_force(spark):
     rng = random.Random(9)
     base = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(12)]
