@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a longest run of anything but space, tab, LF, VT, FF and CR.
@@ -106,6 +106,7 @@ def _digest(e: DataFrame) -> tuple:
 
 
 BROADCAST_ROWS = 50_000
+MOST_BITS = 1 << 28
 SALTS = 64
 
 
@@ -114,6 +115,28 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def keyed_join(rows: DataFrame, keys: DataFrame, same: Column, how: str, key: list[str], of: list[str]) -> DataFrame:
+    """``rows`` joined with a durable narrow table on ``same``, ``how``: ``inner``, ``left_semi`` or ``left_anti``.
+
+    Columns ``key`` of ``rows`` and ``of`` of ``keys`` are equal, nulls too, where ``same`` holds. Up
+    to BROADCAST_ROWS keys are broadcast. Beyond, a broadcast bitmap of their hashes screens the rows,
+    and only those that may have a key are shuffled: about the share that has one, and one in 16 at most
+    of the others up to MOST_BITS / 16 keys. More keys screen less, and the join stays exact.
+    """
+    n = keys.count()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keys), same, how)
+    bits = min(MOST_BITS, 1 << (n * 16 - 1).bit_length())
+    place = lambda cols: F.xxhash64(*cols).bitwiseAND(F.lit(bits - 1).cast("long"))
+    at, bit = F.shiftright("_at", 15), F.col("_at").bitwiseAND(F.lit((1 << 15) - 1).cast("long"))
+    bitmap = keys.select(place(of).alias("_at")).groupBy(at.alias("_chunk")).agg(F.bitmap_construct_agg(bit).alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1, F.lit(False))
+    screened = rows.withColumn("_at", place(key)).withColumn("_chunk", at).join(F.broadcast(bitmap), "_chunk", "left").withColumn("_found", found).drop("_chunk", "_bitmap", "_at")
+    met = screened.where("_found").drop("_found").join(keys, same, how)
+    return screened.where("not _found").drop("_found").unionByName(met) if how == "left_anti" else met
+
+
 def lookup_join(rows: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
     """Inner join of ``rows`` with a durable table that has one row for each key, safe for hot keys.
 

@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, small
+from .common import connected_components, durable, keyed_join
 from .shingles import mix, shingle_sets
 
 SLOTS_A_DOCUMENT = 64
@@ -342,7 +342,7 @@ def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -
 
         r = rows.withColumnsRenamed({c: f"rep_{c}" for c in ("doc_id", "t1", "t2")})
         same = (docs["t1"] == r["rep_t1"]) & (docs["t2"] == r["rep_t2"]) & docs["doc_id"].eqNullSafe(r["rep_doc_id"])
-        return docs.join(small(r), same).select("text", "cid", "comp", "blocks", "most").mapInArrow(sets, "cid long, comp long, blocks int, most long, hashes binary")
+        return keyed_join(docs, r, same, "inner", ["doc_id", "t1"], ["rep_doc_id", "rep_t1"]).select("text", "cid", "comp", "blocks", "most").mapInArrow(sets, "cid long, comp long, blocks int, most long, hashes binary")
 
     def run(batches):
         for _, (label, cids, hashes) in _keyed(batches, ["comp", "i", "j", "label", "cid", "hashes"], 3):
@@ -405,7 +405,8 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     more = durable(marked.where("one_t1 is not null").groupBy("one_id", "one_t1", "one_t2").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "repeated")
     text = F.col("text").cast("string")
     all_ = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
+    met = lambda keys, how: keyed_join(all_, keys, same(all_), how, ["doc_id", "t1"], ["one_id", "one_t1"])
     if more.isEmpty():
-        return all_.join(small(dropped), same(all_), "left_anti").select("row.*")
-    once_ = all_.join(small(more), same(all_), "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
-    return all_.join(small(dropped.unionByName(more)), same(all_), "left_anti").unionByName(once_).select("row.*")
+        return met(dropped, "left_anti").select("row.*")
+    once_ = met(more, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return met(dropped.unionByName(more), "left_anti").unionByName(once_).select("row.*")

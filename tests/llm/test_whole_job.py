@@ -9,7 +9,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from pictorium.llm import chat, mixing, toxicity
+from pictorium.llm import chat, common, jaccard_join, mixing, quality, toxicity
 
 
 def test_toxicity_is_calibrated_whatever_the_sample(spark):
@@ -133,3 +133,41 @@ def test_mixed_rows_that_repeat(spark):
             n = len((r["text"] or "").split())
             got[r["doc_id"], n] = got.get((r["doc_id"], n), 0) + n
         assert {k: v for k, v in got.items() if v} == want
+
+
+def written(spark):
+    """Rows that all shuffles of the session have written so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_kept_rows_are_not_shuffled_however_many_are_dropped(spark, monkeypatch):
+    rows = spark.range(40_000).select(F.when(F.col("id") % 1000 != 3, F.col("id")).alias("doc_id"), F.xxhash64("id").alias("t1")).repartition(4)
+    rows = common.durable(rows, "rows")
+    keys = common.durable(rows.where("doc_id % 40 = 0 or doc_id is null").select(F.col("doc_id").alias("one_id"), F.col("t1").alias("one_t1")), "keys")
+    same = rows["doc_id"].eqNullSafe(F.col("one_id")) & (rows["t1"] == F.col("one_t1"))
+    at = lambda how: sorted(map(str, common.keyed_join(rows, keys, same, how, ["doc_id", "t1"], ["one_id", "one_t1"]).collect()))
+    want = {how: at(how) for how in ("inner", "left_semi", "left_anti")}
+    assert [len(x) for x in want.values()] == [1040, 1040, 38_960]
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 100)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for how, rows_ in want.items():
+            began = written(spark)
+            assert at(how) == rows_, how
+            assert written(spark) - began < 12_000, how  # all of them are 40,000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_few_or_many_dropped_give_the_same_rows(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    steps = {"quality": lambda: quality.kept_documents(docs), "jaccard": lambda: jaccard_join.one_of_each(docs, 5, 80, 100)}
+    few = {k: sorted(r["doc_id"] for r in f().collect()) for k, f in steps.items()}
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    joined = []
+    monkeypatch.setattr(F, "bitmap_construct_agg", lambda c, f=F.bitmap_construct_agg: joined.append(1) or f(c))
+    assert {k: sorted(r["doc_id"] for r in f().collect()) for k, f in steps.items()} == few
+    assert len(joined) >= 3  # rejected documents, candidates and near copies
