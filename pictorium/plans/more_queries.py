@@ -114,7 +114,7 @@ add("r03_conflicts", lambda v: R.plan(v.images.withColumn("source_path", F.expr(
 add("r05_counters", lambda v: R.plan(v.images, "/photos/src1", "YYYY/MM").groupBy("action").agg(F.count("*").alias("n")), "select case when selected_date is null then 'no_date' when starts_with(source_path, '/photos/src1/') then 'skip' else 'copy' end as action, count(*) as n from images group by 1")
 add("m02_claim", lambda v: J.claimed(v.batches, "w1").groupBy("status").agg(F.count("*").alias("n"), F.count("worker_id").alias("claimed")), "select case when take then 'RUNNING' else status end as status, count(*) as n, count(*) filter (where take) as claimed from (select status, status = 'PENDING' and row_number() over (partition by parent_job_id, status order by batch_number) = 1 as take from batches) group by 1")
 add("m03_cancelled", lambda v: J.cancelled(v.batches, v.jobs), "select parent_job_id, batch_number from batches where status = 'CANCELLED'")
-add("m04_latest_progress", lambda v: S.latest(v.batches.select("parent_job_id", "batch_number", "processed_count"), ["parent_job_id"], ["batch_number"]).select("parent_job_id", "processed_count"), "select parent_job_id, processed_count from batches qualify row_number() over (partition by parent_job_id order by batch_number desc) = 1")
+add("m04_latest_progress", lambda v: S.latest(v.batches.select("parent_job_id", "batch_number", "processed_count", "_metadata.file_path", "_metadata.row_index"), ["parent_job_id"], ["batch_number"], ["file_path", "row_index"]).select("parent_job_id", "processed_count"), "select parent_job_id, processed_count from batches qualify row_number() over (partition by parent_job_id order by batch_number desc) = 1")
 add("m08_recovery", lambda v: J.recovery(v.batches, _AT(), 60), "select parent_job_id, case when count(*) filter (where status in ('PENDING', 'RUNNING')) = 0 then 'finalize' when count(*) filter (where status = 'PENDING' or status = 'RUNNING' and started_at < timestamp '1995-06-17' - interval 60 minute) > 0 then 'dispatch' else 'wait' end as action from batches group by 1")
 add("m09_requeue", lambda v: J.requeue(v.batches, 2), "select parent_job_id, count(*) as failures from batches where status = 'FAILED' group by 1 having count(*) >= 2")
 

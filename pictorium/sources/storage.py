@@ -60,9 +60,10 @@ def scan_actions(found: DataFrame, existing: DataFrame) -> DataFrame:
     return first.join(e, "checksum", "left").select("checksum", "id", action.alias("action"))
 
 
-def latest(rows: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
-    """The last row of each key."""
-    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*[F.desc(b) for b in by]))).where("_r = 1").drop("_r")
+def latest(rows: DataFrame, keys: list[str], by: list[str], place: list[str] | None = None) -> DataFrame:
+    """The last row of each key; of rows that tie, the first by ``place``, such as where they are stored."""
+    order = [*[F.desc(b) for b in by], *[F.asc(p) for p in place or []]]
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:

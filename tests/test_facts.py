@@ -285,3 +285,19 @@ def test_monitor_of_expected_jobs(spark):
     j = spark.createDataFrame([("SUCCESS", 2), ("FAILURE", 2), ("SUCCESS", 1)], "status string, updated_at long")
     assert tuple(jobs.monitor(j, F.lit(2), 8).first()) == (1, 1, 6, 12)
     assert tuple(jobs.monitor(j, F.lit(9)).first()) == (0, 0, 0, 0)
+
+
+def test_latest_of_rows_that_tie_is_the_first_stored(spark, tmp_path):
+    """Batch numbers that repeat, over many tasks whose order a shuffle does not keep."""
+    rows = [(k, b, 10 * k + i, i) for k in range(50) for i, b in enumerate((1, 2, 2, 2))]
+    rng = random.Random(3)
+    rng.shuffle(rows)
+    first = {}
+    for k, b, count, _ in rows:
+        if b == 2:
+            first.setdefault(k, count)
+    df = spark.createDataFrame(rows, "parent_job_id long, batch_number int, processed_count long, i int")
+    df.coalesce(1).write.parquet(f"{tmp_path}/b")
+    stored = spark.read.parquet(f"{tmp_path}/b").select("parent_job_id", "batch_number", "processed_count", "_metadata.file_path", "_metadata.row_index")
+    found = storage.latest(stored.orderBy(F.desc("row_index")), ["parent_job_id"], ["batch_number"], ["file_path", "row_index"])
+    assert {r["parent_job_id"]: r["processed_count"] for r in found.collect()} == first
