@@ -136,23 +136,56 @@ def _cliques(nodes: list, distance: dict) -> list[list]:
     return [sorted(g) for g in groups]
 
 
-def _stars(nodes: list, distance: dict) -> list[list]:
-    near: dict = {n: set() for n in nodes}
-    for a, b in distance:
-        near[a].add(b)
-        near[b].add(a)
-    taken, out = set(), []
-    for n in sorted(nodes):
-        if n in taken:
+def _links(one, two, distance):
+    """``nodes, start, near, apart``: of node number ``i``, the neighbours' numbers, sorted, and their distances at ``start[i]:start[i + 1]``.
+
+    Numbers follow the ids; of pairs that repeat, the smallest distance counts.
+    """
+    import numpy as np
+
+    nodes, at = np.unique(np.concatenate([one, two]), return_inverse=True)
+    i, j = at[: len(one)].astype(np.int32), at[len(one) :].astype(np.int32)
+    src, near, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([distance, distance])
+    order = np.lexsort((apart, near, src))
+    src, near, apart = src[order], near[order], apart[order]
+    first = src != near
+    first[1:] &= (src[1:] != src[:-1]) | (near[1:] != near[:-1])
+    src, near, apart = src[first], near[first], apart[first]
+    return nodes, np.searchsorted(src, np.arange(len(nodes) + 1)), near, apart
+
+
+def _stars(start, near, apart) -> list:
+    import numpy as np
+
+    taken, out = np.zeros(len(start) - 1, bool), []
+    for n in range(len(taken)):
+        if taken[n]:
             continue
-        group = [n, *sorted(m for m in near[n] if m not in taken and m > n)]
-        if len(group) > 1:
-            taken.update(group)
-            out.append(group)
+        others = near[start[n] : start[n + 1]]
+        others = others[(others > n) & ~taken[others]]
+        if len(others):
+            taken[others] = True
+            out.append(np.append(n, others))
     return out
 
 
-STRATEGIES = {"constrained": _constrained, "clique": _cliques, "star": _stars}
+def _by_pairs(group):
+    """A grouping of nodes and a dictionary of distances as one of links."""
+
+    def run(start, near, apart, *args):
+        import numpy as np
+
+        src = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        up = src < near
+        return [np.array(g) for g in group(list(range(len(start) - 1)), dict(zip(zip(src[up].tolist(), near[up].tolist(), strict=True), apart[up].tolist(), strict=True)), *args)]
+
+    return run
+
+
+STRATEGIES = {"constrained": _by_pairs(_constrained), "clique": _by_pairs(_cliques), "star": _stars}
+
+#: Components share a task up to about so many pairs.
+PAIRS_A_TASK = 100_000
 
 
 def grouped(pairs: DataFrame, strategy: str = "constrained", limit: int = 20, diameter: int = 8, window: int = 3) -> DataFrame:
@@ -161,26 +194,34 @@ def grouped(pairs: DataFrame, strategy: str = "constrained", limit: int = 20, di
     ``constrained``: seeds of highest degree take near images that are near to all members.
     ``clique``: pairs by distance join the first group they are complete with; groups may overlap.
     ``star``: images in order of id absorb their neighbours. ``transitive`` and ``pair`` need no
-    Python: :func:`components` and the pairs themselves.
+    Python: :func:`components` and the pairs themselves. Components are dealt to tasks that hold the
+    links of theirs as arrays; one component is one task's. Pairs are written once, as their plan may be long.
     """
     if strategy == "transitive":
         return components(pairs).select(F.col("component").alias("group_id"), F.col("node").alias("image_id"))
     if strategy == "pair":
         return pairs.select(F.monotonically_increasing_id().alias("group_id"), F.explode(F.array("image_1", "image_2")).alias("image_id"))
-    comp = components(pairs)
-    tagged = pairs.select("image_1", "image_2", "distance").join(comp, F.col("image_1") == comp["node"]).select("component", "image_1", "image_2", "distance")
+    pairs = checkpointed(pairs.select(F.col("image_1").cast("long").alias("image_1"), F.col("image_2").cast("long").alias("image_2"), "distance"))
+    tasks = pairs.count() // PAIRS_A_TASK + 1
+    task = F.pmod(F.xxhash64("component"), F.lit(tasks)).alias("task")
+    tagged = pairs.join(components(pairs), F.col("image_1") == F.col("node")).select(task, "component", "image_1", "image_2", "distance")
 
     def run(pdf):
+        import numpy as np
         import pandas as pd
 
-        distance = {(a, b): d for a, b, d in zip(pdf["image_1"], pdf["image_2"], pdf["distance"], strict=True)}
-        nodes = sorted(set(pdf["image_1"]) | set(pdf["image_2"]))
         args = (limit, diameter, window) if strategy == "constrained" else ()
-        found = STRATEGIES[strategy](nodes, distance, *args)
-        rows = [(g[0], i, m) for g in found for i, m in enumerate(g)]
-        return pd.DataFrame(rows, columns=["group_id", "position", "image_id"]).astype("int64")
-
-    return tagged.groupBy("component").applyInPandas(run, "group_id long, position long, image_id long")
+        parts = [pdf] if strategy == "star" else [p for _, p in pdf.groupby("component")]
+        found = []
+        for p in parts:
+            nodes, *links = _links(p["image_1"].to_numpy(), p["image_2"].to_numpy(), p["distance"].to_numpy())
+            found += [nodes[g] for g in STRATEGIES[strategy](*links, *args)]
+        if not found:
+            return pd.DataFrame({"group_id": [], "position": [], "image_id": []}, dtype="int64")
+        n = [len(g) for g in found]
+        return pd.DataFrame({"group_id": np.repeat([g[0] for g in found], n), "position": np.concatenate([np.arange(k) for k in n]), "image_id": np.concatenate(found)})
+
+    return tagged.groupBy("task").applyInPandas(run, "group_id long, position long, image_id long")
 
 
 def complete_cliques(members: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -115,6 +115,29 @@ def test_stars_absorb_in_order(spark):
     assert groups(duplicates.grouped(pairs(spark, (1, 2, 1), (2, 3, 1), (3, 4, 1), (5, 6, 1)), "star")) == [[1, 2], [3, 4], [5, 6]]
 
 
+def test_small_components_share_tasks(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "PAIRS_A_TASK", 100)
+    e = [(9 * k + i, 9 * k + i + 1, 1) for k in range(200) for i in range(3)]
+    df = duplicates.grouped(pairs(spark, *e), "star")
+    assert groups(df) == sorted([9 * k + i, 9 * k + i + 1] for k in range(200) for i in (0, 2))
+    joined = pairs(spark, *e, *[(b, a, d) for a, b, d in e])
+    assert groups(duplicates.grouped(joined, "star")) == groups(df)
+    node = df._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandas [task" in node
+
+
+def test_dense_stars_by_brute_force(spark):
+    rng = random.Random(8)
+    e = [(a, b, rng.randrange(6)) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.3]
+    near = {n: {b for a, b, _ in e if a == n} for n in range(60)}
+    taken, want = set(), []
+    for n in range(60):
+        if n not in taken and near[n] - taken:
+            want.append(sorted({n} | near[n] - taken))
+            taken |= near[n]
+    assert groups(duplicates.grouped(pairs(spark, *e), "star")) == want
+
+
 @pytest.mark.parametrize("mode", ["any", "all"])
 def test_bands_are_never_broadcast(spark, mode):
     h = spark.range(500).select(F.col("id").alias("image_id"), F.xxhash64("id").alias("ahash"), F.xxhash64("id", F.lit(1)).alias("dhash"))
