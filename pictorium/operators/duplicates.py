@@ -90,39 +90,6 @@ def segments(pairs: DataFrame, gap: int = 2) -> DataFrame:
     return pairs.join(F.broadcast(numbered), pairs["distance"] == numbered["d"]).drop("d")  # one row for each of at most 65 distances
 
 
-def _constrained(nodes: list, distance: dict, limit: int, diameter: int, window: int) -> list[list]:
-    near: dict = {n: {} for n in nodes}
-    for (a, b), d in distance.items():
-        near[a][b] = near[b][a] = d
-    left, out = set(nodes), []
-    degree = {n: len(near[n]) for n in nodes}
-    heap = [(-degree[n], n) for n in nodes]
-    heapify(heap)
-
-    def take(n):
-        left.discard(n)
-        for o in near[n]:
-            if o in left:
-                degree[o] -= 1
-                heappush(heap, (-degree[o], o))
-
-    while left:
-        d, seed = heappop(heap)
-        if seed not in left or degree[seed] != -d:
-            continue  # an entry from before a neighbour was taken
-        take(seed)
-        group = [seed]
-        for d, n in sorted((d, n) for n, d in near[seed].items() if n in left and d <= window):
-            if len(group) >= limit:
-                break
-            if all(near[n].get(m, 999) <= diameter for m in group):
-                group.append(n)
-                take(n)
-        if len(group) > 1:
-            out.append(group)
-    return out
-
-
 def _cliques(nodes: list, distance: dict) -> list[list]:
     joined = {frozenset(p) for p in distance}
     groups: list[set] = []
@@ -169,6 +136,41 @@ def _stars(start, near, apart) -> list:
     return out
 
 
+def _constrained(start, near, apart, limit: int, diameter: int, window: int) -> list:
+    import numpy as np
+
+    n = len(start) - 1
+    degree, left, met, out = np.diff(start), np.ones(n, bool), np.zeros(n, np.int32), []
+    heap = [(-k, i) for i, k in enumerate(degree.tolist())]
+    heapify(heap)
+    while heap:
+        k, seed = heappop(heap)
+        if not left[seed]:
+            continue
+        if degree[seed] != -k:  # neighbours were taken since: its place is further back
+            heappush(heap, (-int(degree[seed]), seed))
+            continue
+        others, d = near[start[seed] : start[seed + 1]], apart[start[seed] : start[seed + 1]]
+        pick = left[others] & (d <= window)
+        others = others[pick][np.argsort(d[pick], kind="stable")]
+        group, new = [], seed
+        while True:
+            rows = slice(start[new], start[new + 1])
+            group.append(int(new))
+            left[new] = False
+            degree[near[rows]] -= 1
+            met[near[rows][apart[rows] <= diameter]] += 1
+            others = others[met[others] == len(group)]  # near to all members
+            if len(group) >= limit or not len(others):
+                break
+            new, others = others[0], others[1:]
+        for m in group:
+            met[near[start[m] : start[m + 1]]] = 0
+        if len(group) > 1:
+            out.append(np.array(group))
+    return out
+
+
 def _by_pairs(group):
     """A grouping of nodes and a dictionary of distances as one of links."""
 
@@ -182,7 +184,7 @@ def _by_pairs(group):
     return run
 
 
-STRATEGIES = {"constrained": _by_pairs(_constrained), "clique": _by_pairs(_cliques), "star": _stars}
+STRATEGIES = {"constrained": _constrained, "clique": _by_pairs(_cliques), "star": _stars}
 
 #: Components share a task up to about so many pairs.
 PAIRS_A_TASK = 100_000
@@ -211,7 +213,7 @@ def grouped(pairs: DataFrame, strategy: str = "constrained", limit: int = 20, di
         import pandas as pd
 
         args = (limit, diameter, window) if strategy == "constrained" else ()
-        parts = [pdf] if strategy == "star" else [p for _, p in pdf.groupby("component")]
+        parts = [pdf] if strategy in ("star", "constrained") else [p for _, p in pdf.groupby("component")]
         found = []
         for p in parts:
             nodes, *links = _links(p["image_1"].to_numpy(), p["image_2"].to_numpy(), p["distance"].to_numpy())
