@@ -90,19 +90,6 @@ def segments(pairs: DataFrame, gap: int = 2) -> DataFrame:
     return pairs.join(F.broadcast(numbered), pairs["distance"] == numbered["d"]).drop("d")  # one row for each of at most 65 distances
 
 
-def _cliques(nodes: list, distance: dict) -> list[list]:
-    joined = {frozenset(p) for p in distance}
-    groups: list[set] = []
-    for (a, b), _ in sorted(distance.items(), key=lambda x: (x[1], x[0])):
-        for g in groups:
-            if all(x in g or all(m == x or frozenset((x, m)) in joined for m in g) for x in (a, b)):
-                g |= {a, b}
-                break
-        else:
-            groups.append({a, b})
-    return [sorted(g) for g in groups]
-
-
 def _links(one, two, distance):
     """``nodes, start, near, apart``: of node number ``i``, the neighbours' numbers, sorted, and their distances at ``start[i]:start[i + 1]``.
 
@@ -171,20 +158,90 @@ def _constrained(start, near, apart, limit: int, diameter: int, window: int) ->
     return out
 
 
-def _by_pairs(group):
-    """A grouping of nodes and a dictionary of distances as one of links."""
+class _Bits:
+    """Which groups a node fits, as a row of bits; ``first`` is the first that two nodes fit, or -1."""
 
-    def run(start, near, apart, *args):
+    def __init__(self, nodes: int):
         import numpy as np
 
-        src = np.repeat(np.arange(len(start) - 1), np.diff(start))
-        up = src < near
-        return [np.array(g) for g in group(list(range(len(start) - 1)), dict(zip(zip(src[up].tolist(), near[up].tolist(), strict=True), apart[up].tolist(), strict=True)), *args)]
+        self.np, self.rows, self.words = np, np.zeros((nodes, 1), np.uint64), 0
+
+    def add(self, g: int, nodes) -> None:
+        self.words = g // 64 + 1
+        if self.words > self.rows.shape[1]:
+            self.rows = self.np.hstack([self.rows, self.np.zeros_like(self.rows)])
+        self.rows[nodes, g // 64] |= self.np.uint64(1 << g % 64)
+
+    def drop(self, g: int, nodes) -> None:
+        self.rows[nodes, g // 64] &= ~self.np.uint64(1 << g % 64)
+
+    def first(self, a: int, b: int) -> int:
+        low = 0
+        while low < self.words:
+            high = min(4 * low + 64, self.words)
+            both = self.rows[a, low:high] & self.rows[b, low:high]
+            k = int((both != 0).argmax())
+            if word := int(both[k]):
+                return 64 * (low + k) + (word & -word).bit_length() - 1
+            low = high
+        return -1
+
+
+class _Sets:
+    """As :class:`_Bits`, for components of many nodes, each of which fits few of the groups."""
+
+    def __init__(self, nodes: int):
+        self.rows: list[set] = [set() for _ in range(nodes)]
 
-    return run
+    def add(self, g: int, nodes) -> None:
+        for n in nodes.tolist():
+            self.rows[n].add(g)
 
+    def drop(self, g: int, nodes) -> None:
+        for n in nodes.tolist():
+            self.rows[n].discard(g)
 
-STRATEGIES = {"constrained": _constrained, "clique": _by_pairs(_cliques), "star": _stars}
+    def first(self, a: int, b: int) -> int:
+        return min(self.rows[a] & self.rows[b], default=-1)
+
+
+#: Components of up to so many nodes take a bit for each node and group.
+BITS_BELOW = 1 << 14
+
+
+def _cliques(start, near, apart) -> list:
+    """A group keeps the nodes that are linked to all its members, which are all that it can still take."""
+    import numpy as np
+
+    n = len(start) - 1
+    src = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
+    up = src < near
+    order = np.argsort(apart[up], kind="stable")
+    linked, fitting = np.zeros(n, bool), (_Bits if n <= BITS_BELOW else _Sets)(n)
+    groups, fits = [], []
+    for a, b in zip(src[up][order].tolist(), near[up][order].tolist(), strict=True):
+        g = fitting.first(a, b)
+        if g < 0:
+            one, two = near[start[a] : start[a + 1]], near[start[b] : start[b + 1]]
+            linked[one] = True
+            fits.append(np.append(two[linked[two]], (a, b)))
+            linked[one] = False
+            fitting.add(len(groups), fits[-1])
+            groups.append({a, b})
+            continue
+        for x in (a, b):
+            if x not in groups[g]:
+                groups[g].add(x)
+                mine = np.append(near[start[x] : start[x + 1]], x)
+                linked[mine] = True
+                stay = linked[fits[g]]
+                linked[mine] = False
+                fitting.drop(g, fits[g][~stay])
+                fits[g] = fits[g][stay]
+    return [np.array(sorted(g)) for g in groups]
+
+
+STRATEGIES = {"constrained": _constrained, "clique": _cliques, "star": _stars}
 
 #: Components share a task up to about so many pairs.
 PAIRS_A_TASK = 100_000

@@ -315,6 +315,29 @@ def test_cliques_by_brute_force(spark):
     assert sorted(r["image_id"] for r in found) == sorted(x for g in want for x in g)
 
 
+@pytest.mark.parametrize("bits_below", [1 << 14, 0])
+def test_cliques_of_many_groups(monkeypatch, bits_below):
+    """Groups in the order of the old scan over all of them; a chain of 20,000 makes 20,000 groups within seconds."""
+    import numpy as np
+
+    monkeypatch.setattr(duplicates, "BITS_BELOW", bits_below)
+    rnd = random.Random(7)
+    e = {(a, b): rnd.randrange(3) for a in range(70) for b in range(a + 1, 70) if rnd.random() < 0.4}
+    want = []
+    for (a, b), _ in sorted(e.items(), key=lambda x: (x[1], x[0])):
+        for g in want:
+            if all(x == m or (min(x, m), max(x, m)) in e for x in (a, b) for m in g):
+                g.update((a, b))
+                break
+        else:
+            want.append({a, b})
+    one, two, d = (np.array(x) for x in zip(*((a, b, d) for (a, b), d in e.items()), strict=True))
+    found = duplicates._cliques(*duplicates._links(one, two, d)[1:])
+    assert len(want) > 64 and [g.tolist() for g in found] == [sorted(g) for g in want]
+    one = np.arange(20_000 if bits_below == 0 else 2_000)
+    assert len(duplicates._cliques(*duplicates._links(one, one + 1, one % 3)[1:])) == len(one)
+
+
 def test_monitor_of_expected_jobs(spark):
     j = spark.createDataFrame([("SUCCESS", 2), ("FAILURE", 2), ("SUCCESS", 1)], "status string, updated_at long")
     assert tuple(jobs.monitor(j, F.lit(2), 8).first()) == (1, 1, 6, 12)
