@@ -4,8 +4,10 @@ import hashlib
 import random
 
 import pytest
+from conftest import DATA
 from pyspark.sql import functions as F
 
+from pictorium import plans
 from pictorium.functions import dates, quality, text
 from pictorium.operators import bursts, duplicates, images, jobs, ordered, tags, vectors
 from pictorium.sources import storage
@@ -157,6 +159,28 @@ def test_bands_are_never_broadcast(spark, mode):
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
+#: Queries that failed at 1 GB as bands were broadcast.
+BAND_QUERIES = [
+    "j11_pairs_all",
+]
+
+
+@pytest.mark.parametrize("name", BAND_QUERIES)
+def test_query_broadcasts_no_bands(spark, monkeypatch, name):
+    made, plans_of = duplicates.similar_pairs, []
+
+    def spied(*args):
+        df = made(*args)
+        plans_of.append(df._jdf.queryExecution().executedPlan().toString())
+        raise InterruptedError  # the plan is all that is asked
+
+    monkeypatch.setattr(duplicates, "similar_pairs", spied)
+    with pytest.raises(InterruptedError):
+        plans.queries()[name](spark, f"{DATA}/sf0.001")
+    joins = [x for x in plans_of[0].splitlines() if "Join" in x and "bits" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
+
+
 def test_similar_pairs_by_brute_force(spark):
     rng = random.Random(9)
     base = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(12)]
