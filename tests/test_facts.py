@@ -162,6 +162,7 @@ def test_bands_are_never_broadcast(spark, mode):
 #: Queries that failed at 1 GB as bands were broadcast.
 BAND_QUERIES = [
     "j11_pairs_all",
+    "j12_nearest",
 ]
 
 
