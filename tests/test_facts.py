@@ -163,6 +163,7 @@ def test_bands_are_never_broadcast(spark, mode):
 BAND_QUERIES = [
     "j11_pairs_all",
     "j12_nearest",
+    "j16_inside_groups",
 ]
 
 
