@@ -164,6 +164,7 @@ BAND_QUERIES = [
     "j11_pairs_all",
     "j12_nearest",
     "j16_inside_groups",
+    "j17_enrich",
 ]
 
 
