@@ -165,6 +165,7 @@ BAND_QUERIES = [
     "j12_nearest",
     "j16_inside_groups",
     "j17_enrich",
+    "d11_metrics",
 ]
 
 
