@@ -166,6 +166,7 @@ BAND_QUERIES = [
     "j16_inside_groups",
     "j17_enrich",
     "d11_metrics",
+    "d14_compared",
 ]
 
 
