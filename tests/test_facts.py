@@ -167,6 +167,7 @@ BAND_QUERIES = [
     "j17_enrich",
     "d11_metrics",
     "d14_compared",
+    "d15_job",
 ]
 
 
