@@ -168,6 +168,7 @@ BAND_QUERIES = [
     "d11_metrics",
     "d14_compared",
     "d15_job",
+    "s35_migrate_pairs",
 ]
 
 
