@@ -169,6 +169,7 @@ BAND_QUERIES = [
     "d14_compared",
     "d15_job",
     "s35_migrate_pairs",
+    "s19_replace_groups",
 ]
 
 
