@@ -170,6 +170,7 @@ BAND_QUERIES = [
     "d15_job",
     "s35_migrate_pairs",
     "s19_replace_groups",
+    "w07_segments",
 ]
 
 
