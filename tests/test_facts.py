@@ -171,6 +171,7 @@ BAND_QUERIES = [
     "s35_migrate_pairs",
     "s19_replace_groups",
     "w07_segments",
+    "x07_any_all",
 ]
 
 
