@@ -172,6 +172,7 @@ BAND_QUERIES = [
     "s19_replace_groups",
     "w07_segments",
     "x07_any_all",
+    "x08_best",
 ]
 
 
