@@ -173,6 +173,7 @@ BAND_QUERIES = [
     "w07_segments",
     "x07_any_all",
     "x08_best",
+    "x42_pair_key",
 ]
 
 
