@@ -174,6 +174,7 @@ BAND_QUERIES = [
     "x07_any_all",
     "x08_best",
     "x42_pair_key",
+    "x43_confidence",
 ]
 
 
