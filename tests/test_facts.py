@@ -175,6 +175,7 @@ BAND_QUERIES = [
     "x08_best",
     "x42_pair_key",
     "x43_confidence",
+    "d01_components",
 ]
 
 
