@@ -176,6 +176,7 @@ BAND_QUERIES = [
     "x42_pair_key",
     "x43_confidence",
     "d01_components",
+    "d02_segment_components",
 ]
 
 
