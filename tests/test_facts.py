@@ -177,6 +177,7 @@ BAND_QUERIES = [
     "x43_confidence",
     "d01_components",
     "d02_segment_components",
+    "d07_complete",
 ]
 
 
