@@ -178,6 +178,7 @@ BAND_QUERIES = [
     "d01_components",
     "d02_segment_components",
     "d07_complete",
+    "d08_transitive",
 ]
 
 
