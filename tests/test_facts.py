@@ -179,6 +179,7 @@ BAND_QUERIES = [
     "d02_segment_components",
     "d07_complete",
     "d08_transitive",
+    "d13_consensus",
 ]
 
 
