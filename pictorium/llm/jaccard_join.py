@@ -400,7 +400,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2"))
     one = member.groupBy("comp").agg(chosen.alias("one")).select(F.col("one.doc_id").alias("one_id"), F.col("one.t1").alias("one_t1"), F.col("one.t2").alias("one_t2"))
     same = lambda r: r["doc_id"].eqNullSafe(F.col("one_id")) & (r["t1"] == F.col("one_t1")) & (r["t2"] == F.col("one_t2"))
-    marked = member.join(one, same(member), "left")
+    marked = durable(member.join(one, same(member), "left").select("doc_id", "t1", "t2", "one_id", "one_t1", "one_t2"), "marked")
     dropped = durable(marked.where("one_t1 is null").select(F.col("doc_id").alias("one_id"), F.col("t1").alias("one_t1"), F.col("t2").alias("one_t2")).distinct(), "dropped")
     more = durable(marked.where("one_t1 is not null").groupBy("one_id", "one_t1", "one_t2").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "repeated")
     text = F.col("text").cast("string")

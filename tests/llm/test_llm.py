@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pictorium.llm import chat, embedding_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, token_binary, token_counts, toxicity
+from pictorium.llm import chat, common, embedding_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, token_binary, token_counts, toxicity
 from pictorium.llm.common import connected_components
 from pictorium.llm.entry import tokenizer_file
 from pictorium.llm.suffix_sort import repeated_windows, suffix_array, words_at
@@ -42,6 +42,20 @@ def test_components(spark):
     assert {(r["node"], r["component"]) for r in connected_components(e).collect()} == {(1, 1), (2, 1), (3, 1), (9, 8), (8, 8), (5, 5)}
 
 
+def test_components_of_few_edges_are_one_task(spark, monkeypatch):
+    rng = random.Random(5)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(7, None), (2000, 2000), (-3, 5)]
+    e = spark.createDataFrame(edges, "u long, v long")
+    few = connected_components(e)
+    assert "Exchange" not in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(common, "EDGES_A_TASK", 0)
+    many = connected_components(e)
+    assert "Exchange" in many._jdf.queryExecution().executedPlan().toString()
+    assert few.dtypes == many.dtypes
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert connected_components(e.limit(0)).count() == 0
+
+
 def test_segments_are_maximal():
     def brute(s, lo, hi):
         best = None
