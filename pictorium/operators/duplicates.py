@@ -24,7 +24,8 @@ def similar_pairs(hashes: DataFrame, threshold: int, mode: str = "any") -> DataF
     Images with equal hashes are one key, and only keys meet; pairs of images are made at the end.
     Hashes within the threshold share two of ``threshold + 2`` bands, so an equi-join on pairs of
     bands finds every pair without comparing all. Hashes are written once, as their plan may be long.
-    The join is a merge join: Spark sizes exploded rows as if each key had one, and would broadcast them.
+    Joins are merge joins: Spark sizes exploded rows as if each key had one, and keys and images by
+    their compressed files, and would broadcast them.
     """
     h = checkpointed(hashes.select("image_id", "ahash", "dhash"))
     keys = checkpointed(h.groupBy("ahash", "dhash").agg(F.min("image_id").alias("key"), F.count("*").alias("n")))
@@ -42,12 +43,12 @@ def similar_pairs(hashes: DataFrame, threshold: int, mode: str = "any") -> DataF
     if keys.where("n > 1").isEmpty():
         out = out.select(F.col("key_1").alias("image_1"), F.col("key_2").alias("image_2"), "a_distance", "d_distance")
     else:
-        of = checkpointed(h.join(keys, h["ahash"].eqNullSafe(keys["ahash"]) & h["dhash"].eqNullSafe(keys["dhash"])).select("key", "n", "image_id", h["ahash"], h["dhash"]))
+        of = checkpointed(h.hint("merge").join(keys, h["ahash"].eqNullSafe(keys["ahash"]) & h["dhash"].eqNullSafe(keys["dhash"])).select("key", "n", "image_id", h["ahash"], h["dhash"]))
         one, two = of.select(F.col("key").alias("key_1"), F.col("image_id").alias("a")), of.select(F.col("key").alias("key_2"), F.col("image_id").alias("b"))
-        apart = out.join(one, "key_1").join(two, "key_2").select("a", "b", "a_distance", "d_distance")
+        apart = out.hint("merge").join(one, "key_1").hint("merge").join(two, "key_2").select("a", "b", "a_distance", "d_distance")
         same = of.where("n > 1 and (ahash is not null or dhash is not null)")
         zero = lambda c: hashing.hamming(F.col(c), F.col(c)).alias(f"{c[0]}_distance")
-        equal = same.select(F.col("key").alias("key_1"), F.col("image_id").alias("a"), zero("ahash"), zero("dhash")).join(two, F.col("key_1") == F.col("key_2")).where("a < b").select("a", "b", "a_distance", "d_distance")
+        equal = same.select(F.col("key").alias("key_1"), F.col("image_id").alias("a"), zero("ahash"), zero("dhash")).hint("merge").join(two, F.col("key_1") == F.col("key_2")).where("a < b").select("a", "b", "a_distance", "d_distance")
         out = apart.unionByName(equal).select(F.least("a", "b").alias("image_1"), F.greatest("a", "b").alias("image_2"), "a_distance", "d_distance")
     return out.where((F.col("a_distance") <= threshold) & (F.col("d_distance") <= threshold)) if mode == "all" else out
 
@@ -63,18 +64,20 @@ def nearest(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def components(edges: DataFrame, u: str = "image_1", v: str = "image_2") -> DataFrame:
-    """``node, component``: smallest node reachable, by label propagation with pointer jumping until nothing changes."""
+    """``node, component``: smallest node reachable, by label propagation with pointer jumping until nothing changes.
+
+    Joins are merge joins: labels are as many as nodes, and Spark would broadcast them while their files are small.
+    """
     e = edges.select(F.col(u).alias("u"), F.col(v).alias("v"))
     both = checkpointed(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     label = checkpointed(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("c")).select(F.col("u").alias("node"), "c"))
     while True:
-        low = both.join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("c").alias("m"))
-        new = label.join(low, label["node"] == low["u"]).select("node", F.least("c", "m").alias("c"))
+        low = both.hint("merge").join(label, both["v"] == label["node"]).groupBy("u").agg(F.min("c").alias("m"))
+        new = label.hint("merge").join(low, label["node"] == low["u"]).select("node", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         jump = new.select(F.col("node").alias("at"), F.col("c").alias("to"))
-        new = checkpointed(new.join(jump, new["c"] == jump["at"]).select("node", F.least("c", "to").alias("c")))
-        changed = new.join(label.withColumnRenamed("c", "old"), "node").where("c <> old").limit(1).count()
-        label = new
-        if not changed:
+        new = checkpointed(new.hint("merge").join(jump, new["c"] == jump["at"]).select("node", F.least("c", "to").alias("c"), "old"))
+        label = new.select("node", "c")
+        if new.where("c <> old").isEmpty():
             return label.select("node", F.col("c").alias("component"))
 
 

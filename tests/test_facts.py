@@ -199,6 +199,32 @@ def test_query_broadcasts_no_bands(spark, monkeypatch, name):
     assert joins and all("SortMergeJoin" in x for x in joins)
 
 
+def joins_of(monkeypatch, make) -> list[str]:
+    """The joins of what a query writes on its way and of what it returns, as Spark first plans them."""
+    written, found = duplicates.checkpointed, []
+
+    def spied(df):
+        found.extend(x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x)
+        return written(df)
+
+    monkeypatch.setattr(duplicates, "checkpointed", spied)
+    df = make()
+    return found + [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+
+
+#: Queries of components, whose labels and keys were broadcast; w07_segments still broadcasts its few distances.
+@pytest.mark.parametrize("name", ["d15_job", "w07_segments", "d01_components", "d02_segment_components", "d08_transitive"])
+def test_query_broadcasts_no_labels(spark, monkeypatch, name):
+    joins = joins_of(monkeypatch, lambda: plans.queries()[name](spark, f"{DATA}/sf0.001"))
+    assert len(joins) > 3 and all("SortMergeJoin" in x for x in joins if "distance" not in x.split("]")[0])
+
+
+def test_equal_hashes_are_not_broadcast(spark, monkeypatch):
+    h = spark.range(300).select(F.col("id").alias("image_id"), F.xxhash64(F.col("id") % 100).alias("ahash"), F.xxhash64(F.col("id") % 100, F.lit(1)).alias("dhash"))
+    joins = joins_of(monkeypatch, lambda: duplicates.similar_pairs(h, 5))
+    assert len(joins) == 6 and all("SortMergeJoin" in x for x in joins)
+
+
 def test_similar_pairs_by_brute_force(spark):
     rng = random.Random(9)
     base = [(rng.getrandbits(64) - (1 << 63), rng.getrandbits(64) - (1 << 63)) for _ in range(12)]
