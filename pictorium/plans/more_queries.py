@@ -30,7 +30,7 @@ add("s28_previews", lambda v: v.images.where((F.col("file_type") == "image") & t
 add("s29_json_round_trip", lambda v: S.deserialised(S.serialised(v.images, "id", ["width", "height", "camera_make"]), "id", "width long, height long, camera_make string"), "select id, width, height, camera_make from images")
 add("s30_catalogs", lambda v: S.catalogs(v.images.where("catalog_id <> 1")), "select catalog_id, count(*) as n from images where catalog_id <> 1 group by 1")
 add("s32_snapshot", lambda v: I.snapshot(v.images, "scan").unionByName(I.snapshot(v.images.where("file_type = 'image'"), "images")), "select count(*) as n, sum(size_bytes)::bigint as bytes, 'scan' as phase from images union all select count(*), sum(size_bytes)::bigint, 'images' from images where file_type = 'image'")
-add("s35_migrate_pairs", lambda v: v.pairs.join(v.jobs, F.col("image_1") == F.col("job_id")).select(F.greatest("image_1", "image_2").alias("hi"), F.least("image_1", "image_2").alias("lo"), "job_type"), "select greatest(image_1, image_2) as hi, least(image_1, image_2) as lo, job_type from pairs join jobs on image_1 = job_id")
+add("s35_migrate_pairs", lambda v: v.pairs.hint("merge").join(v.jobs, F.col("image_1") == F.col("job_id")).select(F.greatest("image_1", "image_2").alias("hi"), F.least("image_1", "image_2").alias("lo"), "job_type"), "select greatest(image_1, image_2) as hi, least(image_1, image_2) as lo, job_type from pairs join jobs on image_1 = job_id")
 add("s36_backfill", lambda v: v.images.select("id", S.first_directory(F.col("lens_model"), F.array("camera_make", "camera_model")).alias("d")), "select id, coalesce(lens_model, [camera_make, camera_model][1], '-') as d from images")
 
 # filters, joins, sorts

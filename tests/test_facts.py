@@ -219,6 +219,12 @@ def test_query_broadcasts_no_labels(spark, monkeypatch, name):
     assert len(joins) > 3 and all("SortMergeJoin" in x for x in joins if "distance" not in x.split("]")[0])
 
 
+@pytest.mark.parametrize("name", ["s35_migrate_pairs"])
+def test_query_broadcasts_nothing(spark, monkeypatch, name):
+    joins = joins_of(monkeypatch, lambda: plans.queries()[name](spark, f"{DATA}/sf0.001"))
+    assert len(joins) > 3 and all("SortMergeJoin" in x for x in joins)
+
+
 def test_equal_hashes_are_not_broadcast(spark, monkeypatch):
     h = spark.range(300).select(F.col("id").alias("image_id"), F.xxhash64(F.col("id") % 100).alias("ahash"), F.xxhash64(F.col("id") % 100, F.lit(1)).alias("dhash"))
     joins = joins_of(monkeypatch, lambda: duplicates.similar_pairs(h, 5))
