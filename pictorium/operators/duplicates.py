@@ -287,11 +287,11 @@ def grouped(pairs: DataFrame, strategy: str = "constrained", limit: int = 20, di
 
 
 def complete_cliques(members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``group_id, complete``: whether a group has all its n (n - 1) / 2 pairs."""
+    """``group_id, complete``: whether a group has all its n (n - 1) / 2 pairs. Members may be many: joins are merge joins."""
     a, b = members.alias("a"), members.alias("b")
-    inside = pairs.join(a, F.col("image_1") == F.col("a.image_id")).join(b, (F.col("image_2") == F.col("b.image_id")) & (F.col("a.group_id") == F.col("b.group_id"))).groupBy(F.col("a.group_id").alias("group_id")).agg(F.count("*").alias("edges"))
+    inside = pairs.hint("merge").join(a, F.col("image_1") == F.col("a.image_id")).hint("merge").join(b, (F.col("image_2") == F.col("b.image_id")) & (F.col("a.group_id") == F.col("b.group_id"))).groupBy(F.col("a.group_id").alias("group_id")).agg(F.count("*").alias("edges"))
     n = members.groupBy("group_id").agg(F.count("*").alias("n"))
-    return n.join(inside, "group_id", "left").select("group_id", (F.coalesce("edges", F.lit(0)) == F.col("n") * (F.col("n") - 1) / 2).alias("complete"))
+    return n.hint("merge").join(inside, "group_id", "left").select("group_id", (F.coalesce("edges", F.lit(0)) == F.col("n") * (F.col("n") - 1) / 2).alias("complete"))
 
 
 def as_percent(confidence: Column) -> Column:

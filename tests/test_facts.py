@@ -219,7 +219,7 @@ def test_query_broadcasts_no_labels(spark, monkeypatch, name):
     assert len(joins) > 3 and all("SortMergeJoin" in x for x in joins if "distance" not in x.split("]")[0])
 
 
-@pytest.mark.parametrize("name", ["s35_migrate_pairs"])
+@pytest.mark.parametrize("name", ["s35_migrate_pairs", "d07_complete"])
 def test_query_broadcasts_nothing(spark, monkeypatch, name):
     joins = joins_of(monkeypatch, lambda: plans.queries()[name](spark, f"{DATA}/sf0.001"))
     assert len(joins) > 3 and all("SortMergeJoin" in x for x in joins)
