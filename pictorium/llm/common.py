@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,22 +47,33 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 NO_MARKER = "mapreduce.fileoutputcommitter.marksuccessfuljobs"
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def durable(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return a reader of it."""
-    path = path or new_path(df.sparkSession, name)
-    # no _SUCCESS marker, which nothing reads: a local file system starts two processes to set its permissions
-    df.write.mode("overwrite").option("compression", "zstd").option(NO_MARKER, "false").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` as Parquet to the shared folder and return a reader of it.
+
+    What the write shuffled is deleted at its end, not when the driver happens to collect its garbage.
+    """
+    spark = df.sparkSession
+    path = path or new_path(spark, name)
+    before = spark.conf.get(SHUFFLES_GO, None)
+    spark.conf.set(SHUFFLES_GO, "true")
+    try:
+        # no _SUCCESS marker, which nothing reads: a local file system starts two processes to set its permissions
+        df.write.mode("overwrite").option("compression", "zstd").option(NO_MARKER, "false").parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLES_GO) if before is None else spark.conf.set(SHUFFLES_GO, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out.durable_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the table that :func:`durable` returned as ``df``; nothing may read it any more."""
-    if getattr(df, "durable_path", None):
-        remove(df.sparkSession, df.durable_path)
+def release(*tables: DataFrame) -> None:
+    """Delete the tables that :func:`durable` returned; nothing may read them any more."""
+    for df in tables:
+        if getattr(df, "durable_path", None):
+            remove(df.sparkSession, df.durable_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -140,6 +153,17 @@ def small(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
 
 
+def _screened(rows: DataFrame, keys: DataFrame, n: int, key: list[str], of: list[str], salt: int = 0) -> DataFrame:
+    """``rows`` with ``_found``: whether the hash of ``key`` is in a broadcast bitmap of those of the ``n`` rows of ``keys``."""
+    bits = min(MOST_BITS, 1 << (n * 16 - 1).bit_length())
+    place = lambda cols: F.xxhash64(*[F.lit(salt)] * bool(salt), *cols).bitwiseAND(F.lit(bits - 1).cast("long"))
+    at, bit = F.shiftright("_at", 15), F.col("_at").bitwiseAND(F.lit((1 << 15) - 1).cast("long"))
+    bitmap = keys.select(place(of).alias("_at")).groupBy(at.alias("_chunk")).agg(F.bitmap_construct_agg(bit).alias("_bitmap"))
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1, F.lit(False))
+    return rows.withColumn("_at", place(key)).withColumn("_chunk", at).join(F.broadcast(bitmap), "_chunk", "left").withColumn("_found", found).drop("_chunk", "_bitmap", "_at")
+
+
 def keyed_join(rows: DataFrame, keys: DataFrame, same: Column, how: str, key: list[str], of: list[str]) -> DataFrame:
     """``rows`` joined with a durable narrow table on ``same``, ``how``: ``inner``, ``left_semi`` or ``left_anti``.
 
@@ -151,17 +175,39 @@ def keyed_join(rows: DataFrame, keys: DataFrame, same: Column, how: str, key: li
     n = keys.count()
     if n <= BROADCAST_ROWS:
         return rows.join(F.broadcast(keys), same, how)
-    bits = min(MOST_BITS, 1 << (n * 16 - 1).bit_length())
-    place = lambda cols: F.xxhash64(*cols).bitwiseAND(F.lit(bits - 1).cast("long"))
-    at, bit = F.shiftright("_at", 15), F.col("_at").bitwiseAND(F.lit((1 << 15) - 1).cast("long"))
-    bitmap = keys.select(place(of).alias("_at")).groupBy(at.alias("_chunk")).agg(F.bitmap_construct_agg(bit).alias("_bitmap"))
-    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = F.coalesce(F.getbit(byte, bit.bitwiseAND(F.lit(7).cast("long")).cast("int")) == 1, F.lit(False))
-    screened = rows.withColumn("_at", place(key)).withColumn("_chunk", at).join(F.broadcast(bitmap), "_chunk", "left").withColumn("_found", found).drop("_chunk", "_bitmap", "_at")
+    screened = _screened(rows, keys, n, key, of)
     met = screened.where("_found").drop("_found").join(keys, same, how)
     return screened.where("not _found").drop("_found").unionByName(met) if how == "left_anti" else met
 
 
+def without(rows: DataFrame, every: DataFrame, gone: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` whose ``key`` is not in durable ``gone``, none of them shuffled; ``every`` has the keys of all ``rows``, nulls equal.
+
+    Up to BROADCAST_ROWS keys that go are broadcast. Beyond, a broadcast bitmap holds them; one of the
+    keys that stay but hit it tells these from them; one of those that go and hit that, and so on: each
+    table is a sixteenth of the one two before it, and the first of BROADCAST_ROWS at most is broadcast itself. As every key
+    of ``rows`` took part, the outcome is exact. Only keys are shuffled.
+    """
+    key_of = [f"_of_{c}" for c in key]
+    same = lambda left: reduce(and_, [left[c].eqNullSafe(F.col(o)) for c, o in zip(key, key_of, strict=True)])
+    named = lambda t: t.select(*[F.col(c).alias(o) for c, o in zip(key, key_of, strict=True)])
+    if (n := gone.count()) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(named(gone)), same(rows), "left_anti")
+    inside, outside, hits = gone.select(*key), every.select(*key).join(named(gone), same(every), "left_anti"), 0
+    rows = rows.withColumn("_hits", F.lit(0))
+    while True:
+        # only rows that hit all before can count: _hits is how many they hit in a row
+        rows = _screened(rows, inside, n, key, key, hits + 1).withColumn("_hits", F.col("_hits") + (F.col("_found") & (F.col("_hits") == hits)).cast("int")).drop("_found")
+        unsure = durable(_screened(outside, inside, n, key, key, hits + 1).where("_found").select(*key).distinct(), "unsure")
+        hits += 1
+        if (n := unsure.count()) <= BROADCAST_ROWS:
+            break
+        inside, outside = unsure, inside
+    last = F.broadcast(named(unsure).withColumn("_last", F.lit(True)))
+    rows = rows.join(last, same(rows), "left").withColumn("_hits", F.col("_hits") + (F.coalesce("_last", F.lit(False)) & (F.col("_hits") == hits)).cast("int"))
+    return rows.where("_hits % 2 = 0").drop("_hits", "_last", *key_of)
+
+
 def lookup_join(rows: DataFrame, small: DataFrame, keys: list[str], salt_by: str) -> DataFrame:
     """Inner join of ``rows`` with a durable table that has one row for each key, safe for hot keys.
 

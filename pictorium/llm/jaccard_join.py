@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, durable, keyed_join
+from .common import connected_components, durable, keyed_join, release, without
 from .shingles import mix, shingle_sets
 
 SLOTS_A_DOCUMENT = 64
@@ -228,13 +228,13 @@ def across(rows: DataFrame, key: str, id_: str, labels: DataFrame, most: Column,
     return rows.withColumn("b", F.explode(pair)).select(key, "b.i", "b.j", "label", *cols)
 
 
-def boxes(classes: DataFrame) -> DataFrame:
-    """``n, p, gid, prefix, low, high`` of every group of ``classes``: the least and the largest count of its members in each bin."""
+def boxes(classes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """``n, p, gid, prefix, low, high`` of every group of ``classes``: the least and the largest count of its members in each bin. Then the tables that hold them."""
     plain = classes.groupBy("n", "p").agg(F.min("cid").alias("gid"), F.min(F.struct("cid", "prefix"))["prefix"].alias("prefix"), F.min("bins").alias("low"), F.max("bins").alias("high"))
     plain = durable(plain, "groups")
     mixed = plain.where("low <> high").select("n", "p")
     if mixed.isEmpty():
-        return plain
+        return plain, [plain]
 
     def fold(batches):
         import pyarrow as pa
@@ -265,7 +265,8 @@ def boxes(classes: DataFrame) -> DataFrame:
     both = members.mapInArrow(fold, ddl).repartition("n", "p").sortWithinPartitions("n", "p").mapInArrow(fold, ddl)
     both = both.select("n", "p", F.struct("low", "high").alias("box"))
     wide = plain.where("low <> high").drop("low", "high").join(both, ["n", "p"]).select("n", "p", "gid", "prefix", "box.low", "box.high")
-    return plain.where("low = high").unionByName(durable(wide, "boxes"))
+    wide = durable(wide, "boxes")
+    return plain.where("low = high").unionByName(wide), [plain, wide]
 
 
 def _keyed(batches, cols: list[str], keys: int):
@@ -322,7 +323,9 @@ def tied(groups: DataFrame, num: int, den: int) -> DataFrame:
     if large.isEmpty():
         return found
     rows = durable(met(large).select("shingle", *cols), "met")
-    return found.unionByName(ties(across(rows, "shingle", "gid", durable(connected_components(found), "tied"), F.lit(MEETING), cols)))
+    more = durable(ties(across(rows, "shingle", "gid", durable(connected_components(found), "tied"), F.lit(MEETING), cols)), "ties")
+    release(rows)
+    return found.unionByName(more)
 
 
 def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -331,18 +334,20 @@ def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -
     blocks = F.greatest(F.ceil(F.col("classes") / BLOCK_CLASSES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     cand = durable(candidates.join(size.select("comp", blocks.alias("blocks"), F.ceil(F.col("classes") / blocks).alias("most")), "comp"), "candidates")
 
-    def with_sets(rows: DataFrame) -> DataFrame:
-        def sets(batches):
-            import pyarrow as pa
+    r = cand.withColumnsRenamed({c: f"rep_{c}" for c in ("doc_id", "t1", "t2")})
+    same = (docs["t1"] == r["rep_t1"]) & (docs["t2"] == r["rep_t2"]) & docs["doc_id"].eqNullSafe(r["rep_doc_id"])
+    met = keyed_join(docs, r, same, "inner", ["doc_id", "t1"], ["rep_doc_id", "rep_t1"])
+    every = durable(met.select("cid", "comp", "blocks", "most", "text"), "texts")  # smaller than their sets
+    release(cand)
 
-            for b in batches:
-                h, at = shingle_sets(b["text"], k)
-                hashes = pa.array([h[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b["cid"], b["comp"], b["blocks"], b["most"], hashes], names=["cid", "comp", "blocks", "most", "hashes"])
+    def with_sets(batches):
+        import pyarrow as pa
 
-        r = rows.withColumnsRenamed({c: f"rep_{c}" for c in ("doc_id", "t1", "t2")})
-        same = (docs["t1"] == r["rep_t1"]) & (docs["t2"] == r["rep_t2"]) & docs["doc_id"].eqNullSafe(r["rep_doc_id"])
-        return keyed_join(docs, r, same, "inner", ["doc_id", "t1"], ["rep_doc_id", "rep_t1"]).select("text", "cid", "comp", "blocks", "most").mapInArrow(sets, "cid long, comp long, blocks int, most long, hashes binary")
+        for b in batches:
+            h, at = shingle_sets(b["text"], k)
+            hashes = pa.array([h[s:e].tobytes() for s, e in zip(at[:-1], at[1:], strict=True)], pa.binary())
+            names = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in names), hashes], names=[*names, "hashes"])
 
     def run(batches):
         for _, (label, cids, hashes) in _keyed(batches, ["comp", "i", "j", "label", "cid", "hashes"], 3):
@@ -350,30 +355,40 @@ def verify(docs: DataFrame, candidates: DataFrame, k: int, num: int, den: int) -
             if len(at) > 1:
                 yield _pairs_batch(linked(np.array([cids[x] for x in at]), np.array([label[x] for x in at]), [np.frombuffer(hashes[x], np.uint64) for x in at], num, den))
 
-    def links(dealt: DataFrame) -> DataFrame:
+    def links(dealt: DataFrame, content: str = "hashes") -> DataFrame:
         keys = ["comp", "i", "j"]
-        return dealt.select(*keys, "label", "cid", "hashes").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "u long, v long")
+        dealt = dealt.select(*keys, "label", "cid", content).repartition(*keys).sortWithinPartitions(*keys)
+        return dealt.mapInArrow(run if content == "hashes" else lambda batches: run(with_sets(batches)), "u long, v long")
 
-    every = durable(with_sets(cand), "sets")
-    found = durable(links(once(every, F.col("blocks"), "cid")), "links")
+    found = durable(links(once(every, F.col("blocks"), "cid"), "text"), "links")
     sets = every.where("blocks > 1")
     if sets.isEmpty():
+        release(every)
         return found.select(F.col("u").alias("node"), F.col("v").alias("component"))  # each set was one task's, so its edges are whole components
+    sets = durable(sets.mapInArrow(with_sets, "cid long, comp long, blocks int, most long, hashes binary"), "sets")  # for they meet more than once
+    release(every)
     found = found.unionByName(durable(links(once(sets, F.col("blocks"), "cid", salt=1)), "links"))  # dealt anew, to connect most of what other blocks hold
     labels = durable(connected_components(found), "labels")
-    return connected_components(found.unionByName(links(across(sets, "comp", "cid", labels, F.min("most"), ["cid", "hashes"]))))
+    out = connected_components(found.unionByName(links(across(sets, "comp", "cid", labels, F.min("most"), ["cid", "hashes"]))))
+    release(sets)  # the components are read from their edges, which are written
+    return out
 
 
 def classified(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
     """Every row as ``doc_id, t1, t2, n, s1, s2``; every set as ``n, s1, s2, comp, component``: its component and that one's smallest ``doc_id``."""
     docs = identified(docs)
-    rows = durable(prefixes(docs, k, num, den), "prefixes")
+    wide = durable(prefixes(docs, k, num, den), "prefixes")
+    rows = durable(wide.select("doc_id", "t1", "t2", "n", "s1", "s2"), "rows")
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t1", "t2")
-    classes = rows.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(rep).alias("rep"), F.min("p").alias("p"), F.min("prefix").alias("prefix"), F.min("bins").alias("bins"))
-    classes = durable(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    groups = boxes(classes)
+    whole = wide.where("n > 0").groupBy("n", "s1", "s2").agg(F.min(rep).alias("rep"), F.min("p").alias("p"), F.min("prefix").alias("prefix"), F.min("bins").alias("bins"))
+    whole = durable(whole.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    release(wide)
+    groups, tables = boxes(whole)
+    classes = durable(whole.select("n", "s1", "s2", "cid", "p", "rep"), "reps")
+    release(whole)
+    grouped = durable(classes.select("cid", "n", "p", "rep").join(groups.select("n", "p", "gid"), ["n", "p"]), "grouped")
     sets = connected_components(tied(groups, num, den))
-    grouped = classes.select("cid", "n", "p", "rep").join(groups.select("n", "p", "gid"), ["n", "p"])
+    release(*tables)  # the components are read from their edges, which are written
     candidates = grouped.join(sets, grouped["gid"] == sets["node"], "left").select("cid", "rep.doc_id", "rep.t1", "rep.t2", "n", F.coalesce("component", "gid").alias("comp"))
     found = verify(docs, candidates, k, num, den)
     named = classes.select("n", "s1", "s2", "cid", "rep").join(found, classes["cid"] == found["node"], "left").select("n", "s1", "s2", "rep", F.coalesce("component", "cid").alias("comp"))
@@ -401,12 +416,13 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     one = member.groupBy("comp").agg(chosen.alias("one")).select(F.col("one.doc_id").alias("one_id"), F.col("one.t1").alias("one_t1"), F.col("one.t2").alias("one_t2"))
     same = lambda r: r["doc_id"].eqNullSafe(F.col("one_id")) & (r["t1"] == F.col("one_t1")) & (r["t2"] == F.col("one_t2"))
     marked = durable(member.join(one, same(member), "left").select("doc_id", "t1", "t2", "one_id", "one_t1", "one_t2"), "marked")
-    dropped = durable(marked.where("one_t1 is null").select(F.col("doc_id").alias("one_id"), F.col("t1").alias("one_t1"), F.col("t2").alias("one_t2")).distinct(), "dropped")
-    more = durable(marked.where("one_t1 is not null").groupBy("one_id", "one_t1", "one_t2").agg(F.count("*").alias("times")).where("times > 1").drop("times"), "repeated")
+    key = ["doc_id", "t1", "t2"]
+    dropped = durable(marked.where("one_t1 is null").select(*key).distinct(), "dropped")
+    more = durable(marked.where("one_t1 is not null").groupBy(*key).agg(F.count("*").alias("times")).where("times > 1").drop("times"), "repeated")
     text = F.col("text").cast("string")
     all_ = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
-    met = lambda keys, how: keyed_join(all_, keys, same(all_), how, ["doc_id", "t1"], ["one_id", "one_t1"])
     if more.isEmpty():
-        return met(dropped, "left_anti").select("row.*")
-    once_ = met(more, "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
-    return met(dropped.unionByName(more), "left_anti").unionByName(once_).select("row.*")
+        return without(all_, rows, dropped, key).select("row.*")
+    named_ = more.select(*[F.col(c).alias(f"one_{c.removeprefix('doc_')}") for c in key])
+    once_ = keyed_join(all_, named_, same(all_), "left_semi", ["doc_id", "t1"], ["one_id", "one_t1"]).dropDuplicates(key)
+    return without(all_, rows, durable(dropped.unionByName(more), "gone"), key).unionByName(once_).select("row.*")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pictorium.llm import chat, common, jaccard_join, mixing, quality, toxicity
@@ -171,3 +172,45 @@ def test_few_or_many_dropped_give_the_same_rows(spark, monkeypatch):
     monkeypatch.setattr(F, "bitmap_construct_agg", lambda c, f=F.bitmap_construct_agg: joined.append(1) or f(c))
     assert {k: sorted(r["doc_id"] for r in f().collect()) for k, f in steps.items()} == few
     assert len(joined) >= 3  # rejected documents, candidates and near copies
+
+
+def test_texts_that_are_dropped_are_not_shuffled(spark, monkeypatch):
+    """Only keys are, however many rows are dropped."""
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(99)), lambda w: F.concat_ws("-", w, F.col("id") % 500)))
+    docs = spark.range(2000).select(F.when(F.col("id") != 3, F.col("id")).alias("doc_id"), F.when(F.col("id") < 1990, words).alias("text"))
+    docs = common.durable(docs.repartition(4), "docs")
+    want = sorted([i for i in range(500) if i != 3] + [503] + list(range(1990, 2000)))  # of a text, a row with an id; rows without text
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 40)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = jaccard_join.one_of_each(docs, 5, 80, 100).select("doc_id")
+        began = written(spark)
+        assert sorted(r["doc_id"] for r in out.collect()) == want
+        assert written(spark) - began < 100  # of 2,000 rows
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("most", [0, 50])
+def test_without_is_exact(spark, monkeypatch, most):
+    every = common.durable(spark.range(30_000).select(F.when(F.col("id") % 1000 != 3, F.col("id")).alias("doc_id"), F.when(F.col("id") % 7 > 0, F.xxhash64("id")).alias("t1")), "every")
+    gone = common.durable(every.where("doc_id % 3 = 0 or doc_id is null").distinct(), "gone")
+    left = lambda: sorted(map(str, common.without(every.withColumn("x", F.lit(1)), every, gone, ["doc_id", "t1"]).collect()))
+    want = left()
+    assert len(want) == every.where("doc_id % 3 > 0").count()
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    assert left() == want
+
+
+def test_what_a_write_shuffled_is_deleted(spark):
+    import time
+
+    files = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    began = files()
+    common.durable(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    for _ in range(40):
+        if not (left := files() - began):
+            break
+        time.sleep(0.1)
+    assert not left
